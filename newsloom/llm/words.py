@@ -68,7 +68,7 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def whole(hashes: np.ndarray) -> np.ndarray:
     """One hash for a short sequence taken as a whole, with its length."""
-    return mix((hashes * _LANE[: len(hashes)]).sum(keepdims=True) + _LANE[15] * np.uint64(len(hashes)))
+    return mix((hashes * _LANE[: len(hashes)]).sum(keepdims=True) + _LANE[15:] * np.uint64(len(hashes)))
 
 
 def chunks(texts: Iterable[str | None], most: int = 1 << 22) -> Iterator[tuple[int, int, bytes, np.ndarray]]:

@@ -5,12 +5,136 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all other vectors for every 20th id."""
+    from newsloom.llm.topk import exact_top_k
+
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op3_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from newsloom.llm.style_tree import extract
+
+    return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of every page, by way of ARC files."""
+    from newsloom.llm.warc import archive
+
+    return archive(_table(spark, sf_dir, "pages")).withColumnRenamed("row_id", "page_id")
+
+
+def op5_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list entry that decides on every capture at its fetch day."""
+    from newsloom.llm import url_lists
+
+    pages = _table(spark, sf_dir, "pages")
+    return url_lists.filter_captures(url_lists.demo_captures(pages), url_lists.demo_entries(pages))
+
+
+OP5_SQL = r"""
+WITH u AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetch_day,
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@|:[0-9]*$', '', 'g'), '^www\.', '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)', 1) AS segment
+  FROM pages
+), a AS (
+  SELECT page_id, fetch_day, 0 AS rank, 'domain' AS kind, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS value FROM u
+  UNION ALL SELECT page_id, fetch_day, 1, 'host', host FROM u
+  UNION ALL SELECT page_id, fetch_day, 2, 'prefix', host || segment FROM u
+), k AS (
+  SELECT DISTINCT kind, value, md5(kind || '|' || value) AS h FROM a WHERE value <> ''
+), d AS (
+  SELECT kind, value, (ascii(h[1]) * 7 + ascii(h[2]) * 13) % 200 AS d1, 20 + ascii(h[3]) % 60 AS g2, 20 + ascii(h[4]) % 60 AS g3, ascii(h[6]) % 2 = 0 AS again
+  FROM k WHERE ascii(h[5]) % 3 < 2
+), e AS (
+  SELECT kind, value, DATE '2024-01-01' + CAST(d1 AS INTEGER) AS day, 'block' AS action FROM d
+  UNION ALL SELECT kind, value, DATE '2024-01-01' + CAST(d1 + g2 AS INTEGER), 'allow' FROM d
+  UNION ALL SELECT kind, value, DATE '2024-01-01' + CAST(d1 + g2 + g3 AS INTEGER), 'block' FROM d WHERE again
+), i AS (
+  SELECT kind, value, action, day AS valid_from, lead(day) OVER (PARTITION BY kind, value ORDER BY day) AS valid_to FROM e
+), m AS (
+  SELECT a.page_id, a.rank, i.*, row_number() OVER (PARTITION BY a.page_id ORDER BY a.rank DESC) AS n
+  FROM a JOIN i USING (kind, value) WHERE a.fetch_day >= i.valid_from AND (i.valid_to IS NULL OR a.fetch_day < i.valid_to)
+)
+SELECT u.page_id, u.url, u.fetch_day, m.kind, m.value, m.action, m.valid_from, m.valid_to
+FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.n = 1
+"""
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of every document."""
+    import public_tokenizers
+
+    from newsloom.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    out = decode(ids, path)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and log-bilinear score of every document."""
+    from newsloom.llm.lbl import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    from newsloom.llm.mixing import mix
+
+    out = mix(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of every document."""
+    from newsloom.llm.line_rules import line_rules
+
+    return line_rules(_table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    from newsloom.llm import secrets
+
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    every, base = F.col("found"), secrets.base_only(F.col("found"))
+    return found.select("doc_id", *secrets.counted(every, secrets.BASE), F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"), secrets.written(every).alias("spans"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle-set size and link component of every document."""
     from newsloom.llm.ngram_join import ngram_jaccard_join
@@ -20,9 +144,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_top_k": op1_exact_top_k,
+        "op2_bpe": op2_bpe,
+        "op3_style_tree": op3_style_tree,
+        "op4_arc_to_warc": op4_arc_to_warc,
+        "op5_temporal_lists": op5_temporal_lists,
+        "op6_log_bilinear": op6_log_bilinear,
+        "op7_mixing": op7_mixing,
+        "op8_line_rules": op8_line_rules,
+        "op9_secret_scan": op9_secret_scan,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_exact_top_k": OP1_SQL,
+        "op5_temporal_lists": OP5_SQL,
+    }

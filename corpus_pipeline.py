@@ -1,16 +1,71 @@
-"""Corpus preparation as five stages over the documents table."""
+"""Corpus preparation: quality rules, near copies, secrets, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the
+caller writes as Parquet and reads again as the next stage's documents.  All
+but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsloom.llm.bpe import decode, encode
+from newsloom.llm.line_rules import apply_line_rules
+from newsloom.llm.mixing import apply_mix
+from newsloom.llm.ngram_join import ngram_jaccard_join
+from newsloom.llm.scratch import Scratch
+from newsloom.llm.secrets import redact
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines leave the texts; documents that the rules reject go."""
+    return apply_line_rules(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays.
+
+    Rows without an id or without words link with nothing and stay; of
+    repeated rows of one id one stays.
+    """
+    linked = ngram_jaccard_join(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(linked, "doc_id", "left_anti").select(docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    return kept.withColumn("own_key", key).dropDuplicates(["own_key"]).select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to source weights takes them."""
+    return apply_mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, ids and whether they decode to the text."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    # the texts stay beside their ids to be compared with the decoded bytes
+    ids = encode(docs.select("doc_id", "source", "text", F.coalesce("text", F.lit("")).alias("whole")), path, public_tokenizers.PATTERN)
+    out = decode(ids, path)
+    return out.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("whole").cast("binary")).alias("round_trip"))
+
 
-STAGES = []
+STAGES = [("quality", quality), ("near copies", near_copies), ("secrets", secrets), ("mixing", mixing), ("tokens", tokens)]
+#: Rounding is random and tokens need the merge rules: tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each written and read again."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.save(docs, name.replace(" ", "-"))
     return docs

@@ -50,13 +50,13 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def bucket_of(word: bytes) -> int:
+def bucket_of(word: bytes, buckets: int) -> int:
     """The bucket of a word without a unit of its own: by its last three bytes."""
-    return zlib.crc32(word[-3:]) % BUCKETS
+    return zlib.crc32(word[-3:]) % buckets
 
 
-def _bucket_column(word: Column) -> Column:
-    return F.pmod(F.crc32(F.substring(word.cast("binary"), -3, 3)), F.lit(BUCKETS)).cast("int")
+def _bucket_column(word: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(F.substring(word.cast("binary"), -3, 3)), F.lit(buckets)).cast("int")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -92,24 +92,28 @@ class Units:
     bucket_log: np.ndarray
     top: int
 
+    @property
+    def buckets(self) -> int:
+        return len(self.bucket_log)
+
     @property
     def size(self) -> int:
-        return self.top + 1 + BUCKETS
+        return self.top + 1 + self.buckets
 
 
-def make_units(counts: DataFrame) -> Units:
+def make_units(counts: DataFrame, unit_words: int, buckets: int, remembered: int) -> Units:
     """The units of a corpus from its word counts."""
-    first = counts.where(F.col("word") != END).orderBy(F.desc("count"), "word").limit(REMEMBERED).collect()
-    top = min(UNIT_WORDS, len(first))
+    first = counts.where(F.col("word") != END).orderBy(F.desc("count"), "word").limit(remembered).collect()
+    top = min(unit_words, len(first))
     words = {r["word"].encode(): i for i, r in enumerate(first)}
-    unit = np.array([i if i < top else top + 1 + bucket_of(w) for w, i in words.items()], np.int32)
+    unit = np.array([i if i < top else top + 1 + bucket_of(w, buckets) for w, i in words.items()], np.int32)
     logs = np.log10(np.array([r["count"] for r in first], float) + 1)
-    tail = counts.where(F.col("word") != END).groupBy(_bucket_column(F.col("word")).alias("bucket")).agg(F.sum(F.col("count") + 1).alias("mass"))
-    mass = np.ones(BUCKETS)
-    for r in tail.collect():  # at most BUCKETS rows
+    tail = counts.where(F.col("word") != END).groupBy(_bucket_column(F.col("word"), buckets).alias("bucket")).agg(F.sum(F.col("count") + 1).alias("mass"))
+    mass = np.ones(buckets)
+    for r in tail.collect():  # a row for each bucket at most
         mass[r["bucket"]] += r["mass"]
     for r in first[:top]:
-        mass[bucket_of(r["word"].encode())] -= r["count"] + 1
+        mass[bucket_of(r["word"].encode(), buckets)] -= r["count"] + 1
     return Units(words, unit, logs, np.log10(mass), top)
 
 
@@ -120,7 +124,7 @@ def _unit_ids(text: str | None, units: Units) -> tuple[np.ndarray, np.ndarray, l
     missing = np.flatnonzero(ids < 0)
     own = units.unit[ids] if len(units.unit) else np.zeros(len(ids), np.int32)
     if len(missing):
-        own[missing] = [units.top + 1 + bucket_of(words[i]) for i in missing.tolist()]
+        own[missing] = [units.top + 1 + bucket_of(words[i], units.buckets) for i in missing.tolist()]
     return ids, own, words, missing
 
 
@@ -199,7 +203,7 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, unit_words: int = UNIT_WORDS, buckets: int = BUCKETS, remembered: int = REMEMBERED) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lbl")
@@ -209,7 +213,7 @@ def score(docs: DataFrame) -> DataFrame:
     n, v = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     ends = counts.where(F.col("word") == END).select("count").first()
     end_log = math.log10((ends[0] if ends else 0) + 1)
-    units = spark.sparkContext.broadcast(make_units(counts))
+    units = spark.sparkContext.broadcast(make_units(counts, unit_words, buckets, remembered))
     table = spark.sparkContext.broadcast((train(bigram_counts(training, units)) / math.log(10)).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

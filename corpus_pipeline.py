@@ -47,12 +47,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and whether they decode to the text."""
+    """doc_id, source, ids, their number and the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    # the texts stay beside their ids to be compared with the decoded bytes
-    ids = encode(docs.select("doc_id", "source", "text", F.coalesce("text", F.lit("")).alias("whole")), path, public_tokenizers.PATTERN)
-    out = decode(ids, path)
-    return out.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("whole").cast("binary")).alias("round_trip"))
+    out = decode(encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN), path)
+    return out.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [("quality", quality), ("near copies", near_copies), ("secrets", secrets), ("mixing", mixing), ("tokens", tokens)]

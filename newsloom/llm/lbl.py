@@ -41,6 +41,8 @@ from newsloom.llm.scratch import Scratch
 #: Words with a vector of their own, buckets for the rest, words whose counts are broadcast.
 UNIT_WORDS, BUCKETS, REMEMBERED = 1500, 512, 200_000
 DIMENSIONS, NOISE, STEPS, RATE = 32, 8, 80, 0.05
+#: Weight of the squared vectors against the corpus' tokens.
+DECAY = 10.0
 #: Distinct words held before a task passes its counts on.
 HELD = 400_000
 END = ""
@@ -166,7 +168,7 @@ def bigram_counts(docs: DataFrame, units) -> np.ndarray:
     return total.reshape(size, size)
 
 
-def train(counts: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 0) -> np.ndarray:
+def train(counts: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, seed: int = 0) -> np.ndarray:
     """Normalised natural log-probabilities [history, unit] of the trained model."""
     size = len(counts)
     pairs = counts.astype(np.float32)
@@ -185,6 +187,8 @@ def train(counts: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE,
         push = (pairs * (1 - true) - (history[:, None] * (noise * unigram)) * true) / total
         inner = push @ p["q"]
         grad = {"q": push.T @ predicted, "b": push.sum(axis=0), "r": inner @ p["c"].T, "c": p["r"].T @ inner}
+        for k in ("r", "q"):
+            grad[k] -= (decay / total) * p[k]
         step = rate * min(1.0, 2 * (1 - (t - 1) / steps))
         for k, g in grad.items():
             first[k] = 0.9 * first[k] + 0.1 * g

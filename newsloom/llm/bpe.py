@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Characters encoded at a time, unless one text is longer.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -166,7 +166,7 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.forget()
             new = list(pieces)
-        if len(self.pairs) > 4_000_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
         ids = replay([p.encode() for p in new], self.ranks, self.pairs)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -215,7 +215,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, pattern)
-        for batch in batches:
+        for batch in (part.slice(i, 512) for part in batches for i in range(0, part.num_rows, 512)):
             texts = batch.column(0).to_pylist()
             a = 0
             while a < len(texts):

@@ -73,7 +73,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (x.as_py() for x in batch.column(0)):
                 held.update(_words(text))
                 held[b""] += 1
                 if len(held) > HELD:
@@ -142,11 +142,11 @@ def bigram_counts(docs: DataFrame, units) -> np.ndarray:
         u = units.value
         total, held, length = np.zeros(size * size, np.int64), [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (x.as_py() for x in batch.column(0)):
                 own = _unit_ids(text, u)[1].astype(np.int64)
                 held.append(np.r_[u.top, own] * size + np.r_[own, u.top])
                 length += len(own) + 1
-                if length > 1 << 20:
+                if length > 1 << 19:
                     total += np.bincount(np.concatenate(held), minlength=size * size)
                     held, length = [], 0
         if held:
@@ -224,17 +224,17 @@ def score(docs: DataFrame, unit_words: int = UNIT_WORDS, buckets: int = BUCKETS,
         u, logs = units.value, table.value
         seen = bool(ends)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
             row_ids, doc_ids, held = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            for a in range(0, len(texts), 500):
+            for a in range(0, batch.num_rows, 500):
+                texts = batch.column(2).slice(a, 500).to_pylist()
                 out: list[list] = [[] for _ in range(9)]
 
                 def put(*row, out=out) -> None:
                     for c, x in zip(out, row, strict=True):
                         c.append(x)
 
-                for i in range(a, min(a + 500, len(texts))):
-                    ids, own, words, missing = _unit_ids(texts[i], u)
+                for i in range(a, a + len(texts)):
+                    ids, own, words, missing = _unit_ids(texts[i - a], u)
                     known = ids[ids >= 0]
                     base = float(u.logs[known].sum()) + end_log if len(known) else end_log
                     model = float(logs[np.r_[u.top, own], np.r_[own, u.top]].sum(dtype=np.float64))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.scratch import Scratch
-from newsloom.llm.words import mix, text_shingles
+from newsloom.llm.words import mix, slices, text_shingles
 
 SKETCH_BITS = 20
 #: Rows of one token group or side of a cell, and sets of one block, at most on average.
@@ -75,7 +75,7 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             held, size = [], 0
             for s in text_shingles(_strings(batch.column(0)), k):
                 held.append(s)
@@ -154,10 +154,9 @@ def document_sets(docs: DataFrame, k: int, num: int, den: int, level) -> DataFra
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = level.value
         for batch in batches:
-            texts = _strings(batch.column(1))
-            for first in range(0, len(texts), 512):
+            for first in range(0, batch.num_rows, 512):
                 sid, size, heat, prefix, sketch = [], [], [], [], []
-                for s in text_shingles(texts[first : first + 512], k):
+                for s in text_shingles(_strings(batch.column(1).slice(first, 512)), k):
                     s = np.unique(s)
                     n = len(s)
                     size.append(n)

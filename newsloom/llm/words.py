@@ -25,7 +25,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if len(_POWERS.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(max(n, 1 << 20), base, np.uint64)
+            steps = np.full(max(n, (1 << 20) + 1), base, np.uint64)
             steps[0] = 1
             _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS["up"], _POWERS["down"]
@@ -71,7 +71,13 @@ def whole(hashes: np.ndarray) -> np.ndarray:
     return mix((hashes * _LANE[: len(hashes)]).sum(keepdims=True) + _LANE[15:] * np.uint64(len(hashes)))
 
 
-def chunks(texts: Iterable[str | None], most: int = 1 << 22) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+def slices(batch, rows: int = 512):
+    """A record batch in slices, so that few texts are Python strings at once."""
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
+def chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """Runs of texts joined into buffers of about ``most`` bytes.
 
     Yields the first and past-the-end index, the buffer and the offsets of

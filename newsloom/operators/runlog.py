@@ -152,7 +152,7 @@ def attempt_history(log: DataFrame) -> DataFrame:
     """WN09: lifecycle entries of each task in order, with the seconds since the one before."""
     order = Window.partitionBy("task_id").orderBy("ts", "seq") if "seq" in log.columns else Window.partitionBy("task_id").orderBy("ts")
     rows = log.where(F.col("type").isin(HISTORY))
-    return rows.withColumns({"nth": F.row_number().over(order), "since": F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(order))})
+    return rows.withColumns({"nth": F.row_number().over(order), "since": F.unix_seconds("ts") - F.unix_seconds(F.lag("ts", 1).over(order))})
 
 
 def retry_state() -> Column:

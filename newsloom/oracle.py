@@ -167,7 +167,7 @@ SELECT t.task_id, coalesce(d.n, 0) AS dependents, coalesce(c.n, 0) AS children,
 """
 
 ATTEMPTS = f"""
-SELECT user_id AS task_id, event_id AS seq, {_list([*HISTORY, "other.a", "other.b"])}[event_id % 13 + 1] AS type, CAST(row_number() OVER w AS INT) AS nth, CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS BIGINT) AS since
+SELECT user_id AS task_id, event_id AS seq, {_list([*HISTORY, "other.a", "other.b"])}[event_id % 13 + 1] AS type, CAST(row_number() OVER w AS INT) AS nth, coalesce(CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS BIGINT), -1) AS since
 FROM events WHERE event_id % 13 < 11 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """
 

@@ -206,7 +206,7 @@ def attempt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN09: entries of each user in order, with the seconds since the one before."""
     kinds = F.element_at(F.array(*[F.lit(k) for k in [*runlog.HISTORY, "other.a", "other.b"]]), (F.col("event_id") % 13 + 1).cast("int"))
     log = _table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), "ts", F.col("event_id").alias("seq"), kinds.alias("type"))
-    return runlog.attempt_history(log).select("task_id", "seq", "type", F.col("nth").cast("int").alias("nth"), "since")
+    return runlog.attempt_history(log).select("task_id", "seq", "type", F.col("nth").cast("int").alias("nth"), F.coalesce("since", F.lit(-1)).alias("since"))
 
 
 def keyword_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

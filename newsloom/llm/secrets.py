@@ -104,7 +104,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     queries = [(i, c, sorted(conj)) for i, r in enumerate(rules) for c, conj in enumerate(trigram_query(r.pattern))]
     trigrams = sorted({t for *_, conj in queries for t in conj})
     lower = F.lower("text")
-    posted = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
+    posted = F.array_remove(F.array(*[F.when(F.contains(lower, F.lit(t)), F.lit(i)).otherwise(F.lit(-1)) for i, t in enumerate(trigrams)]), -1)
     postings = docs.where("doc_id is not null").select("doc_id", F.explode(posted).alias("trigram"))
     uses = [[F.struct(F.lit(i).alias("rule"), F.lit(c).alias("conj"), F.lit(len(conj)).alias("need")) for i, c, conj in queries if t in conj] for t in trigrams]
     named = postings.select("doc_id", F.explode(F.element_at(F.array(*[F.array(*u) for u in uses]), F.col("trigram") + 1)).alias("q"))

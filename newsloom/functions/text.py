@@ -199,7 +199,7 @@ def official(domain: Column) -> Column:
 
 def json_text(c: Column) -> Column:
     """A JSON string literal, non-ASCII kept."""
-    t = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r"\\\\\"")
+    t = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for ch, esc in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
         t = F.replace(t, F.lit(ch), F.lit("\\" + esc))
     return F.concat(F.lit('"'), t, F.lit('"'))

@@ -105,17 +105,18 @@ class Units:
 
 def make_units(counts: DataFrame, unit_words: int, buckets: int, remembered: int) -> Units:
     """The units of a corpus from its word counts."""
-    first = counts.where(F.col("word") != END).orderBy(F.desc("count"), "word").limit(remembered).collect()
-    top = min(unit_words, len(first))
-    words = {r["word"].encode(): i for i, r in enumerate(first)}
+    first = counts.where(F.col("word") != END).orderBy(F.desc("count"), "word").limit(remembered).toArrow()
+    names, many = [w.as_py().encode() for w in first.column("word")], first.column("count").to_numpy()
+    top = min(unit_words, len(names))
+    words = {w: i for i, w in enumerate(names)}
     unit = np.array([i if i < top else top + 1 + bucket_of(w, buckets) for w, i in words.items()], np.int32)
-    logs = np.log10(np.array([r["count"] for r in first], float) + 1)
+    logs = np.log10(many + 1.0)
     tail = counts.where(F.col("word") != END).groupBy(_bucket_column(F.col("word"), buckets).alias("bucket")).agg(F.sum(F.col("count") + 1).alias("mass"))
     mass = np.ones(buckets)
     for r in tail.collect():  # a row for each bucket at most
         mass[r["bucket"]] += r["mass"]
-    for r in first[:top]:
-        mass[bucket_of(r["word"].encode(), buckets)] -= r["count"] + 1
+    for w, n in zip(names[:top], many[:top].tolist(), strict=True):
+        mass[bucket_of(w, buckets)] -= n + 1
     return Units(words, unit, logs, np.log10(mass), top)
 
 
@@ -183,8 +184,12 @@ def train(counts: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE,
     for t in range(1, steps + 1):
         predicted = p["r"] @ p["c"]
         delta = predicted @ p["q"].T + (p["b"] - offset)
-        true = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))  # that a unit is data, not noise
-        push = (pairs * (1 - true) - (history[:, None] * (noise * unigram)) * true) / total
+        # that a unit is data, not noise; the large arrays are reused in place
+        np.clip(delta, -30, 30, out=delta)
+        np.exp(-delta, out=delta)
+        true = np.reciprocal(delta + 1, out=delta)
+        push = pairs - true * (pairs + history[:, None] * (noise * unigram))
+        push /= total
         inner = push @ p["q"]
         grad = {"q": push.T @ predicted, "b": push.sum(axis=0), "r": inner @ p["c"].T, "c": p["r"].T @ inner}
         for k in ("r", "q"):

@@ -185,6 +185,41 @@ SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, type, entries FROM c WHERE
 """
 
 
+EXTRACTION = """
+d AS (SELECT lang AS run_id, doc_id, substr(split_part(text, chr(10), 1), 1) AS title FROM documents),
+e AS (SELECT a.run_id, a.doc_id, b.doc_id AS other, row_number() OVER (PARTITION BY a.run_id ORDER BY a.doc_id) AS number FROM d a LEFT JOIN d b ON b.run_id = a.run_id AND b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0),
+i AS (SELECT run_id, doc_id, number FROM e UNION ALL SELECT run_id, other, number FROM e WHERE other IS NOT NULL)
+"""
+
+EXTRACTED = f"""
+WITH {EXTRACTION} SELECT run_id, 'evt_20240101_' || lpad(CAST(number AS VARCHAR), CAST(greatest(4, length(CAST(number AS VARCHAR))) AS INT), '0') AS event_id, CAST(CASE WHEN other IS NULL THEN 1 ELSE 2 END AS BIGINT) AS member_count,
+  CAST(doc_id AS VARCHAR) || coalesce(',' || other, '') AS ids, round((doc_id % 90 + 10) / 100.0, 6) AS confidence, 'model' AS event_type FROM e
+"""
+
+DISCARDS = f"""
+WITH {EXTRACTION} SELECT d.run_id, CAST(d.doc_id AS INT) AS item_index, CASE WHEN d.doc_id % 7 = 0 THEN 'clustered_title_discard' ELSE 'clustered_title_omitted' END AS stage, CASE WHEN d.doc_id % 7 = 0 THEN 'off topic' ELSE 'LLM omitted item from clustered extraction response' END AS reason
+FROM d LEFT JOIN i ON i.run_id = d.run_id AND i.doc_id = d.doc_id WHERE d.doc_id % 7 = 0 OR i.doc_id IS NULL
+"""
+
+DECISIONS = f"""
+WITH {EXTRACTION} SELECT d.run_id, CAST(d.doc_id AS INT) AS item_index, CASE WHEN i.doc_id IS NULL THEN 'discard' ELSE 'assign' END AS classification_decision,
+  coalesce('evt_20240101_' || lpad(CAST(number AS VARCHAR), CAST(greatest(4, length(CAST(number AS VARCHAR))) AS INT), '0'), '') AS event_id, CASE WHEN i.doc_id IS NULL THEN -1 ELSE 90 END AS relevance_score
+FROM d LEFT JOIN i ON i.run_id = d.run_id AND i.doc_id = d.doc_id
+"""
+
+_CODES = "CASE {n} % 5 WHEN 1 THEN 'network_error' WHEN 2 THEN 'blocked' WHEN 4 THEN 'blocked' ELSE CASE WHEN {n} % 2 = 0 THEN 'contract_error' ELSE 'parse_error' END END"
+
+FLAGS = f"""
+WITH {TASKS} SELECT task_id, CASE WHEN id % 9 = 0 OR state = 'waiting' THEN 'scheduled' WHEN state = 'running' AND id % 3 + 1 > 1 THEN 'running' WHEN id % 4 > 0 OR state IN ('failed', 'cancelled', 'blocked') THEN 'attempted' ELSE 'idle' END AS retry,
+  greatest(id % 3 + 1 - id % 4, 0) AS remaining, state = 'blocked' OR id % 5 <> 0 AS blocked, id % 2 = 0 AS safe_to_skip, {_CODES.format(n="id")} AS code, {_CODES.format(n="id")} = 'network_error' AS retryable FROM tasks
+"""
+
+SCRAPES = f"""
+WITH a AS (SELECT user_id AS job_id, count(*) AS attempts, arg_max(event_id, (ts, event_id)) AS last FROM events GROUP BY user_id), c AS (SELECT *, {_CODES.format(n="last")} AS code, last % 4 = 0 AS ok FROM a)
+SELECT job_id, CAST(attempts AS INT) AS attempts, CASE WHEN ok THEN 'succeeded' WHEN code = 'network_error' AND attempts < 50 THEN 'retrying' WHEN code IN ('blocked', 'network_error') THEN 'skipped_unrepairable' ELSE 'repairing' END AS state, CASE WHEN ok THEN '' ELSE code END AS code FROM c
+"""
+
+
 def _kinds() -> dict[str, str]:
     return {p: kind for kind, (_, names) in rules.PLATFORM_KINDS.items() for p in names}
 
@@ -249,4 +284,5 @@ def sql() -> dict[str, str]:
     return {
         "flagship": _flagship(), "text_rules": _text(), "token_rules": TOKENS, "url_rules": URLS, "date_forms": DATES, "source_caps": CAPS, "item_fold": FOLD, "first_claims": CLAIMS, "omitted_items": OMITTED, "similarity_recall": RECALL, "entity_dedupe": DEDUPE, "topic_counts": TOPICS,
         "cache_lookup": CACHE, "group_summary": GROUPS, "run_states": RUNS, "dependency_blocks": BLOCKS, "task_relatives": RELATIVES, "attempt_history": ATTEMPTS, "keyword_lookup": LOOKUP, "merged_sources": SOURCES, "stream_counts": STREAM, "source_scores": _source_scores(),
+        "extracted_events": EXTRACTED, "extraction_discards": DISCARDS, "item_decisions": DECISIONS, "task_flags": FLAGS, "scrape_outcomes": SCRAPES,
     }

@@ -251,9 +251,80 @@ def source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "normalized_event_type", F.array_join("platform_set", ",").alias("platforms"), F.array_max(F.transform("platform_set", tx.platform_weight)).alias("weight"), F.array_contains("kinds", "official").alias("official"), "mismatch")
 
 
+def _extraction(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as items of a run for each language, and a response for each batch of ids.
+
+    A response names, for every even document, an event of it and its
+    neighbour, and discards every seventh document.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    items = docs.select(F.col("lang").alias("run_id"), F.col("doc_id").cast("int").alias("item_index"), F.col("source").alias("platform"), F.substring_index("text", "\n", 1).alias("title"), F.lit("").alias("url"), F.lit(None).cast("string").alias("pubtime"), F.lit("2024-01-01").alias("scrape_date"))
+    event = F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit("Model").alias("event_type"), (F.col("doc_id") % 90 + 10).alias("confidence"), F.array("doc_id", F.col("doc_id") + 1).alias("source_news_ids")))
+    out = F.when(F.col("doc_id") % 7 == 0, F.struct(F.col("doc_id").alias("index"), F.lit("off topic").alias("reason")))
+    ordered = lambda c, name: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("doc_id", c.alias("x"))))), lambda v: v["x"]).alias(name)
+    batches = docs.groupBy(F.col("lang").alias("run_id"), F.floor(F.col("doc_id") / 40).cast("int").alias("batch_index")).agg(ordered(event, "events"), ordered(out, "discards"))
+    return items, batches.select("run_id", "batch_index", F.to_json(F.struct("events", "discards")).alias("response"))
+
+
+def extracted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM05, AG01, AG02, ID01, EN01, NM02, JS01: events folded from extraction responses."""
+    _, events, _ = fold.apply_extraction(*_extraction(spark, sf_dir))
+    return events.select("run_id", "event_id", F.col("member_count").cast("long").alias("member_count"), F.array_join(F.col("source_news_ids").cast("array<string>"), ",").alias("ids"), F.round("confidence", 6).alias("confidence"), "event_type")
+
+
+def extraction_discards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM05, JN06, TX29: discarded and omitted items of the extraction responses."""
+    _, _, discards = fold.apply_extraction(*_extraction(spark, sf_dir))
+    return discards.select("run_id", "item_index", "stage", "reason")
+
+
+def item_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM05: the decision and event of every item."""
+    items, _, _ = fold.apply_extraction(*_extraction(spark, sf_dir))
+    return items.select("run_id", "item_index", "classification_decision", F.coalesce("event_id", F.lit("")).alias("event_id"), F.coalesce("relevance_score", F.lit(-1)).alias("relevance_score"))
+
+
+_ERRORS = ["", "Read timed out", "HTTP 403 Forbidden", "bad row", "solve the CAPTCHA first"]
+
+
+def task_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FL17, FL21, FL22: retry, blocked and failure flags of every task."""
+    rows = _tasks(spark, sf_dir).withColumn("n", F.col("task_id").cast("long"))
+    rows = rows.withColumns({"attempt": F.col("n") % 4, "max_attempts": F.col("n") % 3 + 1, "retry_scheduled": F.col("n") % 9 == 0, "error": F.element_at(F.array(*[F.lit(e) for e in _ERRORS]), (F.col("n") % 5 + 1).cast("int"))})
+    retry, blocked, failed = runlog.retry_state(), runlog.blocked_state(F.col("error"), F.when(F.col("n") % 2 == 0, "dependency")), runlog.failure(F.col("error"), F.col("n") % 2 == 0)
+    return rows.select("task_id", retry["status"].alias("retry"), retry["remaining"].alias("remaining"), blocked["blocked"].alias("blocked"), blocked["safe_to_skip"].alias("safe_to_skip"), failed["code"].alias("code"), failed["retryable"].alias("retryable"))
+
+
+def scrape_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG24: final state of each user's attempts."""
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    error = F.element_at(F.array(*[F.lit(e) for e in _ERRORS]), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), order.alias("attempt"), (F.col("event_id") % 4 == 0).alias("ok"), error.alias("error"), (F.col("event_id") % 2 == 0).alias("contract"))
+    return runlog.scrape_outcomes(rows, 50).select("job_id", "attempts", "state", F.coalesce("code", F.lit("")).alias("code"))
+
+
+def report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG09: events, selected and sourced of each day."""
+    return runlog.report_stats(report.assigned(spark, sf_dir)).withColumn("report_date", F.col("report_date").cast("string"))
+
+
+def polish_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM11: one request for each selected event."""
+    rows = report.assigned(spark, sf_dir)
+    sources = evidence.select_sources(rows.where("should_include_report"))
+    items = sources.withColumns({"text": F.lit(""), "fetched": F.lit(False)})
+    return evidence.polish_requests(rows, items).withColumn("report_date", F.col("report_date").cast("string"))
+
+
+def trend_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM12: one request for each day."""
+    return evidence.trend_requests(report.assigned(spark, sf_dir)).withColumn("report_date", F.col("report_date").cast("string"))
+
+
 QUERIES = (
     flagship, text_rules, token_rules, url_rules, date_forms, source_caps, item_fold, first_claims, omitted_items, similarity_recall, greedy_groups, entity_dedupe, section_table, evidence_table, daily_documents, debug_documents, topic_counts, page_status, readable_pages, cache_lookup,
     group_summary, run_states, dependency_blocks, task_relatives, attempt_history, keyword_lookup, merged_sources, merge_fold, stream_counts, source_scores,
+    extracted_events, extraction_discards, item_decisions, task_flags, scrape_outcomes, report_stats, polish_requests, trend_requests,
 )
 
 

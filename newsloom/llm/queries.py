@@ -171,6 +171,26 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def _op9_sql() -> str:
+    """Each rule's matches with their places, from the texts between them."""
+    from newsloom.llm import secrets
+
+    parts = []
+    for rank, r in enumerate(secrets.BASE + secrets.MORE):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        found = f"SELECT doc_id, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {r.group}) AS vs, regexp_split_to_array(t, {p}) AS gaps FROM d WHERE regexp_matches(t, {p})"
+        place = "CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) AS BIGINT)"
+        parts.append(f"SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, {place} AS a, {place} + length(ms[i]) AS b FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM ({found})) WHERE length(vs[i]) >= {r.least}")
+    n = lambda k: f"CAST(count(*) FILTER (WHERE kind = '{k}') AS BIGINT) AS n_{k}"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}), s AS (
+  SELECT doc_id, {", ".join(n(r.kind) for r in secrets.BASE)}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (WHERE rank < {len(secrets.BASE)}) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans
+  FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 OP10_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -211,5 +231,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_top_k": OP1_SQL,
         "op5_temporal_lists": OP5_SQL,
         "op8_line_rules": OP8_SQL,
+        "op9_secret_scan": _op9_sql(),
         "op10_ngram_jaccard_join": OP10_SQL,
     }

@@ -49,6 +49,19 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_table(spark, sf_dir, "pages")).withColumnRenamed("row_id", "page_id")
 
 
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages
+), b AS (
+  SELECT *, array_to_string(list_transform(generate_series(1, 40), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', hex[i])]), '') AS bits FROM p
+), d AS (
+  SELECT *, array_to_string(list_transform(generate_series(0, 31), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    CAST(1 + list_sum(list_transform(generate_series(1, 5), lambda j: CASE WHEN bits[5 * i + j] = '1' THEN 2 ** (5 - j) ELSE 0 END)) AS BIGINT)]), '') AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM b
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+
 def op5_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list entry that decides on every capture at its fetch day."""
     from newsloom.llm import url_lists
@@ -229,6 +242,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_top_k": OP1_SQL,
+        "op4_arc_to_warc": OP4_SQL,
         "op5_temporal_lists": OP5_SQL,
         "op8_line_rules": OP8_SQL,
         "op9_secret_scan": _op9_sql(),

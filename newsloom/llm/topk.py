@@ -51,6 +51,64 @@ def top_of(query: np.ndarray, own: int, ids: np.ndarray, columns: np.ndarray, ma
     return ids[alive[best]], acc[best].astype(np.int64)
 
 
+def top_of_all(asked: np.ndarray, own: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``top_of`` for many queries (rows of ``asked``), in doubles that hold all sums exactly.
+
+    The dimensions are taken in falling order of the block's mass.  While most
+    candidates survive, one matrix product serves a batch of queries; a query
+    whose survivors are a quarter of the block leaves with them compacted.
+    """
+    order = np.argsort(-(columns**2).sum(axis=1), kind="stable")
+    columns, asked = np.ascontiguousarray(columns[order]), np.ascontiguousarray(asked[:, order])
+    dims, n = columns.shape
+    starts = list(range(0, dims, 2 * STEP))
+    cut = [slice(a, min(a + 2 * STEP, dims)) for a in starts]
+    # the roots of what is left after each step
+    left_c = [np.sqrt((columns[c.stop :] ** 2).sum(axis=0)) for c in cut]
+    left_q = [np.sqrt((asked[:, c.stop :] ** 2).sum(axis=1)) for c in cut]
+    found: list[tuple[np.ndarray, np.ndarray]] = [None] * len(asked)  # type: ignore[list-item]
+
+    def alive(acc: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        low = acc - slack
+        return np.flatnonzero(acc + slack >= np.partition(low, len(low) - k)[len(low) - k])
+
+    def best(q: int, acc: np.ndarray, at: np.ndarray) -> None:
+        keep = np.flatnonzero(acc > -np.inf)
+        if len(keep) > k:
+            keep = keep[acc[keep] >= np.partition(acc[keep], len(keep) - k)[len(keep) - k]]
+        keep = keep[np.lexsort((ids[at[keep]], -acc[keep]))[:k]]
+        found[q] = ids[at[keep]], acc[keep].astype(np.int64)
+
+    for first in range(0, len(asked), 64):
+        open_ = np.arange(first, min(first + 64, len(asked)))
+        sums = np.zeros((len(open_), n))
+        for row, q in enumerate(open_):
+            sums[row, ids == own[q]] = -np.inf
+        for s, c in enumerate(cut):
+            sums += asked[open_, c] @ columns[c]
+            if s == len(cut) - 1 or n <= k:
+                continue
+            stays = []
+            for row, q in enumerate(open_):
+                at = alive(sums[row], left_q[s][q] * left_c[s] * (1 + 1e-9) + 1)
+                if len(at) > n // 4:
+                    stays.append(row)
+                    continue
+                acc = sums[row, at]
+                for t in range(s + 1, len(cut)):
+                    acc = acc + asked[q, cut[t]] @ columns[cut[t]][:, at]
+                    if t < len(cut) - 1 and len(at) > k:
+                        keep = alive(acc, left_q[t][q] * left_c[t][at] * (1 + 1e-9) + 1)
+                        at, acc = at[keep], acc[keep]
+                best(q, acc, at)
+            open_, sums = open_[stays], sums[stays]
+            if not len(open_):
+                break
+        for row, q in enumerate(open_):
+            best(q, sums[row], np.arange(n))
+    return found
+
+
 def _packed(df: DataFrame, block: str, count: int) -> DataFrame:
     """One row for each block: number, ids, dimensions and dimension-major components."""
 
@@ -88,10 +146,11 @@ def exact_top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 2
                 dims = min(columns.shape[0], asked.shape[1])
                 columns, asked = columns[:dims], asked[:, :dims]
                 most = float(np.abs(columns).max(initial=0)) * float(np.abs(asked).max(initial=0)) * dims
-                if most < 2**52:  # products and sums are exact in doubles, which are faster
-                    columns, asked = columns.astype(float), asked.astype(float)
-                mass = (columns.astype(float) ** 2).sum(axis=0)
-                got = [top_of(asked[i], own[i], ids, columns, mass, k) for i in range(len(own))]
+                if most < 2**52 and dims:  # products and sums are exact in doubles
+                    got = top_of_all(asked.astype(float), own, ids, columns.astype(float), k)
+                else:
+                    mass = (columns.astype(float) ** 2).sum(axis=0)
+                    got = [top_of(asked[i], own[i], ids, columns, mass, k) for i in range(len(own))]
                 yield pa.record_batch([pa.array(np.repeat(own, [len(g[0]) for g in got])), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], ["query_id", "vec_id", "score"])
 
     cells = left.join(right, ["qb", "cb"]).select("ids", "dims", "data", "q_ids", "q_dims", "q_data")

@@ -47,7 +47,7 @@ def assign_online(items: DataFrame, threshold: float = 0.8, hours: int = 72) ->
     Items meet the open events of their similarity bucket, held as state: the
     nearest one in reach of ``hours`` and similar enough takes the item, else
     the item opens an event named after it.  Events older than the horizon
-    leave the state, which time-outs empty.
+    leave the state, and so does a bucket that the watermark has passed.
     """
     state = "ids array<string>, at array<double>, vectors array<array<double>>"
 
@@ -78,7 +78,8 @@ def assign_online(items: DataFrame, threshold: float = 0.8, hours: int = 72) ->
         newest = max(at, default=0.0)
         live = [i for i, t in enumerate(at) if newest - t <= hours * 3600]
         held.update(([ids[i] for i in live], [at[i] for i in live], [list(vectors[i]) for i in live]))
-        held.setTimeoutDuration(hours * 3600 * 1000)
+        held.setTimeoutTimestamp(max(int((newest + hours * 3600) * 1000), held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["item_id", "event_id", "decision"])
 
-    return items.groupBy("bucket").applyInPandasWithState(assign, "item_id string, event_id string, decision string", state, "append", "ProcessingTimeTimeout")
+    timed = items.withWatermark("at", f"{hours} hours")
+    return timed.groupBy("bucket").applyInPandasWithState(assign, "item_id string, event_id string, decision string", state, "append", "EventTimeTimeout")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Characters encoded at a time, unless one text is longer.
 CHUNK = 1 << 20
 
@@ -166,7 +166,7 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.forget()
             new = list(pieces)
-        if len(self.pairs) > 500_000:
+        if len(self.pairs) > 1_500_000:
             self.pairs.clear()
         ids = replay([p.encode() for p in new], self.ranks, self.pairs)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -3,12 +3,12 @@
 Every line of a text is normalised (A-Z to lower case, digits to 0, white
 space runs to one blank, trimmed) and hashed.  For each host the distinct
 documents that hold a line are counted; texts that are equal count as one
-document, so a group of copies does not condemn its own lines.  Lines of at
-most ``max_line_words`` words found in more than ``max_docs`` documents of the
-host are removed, and a document that loses more than ``max_lost`` percent of
-its words to them is rejected, as is one that fails the base rules (fewer than
-20 words, or over 30 % of words in repeated 8-word windows).  Longer lines are
-passages, which near-duplicate removal deals with.
+document, so a group of copies does not condemn its own lines.  Lines of any
+length found in more than ``max_docs`` documents of the host are removed, and a
+document that loses more than ``max_lost`` percent of its words to them is
+rejected, as is one that fails the base rules (fewer than 20 words, or over
+30 % of words in repeated 8-word windows).  With ``max_line_words`` longer
+lines are neither counted nor removed.
 
 Nulls: a null text has no words and fails the base rules; a null host is a
 host of its own.  Repeated rows get equal results.  Extra columns are ignored
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.scratch import Scratch
 from newsloom.llm.words import _WORD, chunks, shingles, slices, word_hashes
 
-MAX_DOCS, MAX_LINE_WORDS, MAX_LOST = 100, 40, 75
+MAX_DOCS, MAX_LOST = 100, 75
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _LOWER_ZERO = bytes(ord("0") if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -61,8 +61,8 @@ def repeated_words(hashes: np.ndarray, k: int = 8) -> int:
 PROFILE = "doc_id long, host long, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line array<long>, line_words array<int>"
 
 
-def profiles(docs: DataFrame, host: str, max_line_words: int) -> DataFrame:
-    """Base figures of every document, and its short lines with their words in all."""
+def profiles(docs: DataFrame, host: str, max_line_words: int | None) -> DataFrame:
+    """Base figures of every document, and its lines with their words in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -84,7 +84,7 @@ def profiles(docs: DataFrame, host: str, max_line_words: int) -> DataFrame:
                     lines: dict[int, int] = {}
                     for x in own:
                         h, n = line_key(x)
-                        if n <= max_line_words:
+                        if max_line_words is None or n <= max_line_words:
                             lines[h] = lines.get(h, 0) + n
                     rows["key"].append(xxhash.xxh3_64_intdigest(raw, seed=hosts[a + i] & 0xFFFFFFFFFFFFFFFF) - 2**63)
                     rows["words"].append(int(cut[i + 1] - cut[i]))
@@ -103,7 +103,7 @@ def profiles(docs: DataFrame, host: str, max_line_words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col(host)).alias("host"), "text").mapInArrow(run, PROFILE)
 
 
-def _verdicts(scratch: Scratch, docs: DataFrame, host: str, max_docs: int, max_line_words: int, max_lost: int) -> tuple[DataFrame, DataFrame]:
+def _verdicts(scratch: Scratch, docs: DataFrame, host: str, max_docs: int, max_line_words: int | None, max_lost: int) -> tuple[DataFrame, DataFrame]:
     """The verdict of each row, and the removed lines (key, line) of each distinct text."""
     all_docs = scratch.save(profiles(docs, host, max_line_words), "profiles")
     distinct = all_docs.dropDuplicates(["key"]).select("host", "key", F.explode(F.arrays_zip("line", "line_words")).alias("x"))
@@ -121,13 +121,13 @@ def _verdicts(scratch: Scratch, docs: DataFrame, host: str, max_docs: int, max_l
     return out, removed
 
 
-def line_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS, max_lost: int = MAX_LOST) -> DataFrame:
+def line_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_line_words: int | None = None, max_lost: int = MAX_LOST) -> DataFrame:
     """Per row: doc_id, base figures, base_failed, kept and lost_words."""
     out, _ = _verdicts(Scratch(docs.sparkSession, "line-rules"), docs, host, max_docs, max_line_words, max_lost)
     return out.drop("key")
 
 
-def apply_line_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS, max_lost: int = MAX_LOST) -> DataFrame:
+def apply_line_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_line_words: int | None = None, max_lost: int = MAX_LOST) -> DataFrame:
     """The kept rows of ``docs``, their columns unchanged but for the text without its removed lines.
 
     An ``n_chars`` column, if there, follows the text.

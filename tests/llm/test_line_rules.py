@@ -72,6 +72,14 @@ def test_copies_count_once(spark):
     assert all(r.kept for r in lr.line_rules(df, max_docs=4).collect())
 
 
+def test_long_lines_count(spark):
+    passage = " ".join(f"p{j}" for j in range(60))
+    rows = [(i, passage + "\n" + " ".join(f"d{i}x{j}" for j in range(15 if i < 60 else 40)), "a") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {(r.doc_id, r.lost_words, r.kept) for r in lr.line_rules(df).collect()} == {(i, 60, i >= 60) for i in range(120)}
+    assert {r.doc_id: r.text for r in lr.apply_line_rules(df).collect()} == {i: t.split("\n")[1] for i, t, _ in rows[60:]}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert lr.line_rules(df).collect() == [] and lr.apply_line_rules(df).collect() == []

@@ -2,8 +2,10 @@
 
 Every line of a text is normalised (A-Z to lower case, digits to 0, white
 space runs to one blank, trimmed) and hashed.  For each host the distinct
-documents that hold a line are counted; texts that are equal count as one
-document, so a group of copies does not condemn its own lines.  Lines of any
+documents that hold a line are counted; texts that are equal or near copies
+(one component of the n-gram Jaccard join over the texts that hold a line found
+in more than ``max_docs`` texts) count as one document, so a group of copies
+does not condemn its own lines.  Lines of any
 length found in more than ``max_docs`` documents of the host are removed, and a
 document that loses more than ``max_lost`` percent of its words to them is
 rejected, as is one that fails the base rules (fewer than 20 words, or over
@@ -25,10 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.ngram_join import ngram_jaccard_join
 from newsloom.llm.scratch import Scratch
 from newsloom.llm.words import _WORD, chunks, shingles, slices, word_hashes
 
 MAX_DOCS, MAX_LOST = 100, 75
+#: Size of the filter that keeps texts without a frequent line out of a shuffle.
+FILTER_BITS = 1 << 22
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _LOWER_ZERO = bytes(ord("0") if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -40,6 +45,11 @@ def line_key(raw: bytes) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63, len(words)
 
 
+def text_key(text: str | None, host: int) -> int:
+    """What equal texts of a host share; ``host`` is its hash."""
+    return xxhash.xxh3_64_intdigest((text or "").encode(), seed=host & 0xFFFFFFFFFFFFFFFF) - 2**63
+
+
 def repeated_words(hashes: np.ndarray, k: int = 8) -> int:
     """Words inside k-word windows that occur twice or more, the first included."""
     runs = shingles(hashes, k)
@@ -103,16 +113,45 @@ def profiles(docs: DataFrame, host: str, max_line_words: int | None) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col(host)).alias("host"), "text").mapInArrow(run, PROFILE)
 
 
+def near_copy_classes(scratch: Scratch, docs: DataFrame, host: str, keys: DataFrame) -> DataFrame:
+    """(key, component): the near-copy component of each text among ``keys``."""
+    bits = np.zeros(FILTER_BITS, bool)
+    bits[keys.select(F.pmod("key", F.lit(FILTER_BITS)).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()] = True
+    may = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(may.value).view(bool)
+        for batch in (part for whole in batches for part in slices(whole)):
+            own = np.array([text_key(t, h) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+            keep = pa.array(held[own % FILTER_BITS])
+            yield pa.RecordBatch.from_arrays([pa.array(own).filter(keep), batch.column(1).filter(keep)], ["key", "text"])
+
+    texts = docs.select(F.xxhash64(F.col(host)).alias("host"), "text").mapInArrow(keyed, "key long, text string")
+    texts = scratch.save(texts.join(keys, "key").dropDuplicates(["key"]).select(F.col("key").alias("doc_id"), "text"), "texts")
+    found = scratch.save(ngram_jaccard_join(texts).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")), "classes")
+    scratch.drop(texts)
+    return found
+
+
 def _verdicts(scratch: Scratch, docs: DataFrame, host: str, max_docs: int, max_line_words: int | None, max_lost: int) -> tuple[DataFrame, DataFrame]:
     """The verdict of each row, and the removed lines (key, line) of each distinct text."""
     all_docs = scratch.save(profiles(docs, host, max_line_words), "profiles")
     distinct = all_docs.dropDuplicates(["key"]).select("host", "key", F.explode(F.arrays_zip("line", "line_words")).alias("x"))
     distinct = scratch.save(distinct.select("host", "key", F.col("x.line").alias("line"), F.col("x.line_words").alias("words")), "lines")
-    frequent = distinct.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs).select("host", "line")
-    # a line may be in very many documents: the lines are dealt out by document too
     salts = 16
-    frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    removed = distinct.withColumn("salt", F.pmod("key", F.lit(salts)).cast("int")).join(frequent, ["host", "line", "salt"]).select("key", "line", "words")
+
+    def holding(frequent: DataFrame) -> DataFrame:
+        # a line may be in very many documents: the lines are dealt out by document too
+        dealt = frequent.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        return lines.withColumn("salt", F.pmod("key", F.lit(salts)).cast("int")).join(dealt, ["host", "line", "salt"]).select("host", "line", "key", "words")
+
+    lines = distinct
+    lines = scratch.save(holding(distinct.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs)), "frequent")
+    if not lines.isEmpty():
+        classes = near_copy_classes(scratch, docs, host, lines.select("key").distinct())
+        counted = lines.join(classes, "key").groupBy("host", "line").agg(F.countDistinct("component").alias("docs"))
+        lines = scratch.save(holding(counted.where(F.col("docs") > max_docs)), "removed")
+    removed = lines.select("key", "line", "words")
     lost = removed.groupBy("key").agg(F.sum("words").alias("lost_words"))
     out = all_docs.drop("line", "line_words").join(lost, "key", "left")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
@@ -144,7 +183,7 @@ def apply_line_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             hosts = batch.column(len(names)).to_pylist()
-            keys = [xxhash.xxh3_64_intdigest((t or "").encode(), seed=h & 0xFFFFFFFFFFFFFFFF) - 2**63 for t, h in zip(batch.column(at).to_pylist(), hosts, strict=True)]
+            keys = [text_key(t, h) for t, h in zip(batch.column(at).to_pylist(), hosts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *batch.columns[:-1]], ["key", *names])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

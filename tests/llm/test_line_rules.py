@@ -72,6 +72,18 @@ def test_copies_count_once(spark):
     assert all(r.kept for r in lr.line_rules(df, max_docs=4).collect())
 
 
+def test_near_copies_count_once(spark):
+    def copy(i):
+        return "\n".join(" ".join(f"own{i}" if (j, k) == (7, 4) else f"w{j}x{k}y" for k in range(9)) for j in range(16))
+
+    own = [(1000 + i, " ".join(f"e{i}x{j}" for j in range(40)) + "\nread more here", "a") for i in range(110)]
+    rows = [(i, copy(i), "a") for i in range(150)] + own
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.text for r in lr.apply_line_rules(df).collect()}
+    assert all(kept[i] == t for i, t, _ in rows[:150])
+    assert all(kept[i] == t.split("\n")[0] for i, t, _ in own)
+
+
 def test_long_lines_count(spark):
     passage = " ".join(f"p{j}" for j in range(60))
     rows = [(i, passage + "\n" + " ".join(f"d{i}x{j}" for j in range(15 if i < 60 else 40)), "a") for i in range(120)]

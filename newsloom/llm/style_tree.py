@@ -7,9 +7,10 @@ are counted.  A path whose content recurs from page to page and whose look
 never varies has low entropy-based importance, as in templates; each page
 loses such branches.  Branches that say what they are (nav, header, footer,
 aside, form, script, style and the like, or classes such as ad, menu, notice,
-comments) carry no importance at all, and an article or main element carries
-it all, so shared articles survive.  What no article holds stands on its own
-importance.
+comments) carry no importance at all.  All others stand on their importance,
+and an article or main element is a prior: inside it a branch stays unless its
+importance is low while the element's own is not, so shared articles survive;
+beside one a block stays only if its importance is high.
 
 Text rules: the blocks of the kept branches in page order; character
 references decoded; white space inside a block one blank; trimmed; joined by
@@ -34,7 +35,9 @@ from newsloom.llm.scratch import Scratch
 from newsloom.llm.url_lists import host
 
 MIN_PAGES, THRESHOLD, GAMMA, DEPTH = 8, 0.25, 0.9, 6
-#: Low-importance paths held in a broadcast at most; beyond it they are joined.
+#: From here on importance outweighs that a block is not in the page's article.
+HIGH = 1 - THRESHOLD
+#: Paths of low or high importance held in a broadcast at most; beyond it they are joined.
 BROADCAST_PATHS = 50_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*>|</?[A-Za-z][^>]*(?:>|$)|[^<]+|<""", re.S)
@@ -56,10 +59,11 @@ _CLOSES |= {b: ("p",) for b in _BLOCK - {"li", "p", "dt", "dd", "tr", "td", "th"
 class Block:
     """A run of text without a block boundary, with the branch that it stands on."""
 
-    __slots__ = ("main", "noise", "paths", "text")
+    __slots__ = ("inside", "main", "noise", "paths", "text")
 
-    def __init__(self, text: str, paths: tuple[int, ...], noise: bool, main: bool):
+    def __init__(self, text: str, paths: tuple[int, ...], noise: bool, main: bool, inside: int):
         self.text, self.paths, self.noise, self.main = text, paths, noise, main
+        self.inside = inside  # where the outermost main element is in paths
 
 
 @cache
@@ -78,11 +82,11 @@ def _past(html: str, tag: str, at: int) -> int | None:
     return end + 1 if end >= 0 else len(html)
 
 
-def read_page(html: str, pass_main: bool = False) -> tuple[list[Block], dict[int, list[int]]]:
+def read_page(html: str) -> tuple[list[Block], dict[int, list[int]]]:
     """The blocks of a page in order, and for each path the looks of its elements.
 
     Branches without importance are passed over whole where their end is
-    plain, and so are main ones with ``pass_main``.
+    plain.
 
     A small forgiving reader: unclosed paragraphs, list items and cells end
     where HTML ends them; an end tag closes up to its own start tag, or
@@ -101,7 +105,7 @@ def read_page(html: str, pass_main: bool = False) -> tuple[list[Block], dict[int
             held.clear()
             if text:
                 top = stack[-1]
-                blocks.append(Block(text, tuple(dict.fromkeys(e[1] for e in stack[1 : DEPTH + 1])), top[2], top[3]))
+                blocks.append(Block(text, tuple(e[1] for e in stack[1 : DEPTH + 1]), top[2], top[3], sum(not e[3] for e in stack[1 : DEPTH + 1])))
 
     def close(at: int) -> None:
         if any(e[0] in _BLOCK for e in stack[at:]):
@@ -170,7 +174,7 @@ def read_page(html: str, pass_main: bool = False) -> tuple[list[Block], dict[int
         noise = not body and (above[2] or hidden or tag in _NOISE_TAG or role in _NOISE_ROLE or bool(names and tag not in ("article", "main") and _NOISE_NAME.search(names)))
         if tag in ("article", "main") and not above[3]:
             noise = above[2]
-        if (noise or (main and pass_main)) and (past := _past(html, tag, at)) is not None:
+        if noise and (past := _past(html, tag, at)) is not None:
             at = past
             continue
         stack.append([tag, path, noise, main, 7])
@@ -200,11 +204,9 @@ def features(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for own, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks, looks = read_page(html or "", True)
+                blocks, looks = read_page(html or "")
                 seen = {(own, path, 1, look) for path, all_looks in looks.items() for look in all_looks}
                 for b in blocks:
-                    if b.main and not b.noise:
-                        continue  # kept whatever its importance
                     content = xxhash.xxh3_64_intdigest(b.text.lower()) - 2**63
                     for path in b.paths:
                         seen.add((own, path, 0, 0))
@@ -232,12 +234,18 @@ def importance(found: DataFrame) -> DataFrame:
     return out.select("host", "path", "pages", (GAMMA * F.coalesce("content", F.lit(1.0)) + (1 - GAMMA) * F.col("look")).alias("importance"))
 
 
-def main_text(html: str | None, low: set[int] | frozenset[int]) -> str:
-    """The kept blocks of a page; ``low``: its site's paths of low importance."""
+def main_text(html: str | None, low: set[int] | frozenset[int], high: set[int] | frozenset[int] = frozenset()) -> str:
+    """The kept blocks of a page; ``low`` and ``high``: its site's paths of low and of high importance."""
     blocks, _ = read_page(html or "")
     main = any(b.main and not b.noise for b in blocks)
-    kept = [b.text for b in blocks if not b.noise and (b.main or not main) and (b.main or not low.intersection(b.paths))]
-    return "\n".join(kept)
+
+    def stays(b: Block) -> bool:
+        if b.main:
+            own, *inner = b.paths[b.inside :] or (0,)
+            return own in low or not low.intersection(inner)
+        return not low.intersection(b.paths) and (not main or b.paths[-1:] != () and b.paths[-1] in high)
+
+    return "\n".join(b.text for b in blocks if not b.noise and stays(b))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THRESHOLD) -> DataFrame:
@@ -245,24 +253,27 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THR
     spark = pages.sparkSession
     scratch = Scratch(spark, "style-tree")
     pages = pages.select("page_id", "url", F.coalesce(host(F.col("url")), F.lit("")).alias("host"), "html")
-    low = importance(features(pages)).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).select("host", "path")
-    low = scratch.save(low, "low")
+    known = importance(features(pages)).where((F.col("pages") >= min_pages) & ((F.col("importance") < threshold) | (F.col("importance") >= HIGH)))
+    known = scratch.save(known.select("host", "path", (F.col("importance") < threshold).alias("low")), "known")
     schema = "page_id long, url string, text string"
 
-    def run(batches: Iterator[pa.RecordBatch], held: dict[str, frozenset[int]] | None = None) -> Iterator[pa.RecordBatch]:
+    none: frozenset[int] = frozenset()
+
+    def run(batches: Iterator[pa.RecordBatch], held: dict[str, tuple[set[int], set[int]]] | None = None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, htmls = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            paths = [held.get(h, frozenset()) for h in hosts] if held is not None else [frozenset(x or ()) for x in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([main_text(h, p) for h, p in zip(htmls, paths, strict=True)], pa.string())], ["page_id", "url", "text"])
+            paths = [held.get(h, (none, none)) for h in hosts] if held is not None else [(set(x or ()), set(y or ())) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([main_text(h, *p) for h, p in zip(htmls, paths, strict=True)], pa.string())], ["page_id", "url", "text"])
 
     pages = pages.withColumn("page_id", F.col("page_id").cast("long"))
-    if low.count() <= BROADCAST_PATHS:
-        rows: dict[str, set[int]] = {}
-        for r in low.collect():
-            rows.setdefault(r["host"], set()).add(r["path"])
-        shared = spark.sparkContext.broadcast({h: frozenset(p) for h, p in rows.items()})
+    if known.count() <= BROADCAST_PATHS:
+        rows: dict[str, tuple[set[int], set[int]]] = {}
+        for r in known.collect():
+            rows.setdefault(r["host"], (set(), set()))[not r["low"]].add(r["path"])
+        shared = spark.sparkContext.broadcast(rows)
         return pages.mapInArrow(lambda batches: run(batches, shared.value), schema)
     # a host may have most pages: its paths are repeated for each salt
-    salted = low.groupBy("host").agg(F.collect_set("path").alias("paths")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    lists = known.groupBy("host").agg(F.collect_set(F.when(F.col("low"), F.col("path"))).alias("lows"), F.collect_set(F.when(~F.col("low"), F.col("path"))).alias("highs"))
+    salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
     joined = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(32)).cast("int")).join(salted, ["host", "salt"], "left")
-    return joined.select("page_id", "url", "host", "html", "paths").mapInArrow(run, schema)
+    return joined.select("page_id", "url", "host", "html", "lows", "highs").mapInArrow(run, schema)

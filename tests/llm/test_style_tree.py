@@ -35,5 +35,15 @@ def test_templates_leave_and_articles_stay(spark, monkeypatch, limit):
     assert got[200] == "" and got[201] == ""
 
 
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_importance_decides_inside_and_beside_articles(spark, monkeypatch, limit):
+    monkeypatch.setattr(st, "BROADCAST_PATHS", limit)
+    inside = "<body><article><p>text number %d of this page</p><div class='zz'><p>same on every page</p></div></article></body>"
+    beside = "<body><article><p>short teaser %d</p></article><div class='zz'><p>same on every page</p></div><div class='body'><p>text number %d beside it</p></div></body>"
+    rows = [(i, "http://in.org/", inside % i) for i in range(30)] + [(100 + i, "http://by.org/", beside % (i, i)) for i in range(30)]
+    got = {r.page_id: r.text for r in st.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text number {i} of this page" for i in range(30)} | {100 + i: f"short teaser {i}\ntext number {i} beside it" for i in range(30)}
+
+
 def test_empty(spark):
     assert st.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.scratch import Scratch
 from newsloom.llm.url_lists import host
 
-MIN_PAGES, THRESHOLD, GAMMA, DEPTH = 8, 0.25, 0.9, 6
+MIN_PAGES, THRESHOLD, GAMMA = 8, 0.25, 0.9
 #: From here on importance outweighs that a block is not in the page's article.
 HIGH = 1 - THRESHOLD
 #: Paths of low or high importance held in a broadcast at most; beyond it they are joined.
@@ -105,7 +105,7 @@ def read_page(html: str) -> tuple[list[Block], dict[int, list[int]]]:
             held.clear()
             if text:
                 top = stack[-1]
-                blocks.append(Block(text, tuple(e[1] for e in stack[1 : DEPTH + 1]), top[2], top[3], sum(not e[3] for e in stack[1 : DEPTH + 1])))
+                blocks.append(Block(text, tuple(e[1] for e in stack[1:]), top[2], top[3], sum(not e[3] for e in stack[1:])))
 
     def close(at: int) -> None:
         if any(e[0] in _BLOCK for e in stack[at:]):

@@ -45,5 +45,11 @@ def test_importance_decides_inside_and_beside_articles(spark, monkeypatch, limit
     assert got == {i: f"text number {i} of this page" for i in range(30)} | {100 + i: f"short teaser {i}\ntext number {i} beside it" for i in range(30)}
 
 
+def test_deep_templates_leave(spark):
+    page = "<html><body>" + "<div>" * 6 + "<div class='x'><p>same on every page</p></div><div class='y'><p>text number %d of this page</p></div>" + "</div>" * 6
+    df = spark.createDataFrame([(i, "http://deep.org/", page % i) for i in range(30)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in st.extract(df).collect()} == {i: f"text number {i} of this page" for i in range(30)}
+
+
 def test_empty(spark):
     assert st.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

@@ -149,14 +149,26 @@ WITH d AS (
     SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n FROM g) WHERE n > 1
   ) GROUP BY doc_id
 ), l AS (
-  SELECT doc_id, source, t, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+') AS lw
-  FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  SELECT doc_id, source, t, key, line, array_to_string(lw, ' ') AS norm, len(lw) AS n FROM (
+    SELECT doc_id, source, t, md5(concat_ws(':', doc_id, md5(t))) AS key, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+') AS lw
+    FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]'))
+), w AS (
+  SELECT source, key, norm, any_value(n) AS n, count(*) AS times FROM l GROUP BY source, key, norm
 ), f AS (
-  SELECT source, array_to_string(lw, ' ') AS norm FROM l WHERE len(lw) <= 40 GROUP BY ALL HAVING count(DISTINCT t) > 100
+  SELECT source, norm, count(*) AS docs FROM w GROUP BY source, norm HAVING count(*) > 100
+), a AS (
+  SELECT w.source, w.key, w.norm, w.n * w.times AS words, f.docs FROM w JOIN f ON f.source IS NOT DISTINCT FROM w.source AND f.norm = w.norm
+), z AS (
+  SELECT source, key, sum(n * times) AS n FROM w GROUP BY source, key
+), y AS (
+  SELECT a.source, a.key FROM a JOIN z ON z.source IS NOT DISTINCT FROM a.source AND z.key = a.key GROUP BY a.source, a.key, z.n HAVING sum(a.words) * 100 > z.n * 75
+), o AS (
+  SELECT a.source, a.norm FROM a JOIN y ON y.source IS NOT DISTINCT FROM a.source AND y.key = a.key GROUP BY a.source, a.norm, a.docs HAVING count(*) * 100 >= a.docs * 90
 ), s AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id
 ), x AS (
-  SELECT l.doc_id, sum(len(lw)) AS lost_words FROM l JOIN f ON f.source IS NOT DISTINCT FROM l.source AND f.norm = array_to_string(lw, ' ') GROUP BY l.doc_id
+  SELECT l.doc_id, sum(l.n) AS lost_words FROM l JOIN f ON f.source IS NOT DISTINCT FROM l.source AND f.norm = l.norm
+  WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source IS NOT DISTINCT FROM l.source AND o.norm = l.norm) GROUP BY l.doc_id
 ), b AS (
   SELECT d.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(s.n_dup_lines, 0) AS n_dup_lines,
     coalesce(r.n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(x.lost_words, 0) AS BIGINT) AS lost_words

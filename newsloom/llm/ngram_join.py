@@ -47,6 +47,8 @@ from newsloom.llm.words import mix, slices, text_shingles
 SKETCH_BITS = 20
 #: Rows of one token group or side of a cell, and sets of one block, at most on average.
 GROUP_ROWS, BLOCK_SETS = 2000, 128
+#: Pairs that a task holds before it passes them on.
+PAIRS_HELD = 200_000
 #: Largest Bloom filter for the documents whose sets a round needs, in bits.
 BLOOM_BITS = 1 << 26
 _ROUND = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 1 << 12, dtype=np.uint64)
@@ -427,10 +429,19 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     cells = cells.select("token", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "sid", "n", "pos", "comp")
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a cell from different components, its rows sorted by size."""
-        seen: set[tuple[int, int]] = set()
+        """Pairs of a cell from different components, its rows sorted by size; passed on as arrays of bounded length."""
+        held: list[np.ndarray] = []
+        size = 0
 
-        def pairs(cell: dict[str, np.ndarray]) -> None:
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            pair = np.unique(np.concatenate(held, axis=1), axis=1) if held else np.zeros((2, 0), np.int64)
+            held.clear()
+            size = 0
+            return pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], ["hub", "other"])
+
+        def pairs(cell: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal size
             n, pos, comp, sid, side = (cell[x] for x in ("n", "pos", "comp", "sid", "side"))
             split = cell["i"][0] != cell["j"][0]
             top = np.searchsorted(n * num, n * den, "right")
@@ -439,36 +450,31 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
                 ok = (comp[c] != comp[r]) & (np.minimum(n[r] - pos[r], n[c] - pos[c]) * (num + den) >= (n[r] + n[c]) * num)
                 if split:
                     ok &= side[c] != side[r]
-                for o in sid[c][ok].tolist():
-                    a = int(sid[r])
-                    seen.add((a, o) if a < o else (o, a))
-
-        def flush() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array([a for a, _ in seen], pa.int64()), pa.array([b for _, b in seen], pa.int64())], ["hub", "other"])
-            seen.clear()
-            return out
+                o = sid[c][ok]
+                if len(o):
+                    held.append(np.stack([np.minimum(o, sid[r]), np.maximum(o, sid[r])]))
+                    size += len(o)
+                    if size > PAIRS_HELD:
+                        yield flush()
 
         rest: pa.Table | None = None
         names = ["token", "i", "j", "side", "sid", "n", "pos", "comp"]
 
-        def work(table: pa.Table, last: bool) -> pa.Table | None:
-            if not table.num_rows:
-                return None
+        def cells_of(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
             col = {x: table.column(x).to_numpy().astype(np.int64) for x in names}
             new = np.flatnonzero((np.diff(col["token"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)) + 1
             cut = np.r_[0, new, table.num_rows]
             for a, b in zip(cut[:-1] if last else cut[:-2], cut[1:] if last else cut[1:-1], strict=True):
                 if b - a > 1:
-                    pairs({x: v[a:b] for x, v in col.items()})
+                    yield from pairs({x: v[a:b] for x, v in col.items()})
             return None if last else table.slice(cut[-2])
 
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = work(table if rest is None else pa.concat_tables([rest, table]).combine_chunks(), False)
-            if len(seen) > 200_000:
-                yield flush()
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                rest = yield from cells_of(table if rest is None else pa.concat_tables([rest, table]).combine_chunks(), False)
         if rest is not None:
-            work(rest, True)
+            yield from cells_of(rest, True)
         yield flush()
 
     dealt = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "sid")

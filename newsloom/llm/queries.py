@@ -26,10 +26,10 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.vec_id AS query_id, q.e AS ask, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 20 = 0) q JOIN v c ON c.vec_id <> q.vec_id
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+  SELECT query_id, row_number() OVER (PARTITION BY query_id, ask ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
@@ -77,7 +77,7 @@ WITH u AS (
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)', 1) AS segment
   FROM pages
 ), a AS (
-  SELECT page_id, fetch_day, 0 AS rank, 'domain' AS kind, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS value FROM u
+  SELECT page_id, fetch_day, 0 AS rank, 'domain' AS kind, regexp_extract(host, '([^.]+\.(?:(?:ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z]{2}|[^.]+))$', 1) AS value FROM u
   UNION ALL SELECT page_id, fetch_day, 1, 'host', host FROM u
   UNION ALL SELECT page_id, fetch_day, 2, 'prefix', host || segment FROM u
 ), k AS (

@@ -12,7 +12,8 @@ Ties stay until the end, where the smaller id wins.
 Vectors that are null, hold a null or a non-finite component, or have a null
 id take no part.  Vectors of different lengths are padded with zeros.  A
 query's own id is no candidate, repeated rows of other ids are candidates
-each.  Cells are a grid of blocks: each block of candidates meets each block
+each.  Query rows that are equal ask once; an id with several different
+vectors asks once for each of them.  Cells are a grid of blocks: each block of candidates meets each block
 of queries once.
 """
 
@@ -119,10 +120,21 @@ def _packed(df: DataFrame, block: str, count: int) -> DataFrame:
         out = np.zeros((len(ids), max(size.max(), 1)), np.int64)
         row = np.repeat(np.arange(len(ids)), size)
         out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
-        return pa.table({block: pa.array([key[0].as_py()], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "dims": pa.array([out.shape[1]], pa.int32()), "data": [out.T.copy().tobytes()]})
+        # a block travels once for each block of the other side: in the smallest type that holds it
+        kind = next(t for t in ("i1", "i2", "i4", "i8") if np.iinfo(t).min <= out.min(initial=0) and out.max(initial=0) <= np.iinfo(t).max)
+        return pa.table(
+            {
+                block: pa.array([key[0].as_py()], pa.int32()),
+                "ids": [ids.astype(np.int64).tobytes()],
+                "asks": [table.column("ask").to_numpy().astype(np.int64).tobytes()],
+                "dims": pa.array([out.shape[1]], pa.int32()),
+                "kind": [kind],
+                "data": [out.T.astype(kind).tobytes()],
+            }
+        )
 
     dealt = df.withColumn(block, F.pmod(F.xxhash64(F.lit(block), "vec_id"), F.lit(count)).cast("int"))
-    return dealt.groupBy(block).applyInArrow(pack, f"{block} int, ids binary, dims int, data binary")
+    return dealt.groupBy(block).applyInArrow(pack, f"{block} int, ids binary, asks binary, dims int, kind string, data binary")
 
 
 def exact_top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20) -> DataFrame:
@@ -130,19 +142,20 @@ def exact_top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 2
     fine = F.forall("embedding", lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     rows = vectors.where("vec_id is not null and embedding is not null").where(fine)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * float(scale)).cast("long")).alias("v"))
-    queries = rows.where(F.col("vec_id") % every == 0)
+    rows = rows.withColumn("ask", F.xxhash64("v"))
+    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "ask"])
     # counts only fix the number of blocks
     n, q = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
     n_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-q // QUERIES))
     left = _packed(rows, "cb", n_blocks).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = _packed(queries, "qb", q_blocks).toDF("qb", "q_ids", "q_dims", "q_data").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    right = _packed(queries, "qb", q_blocks).toDF("qb", "q_ids", "q_asks", "q_dims", "q_kind", "q_data").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell in batch.to_pylist():
-                ids, own = np.frombuffer(cell["ids"], np.int64), np.frombuffer(cell["q_ids"], np.int64)
-                columns = np.frombuffer(cell["data"], np.int64).reshape(cell["dims"], len(ids))
-                asked = np.frombuffer(cell["q_data"], np.int64).reshape(cell["q_dims"], len(own)).T
+                ids, own, asks = (np.frombuffer(cell[x], np.int64) for x in ("ids", "q_ids", "q_asks"))
+                columns = np.frombuffer(cell["data"], cell["kind"]).reshape(cell["dims"], len(ids)).astype(np.int64)
+                asked = np.frombuffer(cell["q_data"], cell["q_kind"]).reshape(cell["q_dims"], len(own)).T.astype(np.int64)
                 dims = min(columns.shape[0], asked.shape[1])
                 columns, asked = columns[:dims], asked[:, :dims]
                 most = float(np.abs(columns).max(initial=0)) * float(np.abs(asked).max(initial=0)) * dims
@@ -151,9 +164,10 @@ def exact_top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 2
                 else:
                     mass = (columns.astype(float) ** 2).sum(axis=0)
                     got = [top_of(asked[i], own[i], ids, columns, mass, k) for i in range(len(own))]
-                yield pa.record_batch([pa.array(np.repeat(own, [len(g[0]) for g in got])), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], ["query_id", "vec_id", "score"])
+                each = [len(g[0]) for g in got]
+                yield pa.record_batch([pa.array(np.repeat(own, each)), pa.array(np.repeat(asks, each)), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], ["query_id", "ask", "vec_id", "score"])
 
-    cells = left.join(right, ["qb", "cb"]).select("ids", "dims", "data", "q_ids", "q_dims", "q_data")
-    found = cells.mapInArrow(search, "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    cells = left.join(right, ["qb", "cb"]).select("ids", "dims", "kind", "data", "q_ids", "q_asks", "q_dims", "q_kind", "q_data")
+    found = cells.mapInArrow(search, "query_id long, ask long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: From the least to the most specific; a later kind overrules an earlier one.
 KINDS = ("domain", "host", "prefix")
 SALTS = 16
+#: Second-level labels under which two-letter countries register domains.
+SECOND = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
 
 
 def host(url: Column) -> Column:
@@ -32,7 +34,7 @@ def values(url: Column) -> dict[str, Column]:
     """The list values that a URL falls under, by kind."""
     own = host(url)
     segment = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)", 1)
-    return {"domain": F.regexp_extract(own, r"([^.]+\.[^.]+)$", 1), "host": own, "prefix": F.concat(own, segment)}
+    return {"domain": F.regexp_extract(own, rf"([^.]+\.(?:(?:{'|'.join(SECOND)})\.[a-z]{{2}}|[^.]+))$", 1), "host": own, "prefix": F.concat(own, segment)}
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -47,16 +49,20 @@ def filter_captures(captures: DataFrame, entries: DataFrame, key: str = "page_id
     """``captures`` with kind, value, action, valid_from and valid_to of the deciding entry.
 
     ``key`` must name each capture.  A host may have most captures: intervals
-    are repeated for each salt and captures are dealt by it.
+    are repeated for each salt and captures are dealt by it.  Columns of
+    captures named as the result's five are replaced.
     """
-    by_kind = values(F.col(url))
-    asked = captures.select(F.col(key).alias("k"), F.col(day).alias("at"), F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("kind"), by_kind[kind].alias("value")) for i, kind in enumerate(KINDS)])).alias("x"))
+    by_kind = values(F.col(f"`{url}`"))
+    asked = captures.select(F.col(f"`{key}`").alias("k"), F.col(f"`{day}`").alias("at"), F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("kind"), by_kind[kind].alias("value")) for i, kind in enumerate(KINDS)])).alias("x"))
     asked = asked.select("k", "at", "x.*", F.pmod(F.xxhash64("k"), F.lit(SALTS)).alias("salt")).where("value <> ''")
     held = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     found = asked.join(held, ["kind", "value", "salt"]).where("at >= valid_from and (valid_to is null or at < valid_to)")
     best = found.groupBy("k").agg(F.max(F.struct("rank", "kind", "value", "action", "valid_from", "valid_to")).alias("best"))
-    joined = captures.join(best, captures[key] == best["k"], "left").drop("k")
-    return joined.select(*[captures[c] for c in captures.columns], *[F.col(f"best.{c}").alias(c) for c in ("kind", "value", "action", "valid_from", "valid_to")])
+    columns, names = captures.columns, [f"c{i}" for i in range(len(captures.columns))]
+    plain = captures.toDF(*names)
+    joined = plain.join(best, plain[names[columns.index(key)]] == best["k"], "left")
+    made = ("kind", "value", "action", "valid_from", "valid_to")
+    return joined.select(*[F.col(n).alias(c) for n, c in zip(names, columns, strict=True) if c not in made], *[F.col(f"best.{c}").alias(c) for c in made])
 
 
 def demo_captures(pages: DataFrame) -> DataFrame:

@@ -58,6 +58,7 @@ def test_components_equal_brute_force(spark, seed, group, monkeypatch):
     rows = corpus(seed)
     monkeypatch.setattr(nj, "GROUP_ROWS", group)
     monkeypatch.setattr(nj, "BLOCK_SETS", 3 if group == 3 else 128)
+    monkeypatch.setattr(nj, "PAIRS_HELD", 5 if group == 3 else 200_000)
     if group == 3:  # every bucket frequent, so tokens are salted
         monkeypatch.setattr(nj, "order_levels", lambda c: (np.minimum(c, 200).astype(np.uint8), c.astype(np.int64)))
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, sid string, n string")

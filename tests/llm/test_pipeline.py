@@ -45,3 +45,15 @@ def test_stages_take_effect(spark, tmp_path):
 def test_secrets_are_masked(spark, tmp_path):
     df = spark.createDataFrame([(1, "key token=abcdefgh1 end", "en", "a", 23)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [(x.text, x.n_chars) for x in corpus_pipeline.secrets(spark, df, "").collect()] == [("key [SECRET] end", 16)]
+
+
+def test_near_copies_drop_only_equal_rows(spark):
+    """Two texts of one id are two documents; a third of another id stays too; empty tables stay empty."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(3)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[2]), (None, texts[1]), (None, None), (5, None), (6, ""), (7, "long " * 200_000)]
+    df = spark.createDataFrame([(*x, "en", "a", 0, "own") for x in rows], "doc_id long, text string, lang string, source string, n_chars long, own string")
+    got = sorted(((x.doc_id or -1), (x.text or "")[:9]) for x in corpus_pipeline.near_copies(spark, df, "").collect())
+    assert got == sorted([(1, texts[0][:9]), (1, texts[1][:9]), (2, texts[2][:9]), (-1, ""), (5, ""), (6, ""), (7, "long long")])
+    empty = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").collect() == []

@@ -37,3 +37,15 @@ def test_large_components(spark):
     rows = [(0, [3e9, 2.0]), (1, [1.0, 5.0]), (2, [2.0, 5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.exact_top_k(df).collect())) == brute(rows)
+
+
+def test_repeated_rows(spark):
+    """Equal query rows ask once; equal candidates count each; an id with two vectors asks for both."""
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=6).astype("float32").tolist()) for i in range(1, 41)]
+    got = sorted(map(tuple, topk.exact_top_k(spark.createDataFrame([*rows, rows[19]], "vec_id long, embedding array<float>")).collect()))
+    assert [x for x in got if x[0] == 20] == [x for x in brute(rows) if x[0] == 20]
+    forty = [x for x in got if x[0] == 40]
+    assert len(forty) == 20 and sum(x[2] == 20 for x in forty) in (0, 1, 2)
+    two = spark.createDataFrame([*rows, (20, [9.0] * 6)], "vec_id long, embedding array<float>")
+    assert sum(x.query_id == 20 for x in topk.exact_top_k(two).collect()) == 40

@@ -23,3 +23,12 @@ def test_as_of(spark):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert ul.filter_captures(ul.demo_captures(pages), ul.demo_entries(pages)).collect() == []
+
+
+def test_clashing_columns_repeats_and_long_urls(spark):
+    entries = spark.createDataFrame([("domain", "b.co.uk", D(2024, 1, 1), "block"), ("domain", "co.uk", D(2024, 1, 1), "allow"), ("prefix", "a.org/" + "p" * 50_000, D(2024, 1, 1), "block")], "kind string, value string, day date, action string")
+    rows = [(1, "http://x.b.co.uk/q", D(2024, 2, 1), "own", 7, "s"), (1, "http://x.b.co.uk/q", D(2024, 2, 1), "own", 7, "s"), (2, "http://a.org/" + "p" * 50_000 + "/z?" + "q" * 100_000, D(2024, 2, 1), None, None, None)]
+    out = ul.filter_captures(spark.createDataFrame(rows, "page_id long, url string, fetch_day date, kind string, k int, salt string"), entries)
+    assert out.columns == ["page_id", "url", "fetch_day", "k", "salt", "kind", "value", "action", "valid_from", "valid_to"]
+    assert sorted((r.page_id, r.k, r.kind, r.value[:7], r.action) for r in out.collect() if r.page_id == 1) == [(1, 7, "domain", "b.co.uk", "block")] * 2
+    assert [(r.kind, r.action) for r in out.collect() if r.page_id == 2] == [("prefix", "block")]

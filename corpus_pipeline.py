@@ -27,13 +27,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays.
 
-    Rows without an id or without words link with nothing and stay; of
-    repeated rows of one id one stays.
+    A document is a pair of id and text: rows equal in both are one document
+    and one of them stays, different texts of one id are documents each.
+    Documents without words link with nothing and stay; a null id is last.
     """
-    linked = ngram_jaccard_join(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(linked, "doc_id", "left_anti").select(docs.columns)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
-    return kept.withColumn("own_key", key).dropDuplicates(["own_key"]).select(docs.columns)
+    own = F.xxhash64("doc_id", "text")
+    rows = docs.select(own.alias("own"), "doc_id", "text")
+    linked = ngram_jaccard_join(rows.select(F.col("own").alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "component_id").distinct()
+    ids = rows.select("own", F.col("doc_id").isNull().alias("last"), "doc_id").distinct()
+    first = linked.join(ids, "own").groupBy("component_id").agg(F.min(F.struct("last", "doc_id", "own")).alias("first")).select("first.own")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns], own).toDF(*names, "own").join(first, "own", "left_semi").dropDuplicates(["own"])
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

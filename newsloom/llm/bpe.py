@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.scratch import small_batches
+
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
 #: Characters encoded at a time, unless one text is longer.
@@ -209,6 +211,7 @@ def _decoder(path: str) -> pa.Array:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` without its text column, with ``ids array<int>`` (null text: none)."""
+    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c != text]
     order = df.select(F.col(f"`{text}`").cast("string").alias(text), *[F.col(f"`{c}`") for c in rest])
     schema = ", ".join([f"`{c}` {order.schema[c].dataType.simpleString()}" for c in rest] + [f"`{ids}` array<int>"])

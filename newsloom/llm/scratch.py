@@ -2,8 +2,10 @@
 
 A step that is read more than once, or that ends a loop round, is written as
 Parquet under the folder that ``spark.checkpoint.dir`` names.  Every executor
-sees that folder, so the table survives the loss of any of them.  Only where
-the setting is missing (tests) a folder of our own is used.
+sees that folder, so the table survives the loss of any of them.  A table goes
+when its operator has no more use for it, the others when the application
+ends.  Only in local mode, where driver and executors share one machine, a
+folder of our own is used if the setting is missing.
 """
 
 from __future__ import annotations
@@ -14,19 +16,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Bytes of one Arrow batch on its way to Python, if the session has Spark's own value: texts may be long.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only if none is configured."""
+    """The cluster's shared folder; in local mode a temporary one if none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-newsloom-")
     return _OWN[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, unless the session's owner has set a bound."""
+    if spark.conf.get(_BATCH, "64MB") in ("67108864b", "64MB"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Scratch:
     """Named tables of one operator run inside the shared folder."""
 
@@ -34,6 +47,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.used = 0
+        small_batches(spark)
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
 
     def path(self, name: str) -> str:
         """A new path under this run's folder."""

@@ -97,3 +97,21 @@ DETAILS = [(["agent"], "智能体"), (["coding", "code", "codex"], "AI 编程"),
 STATUS_LABELS = {"verified": "已核验", "single_source": "单源可信", "rumor": "待观察", "needs_review": "需人工复核"}
 STRENGTH_LABELS = {"strong": "较强", "medium": "中等", "weak": "偏弱", "none": "暂无"}
 TOPIC_LABELS = {"infrastructure": "基础设施", "hardware": "硬件与芯片", "benchmark": "评测基准", "research": "研究方法", "open_source": "开源资源", "product": "产品工具", "product_release": "产品发布", "model_release": "模型发布", "partnership": "产业合作", "policy": "政策治理", "funding": "资本与上市"}
+
+# Weights of the section scores, of the risk penalty in them and of a strategic focus.
+SECTION_WEIGHTS = {
+    "top_news": {"importance": 0.40, "source": 0.14, "freshness": 0.22, "relevance": 0.14, "novelty": 0.10},
+    "insight": {"novelty": 0.32, "relevance": 0.28, "source": 0.10, "importance": 0.18, "freshness": 0.12},
+    "deep_asset": {"actionability": 0.38, "novelty": 0.26, "source": 0.10, "relevance": 0.16, "importance": 0.10},
+    "watchlist": {"importance": 0.34, "novelty": 0.18, "actionability": 0.16, "freshness": 0.14, "relevance": 0.10},
+}
+SECTION_RISK = {"top_news": 0.45, "insight": 0.35, "deep_asset": 0.30}
+SECTION_STRATEGIC = {"top_news": 1.0, "insight": 0.80, "deep_asset": 0.65, "watchlist": 0.90}
+
+# Task states, log entries of an attempt history, words of scrape errors.
+ACTIVE_STATES = ["queued", "waiting", "running"]
+SUCCESS_STATES = ["succeeded", "skipped"]
+TERMINAL_STATES = ["succeeded", "failed", "blocked", "cancelled", "skipped"]
+HISTORY_TYPES = ["task.registered", "task.started", "task.waiting", "task.retry_scheduled", "task.retry_requested", "task.completed", "task.failed", "task.blocked", "task.cancelled", "task.skipped", "task.unblocked"]
+ACCESS_WORDS = ["cloudflare", "captcha", "cf-chl", "cf-ray", "attention required", "enable javascript", "access denied", "rate limit", "too many requests", "login required", "forbidden"]
+NETWORK_WORDS = ["timeout", "timed out", "connection reset", "connection aborted", "temporary failure", "name resolution", "ssl", "tls", "proxy"]

@@ -140,34 +140,34 @@ def accepted_edges(edges: DataFrame, events: DataFrame) -> DataFrame:
     return rows.select(*columns, "component").groupBy("run_id", "component").applyInPandas(replay, schema)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(run_id, id, component) by minimum labels with pointer jumping, lineage cut each round."""
-    both = edges.unionByName(edges.select("run_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def components(edges: DataFrame) -> DataFrame:
+    """(run_id, id, component) by minimum labels with pointer jumping, until no label changes.
+
+    Each round is written, so its lineage is cut; without edges there is none.
+    """
+    both = written(edges.unionByName(edges.select("run_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = both.groupBy("run_id", "a").agg(F.min("b").alias("m")).select("run_id", F.col("a").alias("id"), F.least("a", "m").alias("component"))
-    for _ in range(rounds):
+    open_ = not both.isEmpty()
+    while open_:
         near = both.join(labels.toDF("run_id", "b", "c"), ["run_id", "b"]).groupBy("run_id", F.col("a").alias("id")).agg(F.min("c").alias("near"))
         step = labels.join(near, ["run_id", "id"]).select("run_id", "id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = labels.toDF("run_id", "component", "far")
         new = step.join(jump, ["run_id", "component"], "left").select("run_id", "id", "was", F.coalesce(F.least("component", "far"), "component").alias("component"))
         new = written(new, "labels")
-        changed = new.where("component < was").limit(1).count()
+        open_ = not new.where("component < was").isEmpty()
         labels = new.select("run_id", "id", "component")
-        if not changed:
-            break
     return labels
 
 
-def roots(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(run_id, id, root): where each absorbed event ends up, by pointer jumping."""
-    up = edges.select("run_id", F.col("source").alias("id"), F.col("target").alias("root")).distinct()
-    for _ in range(rounds):
+def roots(edges: DataFrame) -> DataFrame:
+    """(run_id, id, root): where each absorbed event ends up, by pointer jumping until nothing moves."""
+    up = written(edges.select("run_id", F.col("source").alias("id"), F.col("target").alias("root")).distinct(), "roots")
+    moves = up.join(up.toDF("run_id", "root", "far"), ["run_id", "root"], "left_semi")
+    while not moves.isEmpty():
         far = up.toDF("run_id", "root", "far")
-        step = up.join(far, ["run_id", "root"], "left").select("run_id", "id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved"))
-        step = written(step, "roots")
-        if not step.where("moved").limit(1).count():
-            return step.select("run_id", "id", "root")
-        up = step.select("run_id", "id", "root")
-    return up
+        up = written(up.join(far, ["run_id", "root"], "left").select("run_id", "id", F.coalesce("far", "root").alias("root")), "roots")
+        moves = up.join(up.toDF("run_id", "root", "far"), ["run_id", "root"], "left_semi")
+    return up.select("run_id", "id", "root")
 
 
 def apply_merges(events: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:

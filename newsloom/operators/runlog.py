@@ -14,13 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Task states and the log entries that make up an attempt history.
-ACTIVE = ["queued", "waiting", "running"]
-SUCCESS = ["succeeded", "skipped"]
-TERMINAL = ["succeeded", "failed", "blocked", "cancelled", "skipped"]
-HISTORY = ["task.registered", "task.started", "task.waiting", "task.retry_scheduled", "task.retry_requested", "task.completed", "task.failed", "task.blocked", "task.cancelled", "task.skipped", "task.unblocked"]
-ACCESS_WORDS = ["cloudflare", "captcha", "cf-chl", "cf-ray", "attention required", "enable javascript", "access denied", "rate limit", "too many requests", "login required", "forbidden"]
-NETWORK_WORDS = ["timeout", "timed out", "connection reset", "connection aborted", "temporary failure", "name resolution", "ssl", "tls", "proxy"]
+from newsloom.functions import rules
+from newsloom.functions import text as tx
+
+ACTIVE, SUCCESS, TERMINAL, HISTORY = rules.ACTIVE_STATES, rules.SUCCESS_STATES, rules.TERMINAL_STATES, rules.HISTORY_TYPES
 
 
 def _count(states: list[str]) -> Column:
@@ -80,7 +77,9 @@ def pipeline_status(steps: DataFrame, descriptors: DataFrame) -> DataFrame:
     has = lambda s: F.bool_or(F.col("status") == s)
     state = reduce(lambda acc, s: F.when(has(s), s).otherwise(acc), reversed(["failed", "blocked", "running", "queued", "partial"]), F.when(F.bool_and(F.col("status") == "succeeded"), "succeeded").otherwise(F.max_by("status", "step_id")))
     found = matched.groupBy("run_id", "pipeline_step").agg(state.alias("status"), F.array_sort(F.collect_set("step_id")).alias("step_ids"))
-    runs = steps.select("run_id").distinct().withColumn("pipeline_step", F.explode(F.array(*[F.lit(r[0]) for r in descriptors.select("pipeline_step").limit(1000).collect()])))
+    # every run has every declared step: a plain product of two short lists, the declared one in one row
+    declared = descriptors.agg(F.collect_set("pipeline_step").alias("declared"))
+    runs = steps.select("run_id").distinct().withColumn("one", F.lit(1)).join(declared.withColumn("one", F.lit(1)), "one").select("run_id", F.explode("declared").alias("pipeline_step"))
     return runs.join(found, ["run_id", "pipeline_step"], "left").withColumn("status", F.coalesce("status", F.lit("idle")))
 
 
@@ -170,8 +169,7 @@ def blocked_state(reason: Column, kind: Column) -> Column:
 def failure(error: Column, contract: Column) -> Column:
     """FL17: struct(code, retryable, unrepairable) of a scrape error; ``contract``: it was a contract error."""
     low = F.lower(F.coalesce(error, F.lit("")))
-    hit = lambda words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
-    code = F.when(hit(ACCESS_WORDS), "blocked").when(hit(NETWORK_WORDS), "network_error").when(contract, "contract_error").otherwise("parse_error")
+    code = F.when(tx.any_in(low, rules.ACCESS_WORDS), "blocked").when(tx.any_in(low, rules.NETWORK_WORDS), "network_error").when(contract, "contract_error").otherwise("parse_error")
     return F.struct(code.alias("code"), (code == "network_error").alias("retryable"), code.isin("blocked", "network_error").alias("unrepairable"))
 
 

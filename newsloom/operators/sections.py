@@ -1,17 +1,17 @@
 """Report sections per day: SC09, SC11, AR02, FL06-FL12, WN04-WN06, WN10, SO01, SO03, JN11, RP04.
 
-Windows are partitioned by report date.  The diversity-capped choice of top
-news prunes exactly (a triple of type, entity and platform can fill no more
-places than its smallest limit) before one small grouped function replays the
-order; research and asset sections need at most their limit plus two rows.
+A day may hold most events, so nothing ranks or gathers whole days: each
+section first prunes exactly, by ranks that Spark limits before the shuffle, to
+a number of rows that does not depend on the day's events, and only those
+narrow rows meet in one array for each day.  The choices are then array
+expressions.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,16 +53,18 @@ def tags() -> Column:
 
 def section_scores() -> dict[str, Column]:
     """SC09."""
-    i, s, f, r, a, n, risk = (F.col(c) for c in ("importance_score", "source_score", "freshness_score", "relevance_score", "actionability_score", "novelty_score", "risk_penalty"))
-    reason = F.lower("score_reason")
+    risk, reason = F.col("risk_penalty"), F.lower("score_reason")
     strategic = F.least(F.lit(7.0), reduce(lambda x, y: x + y, [F.when(F.contains(reason, F.lit(k)), 4.0).otherwise(0.0) for k in rules.FOCUS_WORDS]))
-    paper, asset = F.when(F.col("is_paper"), 6.0).otherwise(0.0), F.when(F.col("is_reusable"), 5.0).otherwise(0.0)
-    made = {
-        "top_news": i * 0.40 + s * 0.14 + f * 0.22 + r * 0.14 + n * 0.10 - risk * 0.45 + strategic,
-        "insight": n * 0.32 + r * 0.28 + s * 0.10 + i * 0.18 + f * 0.12 - risk * 0.35 + strategic * 0.80 + paper,
-        "deep_asset": a * 0.38 + n * 0.26 + s * 0.10 + r * 0.16 + i * 0.10 - risk * 0.30 + strategic * 0.65 + asset,
-        "watchlist": i * 0.34 + n * 0.18 + a * 0.16 + f * 0.14 + r * 0.10 + F.least(risk, F.lit(24.0)) * 0.08 - F.greatest(risk - 24.0, F.lit(0.0)) * 0.50 + strategic * 0.90,
-    }
+    extra = {"insight": F.when(F.col("is_paper"), 6.0).otherwise(0.0), "deep_asset": F.when(F.col("is_reusable"), 5.0).otherwise(0.0)}
+    made = {}
+    for section, weights in rules.SECTION_WEIGHTS.items():
+        score = reduce(lambda x, y: x + y, [F.col(f"{part}_score") * w for part, w in weights.items()])
+        if section == "watchlist":
+            score = score + F.least(risk, F.lit(24.0)) * 0.08 - F.greatest(risk - 24.0, F.lit(0.0)) * 0.50
+        else:
+            score = score - risk * rules.SECTION_RISK[section]
+        score = score + strategic * rules.SECTION_STRATEGIC[section]
+        made[section] = score + extra[section] if section in extra else score
     return {k: F.round(tx.clamp(v), 2) for k, v in made.items()}
 
 
@@ -87,30 +89,70 @@ def type_limit(kind: str) -> int:
     return rules.TOP_TYPE_LIMITS.get(kind, rules.OTHER_TYPE_LIMIT)
 
 
+def _row(section: str) -> Column:
+    """An event as it stands in its section's array: fields to sort by first."""
+    rank = [(-F.col(c)).alias(n) for c, n in ((f"scores_{section}", "score"), ("final_score", "final"), ("importance_score", "importance"), ("source_score", "source"))]
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("is_paper", "is_trending", "is_reusable")]
+    return F.struct(*rank, "place", F.col("event_id").alias("id"), F.col("normalized_event_type").alias("kind"), F.col("main_entity").alias("entity"), F.col("main_platform").alias("platform"), *flags)
+
+
+def _of_day(df: DataFrame, section: str) -> DataFrame:
+    """(report_date, rows): the day's rows in section order."""
+    return df.groupBy("report_date").agg(F.array_sort(F.collect_set(_row(section))).alias("rows"))
+
+
+def capped(rows: Column, limit: int, caps: dict[str, Callable[[Column], Column | int]], exempt: tuple[str, ...] = ()) -> Column:
+    """The first ``limit`` of the ordered rows, passing over those whose value of a field is used up.
+
+    ``caps``: field to how many rows may share a value; a blank value of an
+    ``exempt`` field is shared by any number.
+    """
+
+    def room(held: Column, x: Column, field: str) -> Column:
+        left = F.size(F.filter(held, lambda h: h[field] == x[field])) < caps[field](x)
+        return ((x[field] == "") | left) if field in exempt else left
+
+    def step(held: Column, x: Column) -> Column:
+        return F.when(reduce(lambda a, b: a & b, [room(held, x, f) for f in caps], F.size(held) < limit), F.array_append(held, x)).otherwise(held)
+
+    return F.aggregate(rows, F.slice(rows, 1, 0), step)
+
+
+def _pruned_top(df: DataFrame, limit: int) -> DataFrame:
+    """Rows that may be chosen: a bounded number for each type and platform of a day.
+
+    A triple of type, entity and platform fills no more places than its
+    smallest limit.  Within a type and platform at most ``limit`` over the
+    entity limit entities are ever used up, and the type's limit is chosen, so
+    the rows of that many entities, best first, are enough.
+    """
+    most_of_type = max([rules.OTHER_TYPE_LIMIT, *rules.TOP_TYPE_LIMITS.values()])
+    own = tx.lookup(F.col("normalized_event_type"), rules.TOP_TYPE_LIMITS, F.lit(rules.OTHER_TYPE_LIMIT))
+    most = F.least(own, F.when(F.col("main_entity") != "", rules.ENTITY_LIMIT).otherwise(most_of_type), F.when(F.col("main_platform") != "", rules.PLATFORM_LIMIT).otherwise(most_of_type))
+    triple = Window.partitionBy("report_date", "normalized_event_type", "main_entity", "main_platform")
+    left = df.withColumn("nth", F.row_number().over(triple.orderBy(*_order("top_news")))).where(F.col("nth") <= F.lit(most_of_type)).where(F.col("nth") <= most)
+    left = left.withColumn("best", F.min(_row("top_news")).over(triple))
+    pool = Window.partitionBy("report_date", "normalized_event_type", "main_platform").orderBy("best")
+    return left.withColumn("nth", F.dense_rank().over(pool)).where(F.col("nth") <= limit // rules.ENTITY_LIMIT + most_of_type).drop("nth", "best")
+
+
+def _chosen_top(rows: Column, limit: int) -> Column:
+    kinds = F.create_map(*[F.lit(x) for pair in rules.TOP_TYPE_LIMITS.items() for x in pair]) if rules.TOP_TYPE_LIMITS else None
+    of_kind = lambda x: F.coalesce(F.try_element_at(kinds, x["kind"]), F.lit(rules.OTHER_TYPE_LIMIT)) if kinds is not None else F.lit(rules.OTHER_TYPE_LIMIT)
+    return capped(rows, limit, {"kind": of_kind, "entity": lambda x: rules.ENTITY_LIMIT, "platform": lambda x: rules.PLATFORM_LIMIT}, ("entity", "platform"))
+
+
+def _placed(rows: Column) -> Column:
+    """Ids with their places from 1."""
+    return F.transform(rows, lambda x, i: F.struct(x["id"].alias("event_id"), (i + 1).alias("position")))
+
+
 def top_news(df: DataFrame, limit: int = rules.SECTION_SIZES["top_news"]) -> DataFrame:
-    """WN05: (report_date, event_id) of the diversity-capped best."""
-    limits = tx.lookup(F.col("normalized_event_type"), rules.TOP_TYPE_LIMITS, F.lit(rules.OTHER_TYPE_LIMIT))
-    most = F.least(limits, F.when(F.col("main_entity") != "", rules.ENTITY_LIMIT).otherwise(rules.OTHER_TYPE_LIMIT), F.lit(rules.PLATFORM_LIMIT))
-    triple = Window.partitionBy("report_date", "normalized_event_type", "main_entity", "main_platform").orderBy(*_order("top_news"))
-    left = df.withColumn("nth", F.row_number().over(triple)).where(F.col("nth") <= F.lit(rules.OTHER_TYPE_LIMIT)).where(F.col("nth") <= most)
-    left = left.select("report_date", "event_id", "normalized_event_type", "main_entity", "main_platform", "scores_top_news", "final_score", "importance_score", "source_score", "place")
-    types, others, entity_limit, platform_limit = dict(rules.TOP_TYPE_LIMITS), rules.OTHER_TYPE_LIMIT, rules.ENTITY_LIMIT, rules.PLATFORM_LIMIT
-
-    def choose(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values(["scores_top_news", "final_score", "importance_score", "source_score", "place"], ascending=[False, False, False, False, True])
-        kinds, entities, platforms, out = Counter(), Counter(), Counter(), []
-        for row in day.itertuples():
-            if kinds[row.normalized_event_type] >= types.get(row.normalized_event_type, others) or (row.main_entity and entities[row.main_entity] >= entity_limit) or (row.main_platform and platforms[row.main_platform] >= platform_limit):
-                continue
-            out.append((row.report_date, row.event_id, len(out) + 1))
-            kinds[row.normalized_event_type] += 1
-            entities[row.main_entity] += 1
-            platforms[row.main_platform] += 1
-            if len(out) == limit:
-                break
-        return pd.DataFrame(out, columns=["report_date", "event_id", "position"])
-
-    return left.groupBy("report_date").applyInPandas(choose, "report_date date, event_id string, position int")
+    """WN05: (report_date, event_id, position) of the diversity-capped best."""
+    if "is_paper" not in df.columns:
+        df = df.withColumns({c: F.lit(False) for c in ("is_paper", "is_trending", "is_reusable")})
+    days = _of_day(_pruned_top(df, limit), "top_news")
+    return days.select("report_date", F.explode(_placed(_chosen_top(F.col("rows"), limit))).alias("x")).select("report_date", "x.*")
 
 
 def one_per_entity(df: DataFrame, section: str, limit: int) -> DataFrame:
@@ -120,63 +162,95 @@ def one_per_entity(df: DataFrame, section: str, limit: int) -> DataFrame:
     return first.withColumn("position", F.row_number().over(Window.partitionBy("report_date").orderBy(*_order(section)))).where(F.col("position") <= limit)
 
 
-def with_forced(df: DataFrame, section: str, limit: int, least: float = 58.0) -> DataFrame:
-    """WN06: one per entity, then a paper and a trending paper forced in for the weakest.
+def _papers(section: str, least: float) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Which rows may be forced in: a paper, and a trending paper."""
+    good = lambda x: x["score"] <= -least  # noqa: E731  scores are negated to sort by
+    if section == "deep_asset":
+        return lambda x: x["is_paper"] & x["is_reusable"] & good(x), lambda x: x["is_trending"] & x["is_paper"] & x["is_reusable"] & good(x)
+    return lambda x: x["is_paper"] & good(x), lambda x: x["is_trending"] & good(x)
+
 
-    ``df`` holds the section's eligible rows.  Only the chosen rows and the
-    best paper and best trending paper of a date reach the grouped function.
+def _pruned(df: DataFrame, section: str, limit: int, taken: int, least: float) -> DataFrame:
+    """Rows that may be chosen after ``taken`` of the day's events have gone to other sections.
+
+    Of an entity the best row that is left is among its first ``taken`` + 1; of
+    the entities, those with the ``limit`` + ``taken`` best rows are enough,
+    and of papers to be forced in, the first ``taken`` + 1 of each kind.
     """
-    chosen = one_per_entity(df, section, limit)
-    paper = F.col("is_paper") & (F.col(f"scores_{section}") >= least)
-    if section == "deep_asset":
-        paper = paper & F.col("is_reusable")
-    day = Window.partitionBy("report_date")
-    trending = F.col("is_trending") & (paper if section == "deep_asset" else F.col(f"scores_{section}") >= least)
-    best = lambda flag: F.when(flag & (F.row_number().over(day.orderBy(flag.desc(), *_order(section))) == 1), True).otherwise(False)
-    marked = df.withColumns({"best_paper": best(F.coalesce(paper, F.lit(False))), "best_trending": best(F.coalesce(trending, F.lit(False)))}).where("best_paper or best_trending")
-    columns = ["report_date", "event_id", f"scores_{section}", "final_score", "importance_score", "source_score", "place", "is_paper", "is_trending"]
-    rows = chosen.select(*columns, "position", F.lit(False).alias("best_paper"), F.lit(False).alias("best_trending")).unionByName(marked.select(*columns, F.lit(None).cast("int").alias("position"), "best_paper", "best_trending"))
-    score = f"scores_{section}"
-
-    def force(frame: pd.DataFrame) -> pd.DataFrame:
-        held = frame[frame["position"].notna()].sort_values("position").to_dict("records")
-        for flag, kind in (("best_paper", "is_paper"), ("best_trending", "is_trending")):
-            extra = frame[frame[flag]].to_dict("records")
-            if not extra or any(r[kind] for r in held) or any(r["event_id"] == extra[0]["event_id"] for r in held):
-                continue
-            if len(held) < limit:
-                held.append(extra[0])
-                continue
-            weak = [i for i, r in enumerate(held) if not r["is_paper"]] or list(range(len(held)))
-            if weak:
-                held[min(weak, key=lambda i: held[i][score])] = extra[0]
-        held.sort(key=lambda r: (-r[score], -r["final_score"], -r["importance_score"], -r["source_score"]))
-        return pd.DataFrame([(r["report_date"], r["event_id"], n + 1) for n, r in enumerate(held[:limit])], columns=["report_date", "event_id", "position"])
-
-    return rows.groupBy("report_date").applyInPandas(force, "report_date date, event_id string, position int")
+    own = F.when(F.col("main_entity") != "", F.col("main_entity")).otherwise(F.concat(F.lit("\0"), "event_id"))
+    df = df.withColumn("entity_key", own)
+    entity = Window.partitionBy("report_date", "entity_key")
+    first = df.withColumn("nth", F.row_number().over(entity.orderBy(*_order(section)))).where(F.col("nth") <= taken + 1)
+    first = first.withColumn("best", F.min(_row(section)).over(entity))
+    kept = first.withColumn("nth", F.dense_rank().over(Window.partitionBy("report_date").orderBy("best"))).where(F.col("nth") <= limit + taken).drop("nth", "best")
+    if section != "watchlist":
+        for may in _papers(section, least):
+            some = df.withColumn("row", _row(section)).where(may(F.col("row"))).drop("row")
+            some = some.withColumn("nth", F.row_number().over(Window.partitionBy("report_date").orderBy(*_order(section)))).where(F.col("nth") <= taken + 1).drop("nth")
+            kept = kept.unionByName(some)
+    return kept.drop("entity_key")
+
+
+def _forced(held: Column, extra: Column, kind: str, limit: int) -> Column:
+    """``extra`` in place of the weakest row (no paper, if there is such), unless its kind is there already."""
+    known = F.exists(held, lambda h: h[kind] | (h["id"] == extra["id"]))
+    weakest = F.array_min(F.transform(held, lambda h, i: F.struct(h["is_paper"].alias("paper"), (-h["score"]).alias("score"), i.alias("at"))))["at"]
+    swapped = F.transform(held, lambda h, i: F.when(i == weakest, extra).otherwise(h))
+    return F.when(extra.isNull() | known, held).when(F.size(held) < limit, F.array_append(held, extra)).otherwise(swapped)
+
+
+def _ordered(rows: Column, limit: int) -> Column:
+    """By scores, ties as they stand."""
+    keyed = F.transform(rows, lambda x, i: F.struct(x["score"].alias("a"), x["final"].alias("b"), x["importance"].alias("c"), x["source"].alias("d"), i.alias("e"), x.alias("x")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, limit), lambda k: k["x"])
 
 
 def report_order(df: DataFrame) -> DataFrame:
-    """SO01: ``place`` of each event in its day's report."""
+    """SO01: ``place`` of each event in its day's report; to be cut to the first few."""
     day = Window.partitionBy("report_date").orderBy(F.desc("final_score"), F.desc("importance_score"), F.desc("source_score"), F.asc("ordinal"))
     return df.withColumn("place", F.row_number().over(day))
 
 
+def with_order(df: DataFrame) -> DataFrame:
+    """SO01 without ranking: ``place`` is what events of a day are sorted by, in ascending order."""
+    return df.withColumn("place", F.struct(*[(-F.col(c)).alias(c) for c in ("final_score", "importance_score", "source_score")], "ordinal"))
+
+
+def choices(narrow: DataFrame, least: float = 58.0) -> DataFrame:
+    """WN04-WN06, JN11: (report_date, event_id, report_section, position) of the events that the sections choose in turn."""
+    sizes = rules.SECTION_SIZES
+    days, taken = None, 0
+    for section in ("top_news", "insight", "deep_asset", "watchlist"):
+        rows = narrow.where(f"may_{section}")
+        rows = _pruned_top(rows, sizes[section]) if section == "top_news" else _pruned(rows, section, sizes[section], taken, least)
+        taken += sizes[section]
+        one = _of_day(rows, section).withColumnRenamed("rows", f"rows_{section}")
+        days = one if days is None else days.join(one, "report_date", "full")
+    empty = F.slice(F.coalesce(*[F.col(f"rows_{s}") for s in sizes]), 1, 0)
+    days = days.withColumns({f"rows_{s}": F.coalesce(f"rows_{s}", empty) for s in sizes})
+    days = days.withColumn("chosen_top_news", _chosen_top(F.col("rows_top_news"), sizes["top_news"])).withColumn("gone", F.transform("chosen_top_news", lambda x: x["id"]))
+    for section in ("insight", "deep_asset", "watchlist"):
+        days = days.withColumn("open", F.filter(f"rows_{section}", lambda x: ~F.array_contains("gone", x["id"])))
+        days = days.withColumn("held", capped(F.col("open"), sizes[section], {"entity": lambda x: F.lit(1)}, ("entity",)))
+        if section != "watchlist":
+            for kind, may in zip(("is_paper", "is_trending"), _papers(section, least), strict=True):
+                days = days.withColumn("extra", F.get(F.filter("open", may), 0)).withColumn("held", _forced(F.col("held"), F.col("extra"), kind, sizes[section]))
+            days = days.withColumn("held", _ordered(F.col("held"), sizes[section]))
+        days = days.withColumnRenamed("held", f"chosen_{section}").withColumn("gone", F.concat("gone", F.transform(f"chosen_{section}", lambda x: x["id"])))
+    placed = F.map_from_entries(F.array(*[F.struct(F.lit(s), _placed(F.col(f"chosen_{s}"))) for s in sizes]))
+    return days.select("report_date", F.explode(placed).alias("report_section", "places")).select("report_date", "report_section", F.explode("places").alias("x")).select("report_date", "x.event_id", "report_section", "x.position")
+
+
 def assign(df: DataFrame) -> DataFrame:
     """SC11: enriched events with tags, section scores, section and place in it."""
-    df = with_flags(report_order(df))
+    df = with_flags(with_order(df))
     made = section_scores()
     may = section_candidates()
     df = df.withColumns({f"scores_{k}": v for k, v in made.items()} | {"report_tags": tags()} | {f"may_{k}": F.coalesce(v, F.lit(False)) for k, v in may.items()})
     # read by every section below: computed once
     df = written(df, "flagged")
     narrow = df.select("report_date", "event_id", "normalized_event_type", "main_entity", "main_platform", "place", "final_score", "importance_score", "source_score", "is_paper", "is_trending", "is_reusable", *[f"{x}_{k}" for k in may for x in ("scores", "may")])
-    chosen = written(top_news(narrow.where("may_top_news")).withColumn("report_section", F.lit("top_news")), "top-news")
-    for section in ("insight", "deep_asset", "watchlist"):
-        rest = narrow.where(f"may_{section}").join(chosen.select("report_date", "event_id"), ["report_date", "event_id"], "left_anti")
-        limit = rules.SECTION_SIZES[section]
-        got = one_per_entity(rest, section, limit).select("report_date", "event_id", "position") if section == "watchlist" else with_forced(rest, section, limit)
-        chosen = written(chosen.unionByName(got.withColumn("report_section", F.lit(section))), section)
+    chosen = written(choices(narrow), "chosen")
     out = df.join(chosen, ["report_date", "event_id"], "left")
     scores = F.create_map(*[x for k in made for x in (F.lit(k), F.col(f"scores_{k}"))])
     tagged = F.when(F.col("report_section").isNull(), F.col("report_tags")).otherwise(F.array_sort(F.array_union("report_tags", F.array("report_section"))))

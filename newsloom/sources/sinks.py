@@ -12,8 +12,8 @@ def write_layer(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """SNK03: one text file tree of documents by report date."""
-    docs.select("report_date", "document").write.partitionBy("report_date").mode("overwrite").text(path)
+    """SNK03: one text file tree of documents by report date; other dates stay."""
+    docs.select("report_date", "document").write.partitionBy("report_date").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(path)
 
 
 def envelopes(items: DataFrame, events: DataFrame, steps: DataFrame) -> DataFrame:

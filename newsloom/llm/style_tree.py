@@ -1,22 +1,41 @@
 """Main text of HTML pages with a site style tree.
 
-The DOMs of a host's pages are merged by path (tag and class names from the
-body down).  For each path the pages that have it, the distributions of its
-presentations (sequences of child tags) and of its contents (normalised text)
-are counted.  A path whose content recurs from page to page and whose look
-never varies has low entropy-based importance, as in templates; each page
-loses such branches.  Branches that say what they are (nav, header, footer,
-aside, form, script, style and the like, or classes such as ad, menu, notice,
-comments) carry no importance at all.  All others stand on their importance,
-and an article or main element is a prior: inside it a branch stays unless its
-importance is low while the element's own is not, so shared articles survive;
-beside one a block stays only if its importance is high.
+The DOMs of a host's pages are merged whole by path (tag and class names from
+the body down, at any depth, menus and articles alike).  Each path is a node of
+the site's tree with the pages that have it, its presentations (sequences of
+child tags) and its contents (the text below an element).  With m pages, a
+content found on k of them has importance 1 - log k / log m; a node's
+importance is ``GAMMA`` times the mean over its distinct contents plus
+``1 - GAMMA`` times the entropy of its presentations.  What recurs from page
+to page and never varies in look is template.
+
+Few pages say little, so importance is shrunk towards a prior as if ``PRIOR_PAGES``
+more pages had shown it: 0.5 for plain branches, 0.1 for branches whose names
+are ambiguous (``review``, ``banner``, ``widget`` and the like).  Branches with
+shrunk importance below ``THRESHOLD`` leave, at every size of host by the same
+formula; a host of one page keeps them.  Branches that say they are what is
+never main text (nav, footer, aside, form, advert, notice, comments; a header
+outside the article) have no importance whatever their content, because lists
+of links, adverts and comments differ from page to page as articles do.
+
+* Inside an article or main element the element's own importance is left out,
+  and if it is low too, all stays: pages of one host may share an article.
+* Articles or mains are taken for the whole of the content if they hold half
+  of the text that is left at least; beside a shorter one (a teaser) all
+  branches stand on their importance.
+* Blocks are content nodes of their own: a block repeated on most of the pages
+  that have its path (shrunk importance below ``BLOCK_THRESHOLD``) leaves,
+  unless that would take over half of the page's text, for then these pages
+  are copies of one another.
+* If nothing would be left, all branches that may be main text stay.
 
 Text rules: the blocks of the kept branches in page order; character
 references decoded; white space inside a block one blank; trimmed; joined by
 one newline; empty blocks dropped.  Null html is empty; a null or hostless URL
 belongs to a site of its own kind (empty host).  Very long pages and unclosed
-or stray tags are read to the end.  Repeated rows get equal results.
+or stray tags are read to the end.  Ties do not arise: a branch at the
+threshold stays.  Repeated rows count as pages each and get equal results.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +47,19 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.scratch import Scratch
 from newsloom.llm.url_lists import host
 
-MIN_PAGES, THRESHOLD, GAMMA = 8, 0.25, 0.9
-#: From here on importance outweighs that a block is not in the page's article.
-HIGH = 1 - THRESHOLD
-#: Paths of low or high importance held in a broadcast at most; beyond it they are joined.
-BROADCAST_PATHS = 50_000
+THRESHOLD, BLOCK_THRESHOLD, GAMMA = 0.25, 0.1, 0.9
+#: Importance before any page is seen, for plain and for ambiguous names, and the pages that it counts for.
+PLAIN, AMBIGUOUS, PRIOR_PAGES = 0.5, 0.1, 4
+#: Pages of a host handled together, on average, where its nodes are joined.
+RUN_PAGES = 500
+#: Nodes of low importance held in a broadcast at most (16 bytes each and their host); beyond it they are joined.
+BROADCAST_NODES = 50_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*>|</?[A-Za-z][^>]*(?:>|$)|[^<]+|<""", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
@@ -46,12 +67,15 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-_NOISE_TAG = frozenset("nav header footer aside form script style noscript template iframe svg button select input textarea dialog menu head title object embed canvas audio video".split())
+_NOISE_TAG = frozenset("nav footer aside form script style noscript template iframe svg button select input textarea dialog menu head title object embed canvas audio video".split())
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|notice\w*|cookie\w*|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|respond|reviews?|related|recommend\w*|share|sharing|social|toolbar|pagination|pager|copyright|disclaimer|skip)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|masthead|footer|sidebar|aside|notices?|cookies?|consent|gdpr|newsletter|subscribe|comments?|commentlist|disqus|replies|respond|(?:user|reader|customer)-?reviews|related|recommend\w*|share|sharing|social|pagination|pager)(?:$|[\s_-]|\d)|(?:^|\s)(?:(?:site|page|top|main|global)[_-]?)?header(?:$|\s)",
     re.I,
 )
+#: Articles that are none: a class of theirs says so as a whole.
+_NO_ARTICLE = re.compile(r"(?:^|\s)(?:comments?|ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*)(?:$|\s)", re.I)
+_UNSURE_NAME = re.compile(r"(?:^|[\s_-])(?:header|banner|side|widget|alert|popup|modal|overlay|signup|login|reviews?|toolbar|copyright|disclaimer|skip)(?:$|[\s_-]|\d)", re.I)
 _CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _CLOSES |= {b: ("p",) for b in _BLOCK - {"li", "p", "dt", "dd", "tr", "td", "th", "html", "body"}}
 
@@ -59,11 +83,21 @@ _CLOSES |= {b: ("p",) for b in _BLOCK - {"li", "p", "dt", "dd", "tr", "td", "th"
 class Block:
     """A run of text without a block boundary, with the branch that it stands on."""
 
-    __slots__ = ("inside", "main", "noise", "paths", "text")
+    __slots__ = ("content", "inside", "main", "noise", "paths", "text")
 
     def __init__(self, text: str, paths: tuple[int, ...], noise: bool, main: bool, inside: int):
         self.text, self.paths, self.noise, self.main = text, paths, noise, main
         self.inside = inside  # where the outermost main element is in paths
+        self.content = xxhash.xxh3_64_intdigest(text.lower()) - 2**63
+
+
+class Node:
+    """An element once it is closed: how it looks, what it says, and whether its name is ambiguous."""
+
+    __slots__ = ("content", "look", "path", "unsure")
+
+    def __init__(self, path: int, look: int, content: int | None, unsure: bool):
+        self.path, self.look, self.content, self.unsure = path, look, content, unsure
 
 
 @cache
@@ -82,21 +116,21 @@ def _past(html: str, tag: str, at: int) -> int | None:
     return end + 1 if end >= 0 else len(html)
 
 
-def read_page(html: str) -> tuple[list[Block], dict[int, list[int]]]:
-    """The blocks of a page in order, and for each path the looks of its elements.
+def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node]]:
+    """The blocks of a page in order, and its elements.
 
-    Branches without importance are passed over whole where their end is
-    plain.
+    Branches that say they are no main text are passed over where their end
+    is plain, unless the ``whole`` page is asked for.
 
     A small forgiving reader: unclosed paragraphs, list items and cells end
     where HTML ends them; an end tag closes up to its own start tag, or
     nothing if there is none.
     """
-    # an open element: tag, path hash, in noise, in main, hash of its child tags
-    root = ["", 0, False, False, 7]
+    # an open element: tag, path hash, in noise, in main, hash of its child tags, hash of its text, ambiguous name
+    root = ["", 0, False, False, 7, None, False]
     stack = [root]
     blocks: list[Block] = []
-    looks: dict[int, list[int]] = {}
+    nodes: list[Node] = []
     held: list[str] = []
 
     def flush() -> None:
@@ -105,13 +139,15 @@ def read_page(html: str) -> tuple[list[Block], dict[int, list[int]]]:
             held.clear()
             if text:
                 top = stack[-1]
-                blocks.append(Block(text, tuple(e[1] for e in stack[1:]), top[2], top[3], sum(not e[3] for e in stack[1:])))
+                block = Block(text, tuple(e[1] for e in stack[1:]), top[2], top[3], sum(not e[3] for e in stack[1:]))
+                blocks.append(block)
+                for e in stack[1:]:
+                    e[5] = ((e[5] or 0) * 1000003 + block.content) & 0x7FFFFFFFFFFFFFFF
 
     def close(at: int) -> None:
         if any(e[0] in _BLOCK for e in stack[at:]):
             flush()
-        for e in stack[at:]:
-            looks.setdefault(e[1], []).append(e[4])
+        nodes.extend(Node(e[1], e[4], e[5], e[6]) for e in stack[at:])
         del stack[at:]
 
     at, end = 0, len(html)
@@ -170,110 +206,140 @@ def read_page(html: str) -> tuple[list[Block], dict[int, list[int]]]:
         if tag in _VOID:
             continue
         body = tag in ("html", "body")
-        main = above[3] or tag in ("article", "main") or role in ("main", "article")
-        noise = not body and (above[2] or hidden or tag in _NOISE_TAG or role in _NOISE_ROLE or bool(names and tag not in ("article", "main") and _NOISE_NAME.search(names)))
-        if tag in ("article", "main") and not above[3]:
-            noise = above[2]
-        if noise and (past := _past(html, tag, at)) is not None:
+        own = tag in ("article", "main")
+        main = above[3] or own or role in ("main", "article")
+        named_noise = bool(names) and not own and not (above[3] and "header" in names.lower()) and bool(_NOISE_NAME.search(names))
+        noise = not body and (above[2] or hidden or tag in _NOISE_TAG or (tag == "header" and not above[3]) or role in _NOISE_ROLE or named_noise)
+        if own and not above[3]:
+            noise = tag == "article" and (above[2] or bool(names and _NO_ARTICLE.search(names)))
+        if noise and not whole and (past := _past(html, tag, at)) is not None:
             at = past
             continue
-        stack.append([tag, path, noise, main, 7])
+        stack.append([tag, path, noise, main, 7, None, bool(names) and not own and not body and bool(_UNSURE_NAME.search(names))])
         if token.endswith("/>") and tag not in _BLOCK:
             stack.pop()
     flush()
     close(1)
-    return blocks, looks
+    return blocks, nodes
 
 
 def hash_of(tag: str) -> int:
     return xxhash.xxh3_64_intdigest(tag) >> 2
 
 
+#: What a row of features counts pages of.
+HAS, LOOK, CONTENT, BLOCK = range(4)
+
+
 def features(pages: DataFrame) -> DataFrame:
-    """host, path, kind (0 page, 1 presentation, 2 content), feature, pages."""
+    """host (hash), path, kind, feature, pages, unsure: pages of the host by node, presentation, content and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, int, int], int] = {}
+        held: dict[tuple[int, int, int, int, bool], int] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = list(zip(*held, strict=True)) if held else [[], [], [], []]
-            types = (pa.string(), pa.int64(), pa.int32(), pa.int64())
-            out = pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, types, strict=True)), pa.array(list(held.values()), pa.int64())], ["host", "path", "kind", "feature", "pages"])
+            columns = list(zip(*held, strict=True)) if held else [[], [], [], [], []]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+            out = pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(list(held.values()), pa.int64())], ["host", "path", "kind", "feature", "unsure", "pages"])
             held.clear()
             return out
 
         for batch in batches:
             for own, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks, looks = read_page(html or "")
-                seen = {(own, path, 1, look) for path, all_looks in looks.items() for look in all_looks}
+                blocks, nodes = read_page(html or "", whole=True)
+                seen = set()
+                for n in nodes:
+                    seen.add((own, n.path, HAS, 0, n.unsure))
+                    seen.add((own, n.path, LOOK, n.look, False))
+                    if n.content is not None:
+                        seen.add((own, n.path, CONTENT, n.content, False))
                 for b in blocks:
-                    content = xxhash.xxh3_64_intdigest(b.text.lower()) - 2**63
-                    for path in b.paths:
-                        seen.add((own, path, 0, 0))
-                        seen.add((own, path, 2, content))
+                    if b.paths and not b.noise:
+                        seen.add((own, b.paths[-1], BLOCK, b.content, False))
                 for x in seen:
                     held[x] = held.get(x, 0) + 1
                 if len(held) > 200_000:
                     yield flush()
         yield flush()
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, path long, kind int, feature long, pages long")
-    return rows.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("pages"))
+    rows = pages.select("host", "html").mapInArrow(run, "host long, path long, kind int, feature long, unsure boolean, pages long")
+    return rows.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("pages"), F.bool_or("unsure").alias("unsure"))
+
+
+def _shrunk(importance: Column, pages: Column, unsure: Column) -> Column:
+    prior = F.when(unsure, AMBIGUOUS).otherwise(PLAIN)
+    return (prior * PRIOR_PAGES + importance * pages) / (pages + PRIOR_PAGES)
 
 
 def importance(found: DataFrame) -> DataFrame:
-    """host, path, pages, importance in 0..1 from the merged counts."""
-    pages = found.where("kind = 0").select("host", "path", F.col("pages").alias("m"))
-    each = found.where("kind > 0").join(pages, ["host", "path"])
+    """host, path, block (null: the node itself), importance in 0..1 and its shrunk value, from the merged counts."""
+    pages = found.where(F.col("kind") == HAS).select("host", "path", F.col("pages").alias("m"), F.col("unsure").alias("named"))
+    each = found.where((F.col("kind") != HAS) & ((F.col("kind") != BLOCK) | (F.col("pages") > 1))).join(pages, ["host", "path"])
     base = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
+    alone = 1 - F.log(F.col("pages").cast("double")) / base
     share = F.least(F.col("pages") / F.col("m"), F.lit(1.0))
-    # a content's own entropy over the pages that have it; the presentations' entropy over all pages
-    content = F.avg(F.when(F.col("kind") == 2, 1 - F.log(F.col("pages").cast("double")) / base))
-    look = F.sum(F.when(F.col("kind") == 1, -share * F.log(share) / base).otherwise(0.0))
-    out = each.groupBy("host", "path").agg(F.max("m").alias("pages"), content.alias("content"), F.least(look, F.lit(1.0)).alias("look"))
-    return out.select("host", "path", "pages", (GAMMA * F.coalesce("content", F.lit(1.0)) + (1 - GAMMA) * F.col("look")).alias("importance"))
+    of_node = each.where(F.col("kind") != BLOCK).groupBy("host", "path").agg(
+        F.max("m").alias("m"), F.bool_or("named").alias("named"), F.avg(F.when(F.col("kind") == CONTENT, alone)).alias("content"), F.sum(F.when(F.col("kind") == LOOK, -share * F.log(share) / base).otherwise(0.0)).alias("look")
+    )
+    of_node = of_node.select("host", "path", F.lit(None).cast("long").alias("block"), "m", "named", (GAMMA * F.coalesce("content", F.lit(1.0)) + (1 - GAMMA) * F.least("look", F.lit(1.0))).alias("importance"))
+    of_block = each.where(F.col("kind") == BLOCK).select("host", "path", F.col("feature").alias("block"), "m", F.lit(False).alias("named"), alone.alias("importance"))
+    return of_node.unionByName(of_block).select("host", "path", "block", "importance", _shrunk(F.col("importance"), F.col("m"), F.col("named")).alias("shrunk"))
 
 
-def main_text(html: str | None, low: set[int] | frozenset[int], high: set[int] | frozenset[int] = frozenset()) -> str:
-    """The kept blocks of a page; ``low`` and ``high``: its site's paths of low and of high importance."""
+def main_text(html: str | None, low: set[int] | frozenset[int], blocks_low: set[tuple[int, int]] | frozenset[tuple[int, int]] = frozenset()) -> str:
+    """The kept blocks of a page; ``low`` and ``blocks_low``: its site's paths, and its blocks by path, of low importance."""
     blocks, _ = read_page(html or "")
-    main = any(b.main and not b.noise for b in blocks)
+    size = lambda found: sum(len(b.text) for b in found)
 
     def stays(b: Block) -> bool:
-        if b.main:
-            own, *inner = b.paths[b.inside :] or (0,)
-            return own in low or not low.intersection(inner)
-        return not low.intersection(b.paths) and (not main or b.paths[-1:] != () and b.paths[-1] in high)
-
-    return "\n".join(b.text for b in blocks if not b.noise and stays(b))
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THRESHOLD) -> DataFrame:
+        if not b.main:
+            return not low.intersection(b.paths)
+        own, *inner = b.paths[b.inside :] or (0,)
+        return own in low or not low.intersection(inner)
+
+    able = [b for b in blocks if not b.noise]
+    left = [b for b in able if stays(b)] or able
+    fresh = [b for b in left if (b.paths[-1] if b.paths else 0, b.content) not in blocks_low]
+    main = [b for b in left if b.main]
+    if main and 2 * size(main) >= size([b for b in fresh if not b.main]) + size(main):
+        left, fresh = main, [b for b in fresh if b.main]
+    if 2 * size(fresh) >= size(left):
+        left = fresh
+    return "\n".join(b.text for b in left)
+
+
+def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url and text of every page."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "style-tree")
-    pages = pages.select("page_id", "url", F.coalesce(host(F.col("url")), F.lit("")).alias("host"), "html")
-    known = importance(features(pages)).where((F.col("pages") >= min_pages) & ((F.col("importance") < threshold) | (F.col("importance") >= HIGH)))
-    known = scratch.save(known.select("host", "path", (F.col("importance") < threshold).alias("low")), "known")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64(F.coalesce(host(F.col("url")), F.lit(""))).alias("host"), "html")
+    least = F.when(F.col("block").isNull(), threshold).otherwise(BLOCK_THRESHOLD)
+    known = scratch.save(importance(features(pages)).where(F.col("shrunk") < least).select("host", "path", "block"), "low")
     schema = "page_id long, url string, text string"
 
-    none: frozenset[int] = frozenset()
+    def sets(rows) -> tuple[set[int], set[tuple[int, int]]]:
+        return {p for p, b in rows if b is None}, {(p, b) for p, b in rows if b is not None}
 
-    def run(batches: Iterator[pa.RecordBatch], held: dict[str, tuple[set[int], set[int]]] | None = None) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], held: dict[int, tuple[set, set]]) -> Iterator[pa.RecordBatch]:
+        none: tuple[set, set] = (set(), set())
         for batch in batches:
             hosts, htmls = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            paths = [held.get(h, (none, none)) for h in hosts] if held is not None else [(set(x or ()), set(y or ())) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([main_text(h, *p) for h, p in zip(htmls, paths, strict=True)], pa.string())], ["page_id", "url", "text"])
+            low = [held.get(h, none) for h in hosts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([main_text(h, *x) for h, x in zip(htmls, low, strict=True)], pa.string())], ["page_id", "url", "text"])
 
-    pages = pages.withColumn("page_id", F.col("page_id").cast("long"))
-    if known.count() <= BROADCAST_PATHS:
-        rows: dict[str, tuple[set[int], set[int]]] = {}
+    if known.count() <= BROADCAST_NODES:
+        rows: dict[int, list] = {}
         for r in known.collect():
-            rows.setdefault(r["host"], (set(), set()))[not r["low"]].add(r["path"])
-        shared = spark.sparkContext.broadcast(rows)
+            rows.setdefault(r["host"], []).append((r["path"], r["block"]))
+        shared = spark.sparkContext.broadcast({h: sets(x) for h, x in rows.items()})
         return pages.mapInArrow(lambda batches: run(batches, shared.value), schema)
-    # a host may have most pages: its paths are repeated for each salt
-    lists = known.groupBy("host").agg(F.collect_set(F.when(F.col("low"), F.col("path"))).alias("lows"), F.collect_set(F.when(~F.col("low"), F.col("path"))).alias("highs"))
-    salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    joined = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(32)).cast("int")).join(salted, ["host", "salt"], "left")
-    return joined.select("page_id", "url", "host", "html", "lows", "highs").mapInArrow(run, schema)
+    # a host may have most pages: they are dealt out in runs, and its nodes go once to each of them
+    runs = pages.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / RUN_PAGES).alias("runs"))
+    nodes = known.join(runs, "host").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1))).select("host", "run", "path", "block")
+    dealt = pages.join(runs.where("runs > 1"), "host", "left").withColumn("run", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("runs", F.lit(1)))).drop("runs")
+
+    def one_run(key: tuple[pa.Scalar, ...], own: pa.Table, low: pa.Table) -> pa.Table:
+        found = sets(list(zip(low.column("path").to_pylist(), low.column("block").to_pylist(), strict=True)))
+        return pa.table([own.column("page_id"), own.column("url"), pa.array([main_text(h, *found) for h in own.column("html").to_pylist()], pa.string())], ["page_id", "url", "text"])
+
+    return dealt.groupBy("host", "run").cogroup(nodes.groupBy("host", "run")).applyInArrow(one_run, schema)

@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter, defaultdict
+
 import pytest
 
 from newsloom.llm import style_tree as st
@@ -9,10 +13,15 @@ PAGES = [
     ("plain text", "plain text"),
     ("<p>a<p>b<script>var t='</p>'; if (a<b) x()</script>c", "a\nbc"),
     ("<article><p>x &lt;tag&gt; &#233;&nbsp;y</p><!-- <p>no</p> --><ul><li>1<li>2</ul></article>", "x <tag> é y\n1\n2"),
-    ("<div id='cookie-notice'><p>c</p></div><main><p>m</p></main><div>after</div>", "m"),
+    ("<div id='cookie-notice'><p>c</p></div><main><p>main text</p></main><div>after</div>", "main text"),
     ("<p>unclosed <b>tag <a href='x>y'>link", "unclosed tag link"),
     ("</div></p>stray<p", "stray"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+    ("<body><div class='product-review'><p>the only content</p></div></body>", "the only content"),
+    ("<article><header><h1>Title</h1></header><div class='entry-header'><h2>Sub</h2></div><p class='review'>one</p><div class='side-by-side'><p>two</p></div></article>", "Title\nSub\none\ntwo"),
+    ("<header>site</header><div class='site-header'>site</div><article class='card'><p>teaser</p></article><div class='content'><p>the body of the page is here</p></div>", "teaser\nthe body of the page is here"),
+    ("<div class='has-sidebar'><main class='no-menu'><p>x</p></main><div class='sidebar'>s</div></div>", "x"),
+    ("<section><article class='comment'><p>c</p></article></section><article class='post share-on'><p>t</p></article>", "t"),
 ]
 
 
@@ -21,9 +30,14 @@ def test_main_text(html, want):
     assert st.main_text(html, frozenset()) == want
 
 
+def extracted(spark, rows, columns="page_id long, url string, html string"):
+    return {r.page_id: r.text for r in st.extract(spark.createDataFrame(rows, columns)).collect()}
+
+
 @pytest.mark.parametrize("limit", [50_000, 0])
 def test_templates_leave_and_articles_stay(spark, monkeypatch, limit):
-    monkeypatch.setattr(st, "BROADCAST_PATHS", limit)
+    monkeypatch.setattr(st, "BROADCAST_NODES", limit)
+    monkeypatch.setattr(st, "RUN_PAGES", 7)
     rows = [(i, f"http://www.site.org/{i}", f"<body><div class='zz'><p>same on every page</p></div><div class='body'><p>text number {i} of this page</p></div></body>") for i in range(30)]
     rows += [(100 + i, "http://other.org/", "<body><article><p>shared article</p></article></body>") for i in range(30)]
     rows += [(200, None, None), (201, "http://x.org", ""), (201, "http://x.org", "")]
@@ -37,18 +51,91 @@ def test_templates_leave_and_articles_stay(spark, monkeypatch, limit):
 
 @pytest.mark.parametrize("limit", [50_000, 0])
 def test_importance_decides_inside_and_beside_articles(spark, monkeypatch, limit):
-    monkeypatch.setattr(st, "BROADCAST_PATHS", limit)
-    inside = "<body><article><p>text number %d of this page</p><div class='zz'><p>same on every page</p></div></article></body>"
-    beside = "<body><article><p>short teaser %d</p></article><div class='zz'><p>same on every page</p></div><div class='body'><p>text number %d beside it</p></div></body>"
-    rows = [(i, "http://in.org/", inside % i) for i in range(30)] + [(100 + i, "http://by.org/", beside % (i, i)) for i in range(30)]
-    got = {r.page_id: r.text for r in st.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"text number {i} of this page" for i in range(30)} | {100 + i: f"short teaser {i}\ntext number {i} beside it" for i in range(30)}
-
-
-def test_deep_templates_leave(spark):
-    page = "<html><body>" + "<div>" * 6 + "<div class='x'><p>same on every page</p></div><div class='y'><p>text number %d of this page</p></div>" + "</div>" * 6
-    df = spark.createDataFrame([(i, "http://deep.org/", page % i) for i in range(30)], "page_id long, url string, html string")
-    assert {r.page_id: r.text for r in st.extract(df).collect()} == {i: f"text number {i} of this page" for i in range(30)}
+    monkeypatch.setattr(st, "BROADCAST_NODES", limit)
+    inside = "<body><article><p>text number %d of this page</p><div class='zz'><p>same on every page</p></div><p>Follow us every day.</p></article></body>"
+    beside = "<body><article><p>teaser %d</p></article><div class='zz'><p>same on every page</p></div><div class='body'><p>a longer text number %d beside it</p></div></body>"
+    rows = [(i, "http://in.org/", inside % i) for i in range(40)] + [(100 + i, "http://by.org/", beside % (i, i)) for i in range(40)]
+    assert extracted(spark, rows) == {i: f"text number {i} of this page" for i in range(40)} | {100 + i: f"teaser {i}\na longer text number {i} beside it" for i in range(40)}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    """A third of a host's pages are one page: its article stays; so does a host of equal pages without an article."""
+    own = "<body><article><p>story %d told here at length</p><p>and its end %d</p></article></body>"
+    rows = [(i, "http://c.org/", own % (0, 0)) for i in range(40)] + [(100 + i, "http://c.org/", own % (i + 1, i + 1)) for i in range(60)]
+    rows += [(300 + i, "http://equal.org/", "<body><div><p>all pages say this</p></div></body>") for i in range(20)]
+    got = extracted(spark, rows)
+    assert all(got[i] == "story 0 told here at length\nand its end 0" for i in range(40))
+    assert all(got[300 + i] == "all pages say this" for i in range(20))
+
+
+def test_small_hosts_and_ambiguous_names(spark):
+    """Five pages are enough for plain template branches, two for ambiguous names; a varied ambiguous branch stays."""
+    page = "<body><div class='zz'><p>same on every page</p></div><div class='widget'>same widget</div><div class='review'><p>opinion %d on it</p></div></body>"
+    rows = [(i, "http://five.org/", page % i) for i in range(5)] + [(10 + i, "http://two.org/", page % i) for i in range(2)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"opinion {i} on it" for i in range(5))
+    assert all(got[10 + i] == f"same on every page\nopinion {i} on it" for i in range(2))
+
+
+def test_deep_templates_and_long_pages(spark):
+    page = "<html><body>" + "<div>" * 9 + "<div class='x'><p>same on every page</p></div><div class='y'><p>text number %d of this page</p>%s</div>" + "</div>" * 9
+    rows = [(i, "http://deep.org/", page % (i, "<p>long one</p>" * 20_000 if i == 3 else "")) for i in range(30)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"text number {i} of this page" for i in range(30) if i != 3)
+    assert got[3] == "text number 3 of this page" + "\nlong one" * 20_000
+
+
+def brute(pages):
+    """Importance of every path by the formula, from trees of (tag, children or text)."""
+    looks, contents, having = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), defaultdict(set)
+
+    def walk(i, tree, path):
+        tag, below = tree
+        path = (*path, tag)
+        having[path].add(i)
+        if isinstance(below, str):
+            said = [below]
+            look = ()
+        else:
+            said = [x for c in below for x in walk(i, c, path)]
+            look = tuple(c[0] for c in below)
+        looks[path][look].add(i)
+        if said:
+            contents[path][tuple(said)].add(i)
+        return said
+
+    for i, tree in enumerate(pages):
+        walk(i, tree, ())
+    out = {}
+    for path, has in having.items():
+        m = len(has)
+        base = math.log(max(m, 2))
+        alone = [1 - math.log(len(x)) / base for x in contents[path].values()]
+        content = sum(alone) / len(alone) if alone else 1.0
+        look = min(1.0, sum(-len(x) / m * math.log(len(x) / m) / base for x in looks[path].values()))
+        i = 0.9 * content + 0.1 * look
+        out[path] = (m, round(i, 9), round((2 + m * i) / (4 + m), 9))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_importance_equals_brute_force(spark, seed):
+    r = random.Random(seed)
+
+    def tree(depth):
+        tag = r.choice(["div", "section", "ul"])
+        if depth == 0 or r.random() < 0.3:
+            return tag, r.choice(["one", "two", "three", f"own {r.random()}"])
+        return tag, [tree(depth - 1) for _ in range(r.randint(1, 3))]
+
+    def written(t):
+        return f"<{t[0]}>{t[1] if isinstance(t[1], str) else ''.join(map(written, t[1]))}</{t[0]}>"
+
+    pages = [("body", [tree(3) for _ in range(r.randint(1, 3))]) for _ in range(40)]
+    df = spark.createDataFrame([(i, 7, written(p)) for i, p in enumerate(pages)], "page_id long, host long, html string")
+    found = st.importance(st.features(df)).where("block is null").collect()
+    want = brute(pages)
+    assert Counter((round(x.importance, 9), round(x.shrunk, 9)) for x in found) == Counter((i, s) for _, i, s in want.values())
 
 
 def test_empty(spark):

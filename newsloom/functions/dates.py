@@ -39,7 +39,8 @@ def normal_date(c: Column) -> Column:
 
 def first_date(*cs: Column) -> Column:
     """DT02: the first readable of several date fields."""
-    return F.coalesce(*[normal_date(c) for c in cs])
+    # one lambda for all fields keeps the generated code small
+    return F.get(F.filter(F.transform(F.array(*[c.cast("string") for c in cs]), normal_date), lambda t: t.isNotNull()), 0)
 
 
 def iso_utc(c: Column) -> Column:
@@ -56,3 +57,8 @@ def age_hours(report_date: Column, at: Column) -> Column:
 def outside_window(a: Column, b: Column, hours: int) -> Column:
     """FL13: over so many hours apart; a missing instant is inside."""
     return F.coalesce(F.abs(F.unix_micros(a) - F.unix_micros(b)) > hours * 3_600_000_000, F.lit(False))
+
+
+def report_date(c: Column) -> Column:
+    """DT05: the ISO date given, today if there is none."""
+    return F.coalesce(F.to_date(F.nullif(c, F.lit("")), "yyyy-MM-dd"), F.current_date())

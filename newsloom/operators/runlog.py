@@ -213,3 +213,9 @@ def classify_stats(items: DataFrame, events: DataFrame, discards: DataFrame, edg
     per = lambda df, name: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
     out = per(items, "items").join(per(events, "events"), "run_id", "left").join(per(discards, "discarded"), "run_id", "left").join(per(edges, "merged_events"), "run_id", "left")
     return out.fillna(0)
+
+
+def dataset_counts(datasets: dict[str, DataFrame]) -> DataFrame:
+    """AG21: (dataset, items) of each named table."""
+    rows = [df.agg(F.count(F.lit(1)).alias("items")).select(F.lit(name).alias("dataset"), "items") for name, df in datasets.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)

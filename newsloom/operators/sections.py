@@ -257,6 +257,17 @@ def assign(df: DataFrame) -> DataFrame:
     return out.withColumns({"section_scores": scores, "report_tags": tagged, "should_include_report": F.col("report_section").isNotNull()})
 
 
+def passed_over(df: DataFrame, section: str) -> DataFrame:
+    """ST05: events that a section might have taken and no section did."""
+    chosen = df.where("should_include_report").select("report_date", "event_id")
+    return df.where(f"may_{section}").join(chosen, ["report_date", "event_id"], "left_anti")
+
+
+def first_of_id(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """ST07: the first row of each key, in the order given."""
+    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("nth = 1").drop("nth")
+
+
 def unselected(df: DataFrame, most: int = 50) -> DataFrame:
     """SO03/RP04: the day's first unselected events with a high score."""
     rows = df.where(F.col("report_section").isNull() & (F.col("verify_status") != "needs_review") & (F.col("final_score") >= 60))

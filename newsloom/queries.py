@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom import oracle
+from newsloom import landed, oracle
 from newsloom.functions import dates
 from newsloom.functions import text as tx
 from newsloom.operators import enrich, evidence, fold, runlog, sections, vectors
@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FL01, FL03, SC01-SC07, SO01: the scored top of each day."""
+    """FL01, FL03, SC01-SC07, SO01, SRC11, JN01, NM01, DT06: the scored top of each day."""
     return report.flagship(spark, sf_dir)
 
 
@@ -164,7 +164,7 @@ def readable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HS01, JN07: documents by cache key, those of even ids being cached."""
+    """HS01, JN07, EM03, SNK06, SNK07, WN08: documents by cache key, those of even ids being cached."""
     work = _table(spark, sf_dir, "documents").select("doc_id", tx.vector_key(F.lit("m"), F.substring_index("text", "\n", 1)).alias("cache_key"))
     cache = vectors.upsert(work.limit(0).select("cache_key", F.col("doc_id").alias("created_at")), work.where("doc_id % 2 = 0").select("cache_key", F.col("doc_id").alias("created_at")))
     hits, misses = vectors.cache_lookup(work, cache)
@@ -246,7 +246,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG07, EN02, EN03, FL11: platform weight and kind, and report type, of every event."""
+    """AG07, EN02, EN03, FL02, FL11, AR03: platform weight and kind, and report type, of every event."""
     rows = enrich.with_signals(enrich.candidates(news_view.events(spark, sf_dir), news_view.items(spark, sf_dir).drop("report_date").join(news_view.events(spark, sf_dir).select("event_id", "report_date"), "event_id")))
     return rows.select("event_id", "normalized_event_type", F.array_join("platform_set", ",").alias("platforms"), F.array_max(F.transform("platform_set", tx.platform_weight)).alias("weight"), F.array_contains("kinds", "official").alias("official"), "mismatch")
 
@@ -330,9 +330,9 @@ QUERIES = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in QUERIES} | landed.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return oracle.sql()
+    return oracle.sql() | landed.SQL

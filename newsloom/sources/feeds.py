@@ -25,11 +25,17 @@ def capped(df: DataFrame, by: list[str], order: Column, most: int) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("nth") <= most).drop("nth")
 
 
+def _owner(folder: str, name: str) -> Column:
+    """The value of a partition folder in a file's path, else a part of its name."""
+    path = F.col("_metadata.file_path")
+    return F.coalesce(F.nullif(F.regexp_extract(path, rf"/{folder}=([^/]+)/", 1), F.lit("")), F.regexp_extract(path, name, 1))
+
+
 def read_rss(spark: SparkSession, path: str, scrape_date: str, most: int = 20) -> DataFrame:
-    """SRC01: landed RSS or Atom files; the file's name is the feed id."""
-    rss = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string, updated string").load(path)
-    atom = spark.read.format("xml").option("rowTag", "entry").schema("title string, link struct<_href:string>, published string, updated string").load(path)
-    feed = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    """SRC01: landed RSS or Atom files; a ``feed=`` folder or else the file's name is the feed id."""
+    rss = spark.read.format("xml").option("recursiveFileLookup", True).option("rowTag", "item").schema("title string, link string, pubDate string, updated string").load(path)
+    atom = spark.read.format("xml").option("recursiveFileLookup", True).option("rowTag", "entry").schema("title string, link struct<_href:string>, published string, updated string").load(path)
+    feed = _owner("feed", r"([^/]+?)(?:\.[^./]*)?$")
     rows = rss.select(feed.alias("platform"), F.monotonically_increasing_id().alias("pos"), "title", F.col("link").alias("url"), F.coalesce(F.nullif("pubDate", F.lit("")), "updated").alias("at"))
     more = atom.select(feed.alias("platform"), F.monotonically_increasing_id().alias("pos"), "title", F.col("link._href").alias("url"), F.coalesce(F.nullif("published", F.lit("")), "updated").alias("at"))
     first = capped(rows.unionByName(more), ["platform"], F.col("pos"), most)
@@ -56,8 +62,8 @@ def contract(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_hot_lists(spark: SparkSession, path: str, scrape_date: str, most: int = 50) -> DataFrame:
-    """SRC03/DT02: aggregator files, ``{"items": [...]}`` or ``[...]``; the file's name is the source id."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)\.json$", 1).alias("platform"), "value")
+    """SRC03/DT02: aggregator files, ``{"items": [...]}`` or ``[...]``; a ``source=`` folder or the file's name is the source id."""
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(_owner("source", r"([^/]+?)\.json$").alias("platform"), "value")
     row = "struct<" + ",".join(x.strip().replace(" ", ":", 1) for x in re.split(r",\s*(?![^<]*>)", HOT_ROW)) + ">"
     items = F.coalesce(F.from_json("value", f"items array<{row}>")["items"], F.from_json("value", f"array<{row}>"))
     rows = capped(text.select("platform", F.posexplode(items).alias("pos", "r")), ["platform"], F.col("pos"), most)
@@ -224,9 +230,9 @@ def read_log(spark: SparkSession, path: str, schema: str, tail: int | None = Non
     return rows if tail is None else rows.orderBy(F.desc("ts")).limit(tail)
 
 
-def read_checkpoints(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_checkpoints(spark: SparkSession, path: str, schema: str, names: str = "checkpoint.json") -> DataFrame:
     """SRC14: every checkpoint file below a folder, oldest first."""
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "checkpoint.json").json(path, multiLine=True)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", names).json(path, multiLine=True)
     return rows.withColumn("path", F.col("_metadata.file_path")).orderBy("finished_at", "started_at", "path")
 
 

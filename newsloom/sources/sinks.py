@@ -17,10 +17,16 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
 
 def envelopes(items: DataFrame, events: DataFrame, steps: DataFrame) -> DataFrame:
-    """SNK04: one JSON envelope for each run: total, items, events, steps."""
-    packed = lambda df, order, name: df.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*[c for c in df.columns if c != "run_id"]).alias("_r")))), lambda x: x["_r"]).alias(name))
-    out = packed(items, "item_index", "items").join(packed(events, "ordinal", "events"), "run_id", "left").join(packed(steps, "step_id", "steps"), "run_id", "left")
-    return out.select("run_id", F.to_json(F.struct(F.size("items").alias("total"), "items", "events", "steps")).alias("envelope"))
+    """SNK04: each run's envelope as rows (run_id, part, pos, row) in JSON: total, then items, events and steps.
+
+    A run may be large, so its envelope is never one row; sorted by part and
+    position, its rows are the envelope's lines.
+    """
+    out = items.groupBy("run_id").agg(F.count(F.lit(1)).alias("total")).select("run_id", F.lit("0-total").alias("part"), F.lit(0).cast("string").alias("pos"), F.to_json(F.struct("total")).alias("row"))
+    for part, df, order in (("1-items", items, "item_index"), ("2-events", events, "ordinal"), ("3-steps", steps, "step_id")):
+        pos = F.lpad(F.col(order).cast("string"), 12, "0") if dict(df.dtypes)[order] != "string" else F.col(order)
+        out = out.unionByName(df.select("run_id", F.lit(part).alias("part"), pos.alias("pos"), F.to_json(F.struct(*[c for c in df.columns if c != "run_id"])).alias("row")))
+    return out
 
 
 def publish_plan(targets: DataFrame, refs: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ SECTIONS = [("top_news", "一、今日重点新闻", "今日暂无达标内容
 @F.pandas_udf(T.StringType())
 def one_decimal(v: pd.Series) -> pd.Series:
     """One decimal as Python writes it (exact binary value, half to even)."""
-    return v.map(lambda x: f"{x:.1f}")
+    return pd.Series(np.char.mod("%.1f", v.to_numpy(float)))
 
 
 def sources() -> Column:

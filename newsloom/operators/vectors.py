@@ -2,54 +2,109 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.functions import dates
-from newsloom.functions import text as tx
+
+#: Events and queries of one block of the recall.
+EVENT_BLOCK, QUERY_BLOCK = 2000, 500
+
+
+def _matrix(vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors padded to one width, their lengths and their norms."""
+    size = np.fromiter((len(v) if v is not None else 0 for v in vectors), np.int64, len(vectors))
+    out = np.zeros((len(vectors), max(size.max(initial=0), 1)))
+    flat = np.concatenate([np.asarray(v, float) for v in vectors if v is not None and len(v)]) if size.sum() else np.zeros(0)
+    out[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return out, size, np.sqrt((out * out).sum(axis=1))
+
+
+def _similarity(dots: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, norm_a: np.ndarray, norm_b: np.ndarray) -> np.ndarray:
+    """Cosines from dot products; 0 for empty or unequal lengths or a zero norm."""
+    norm = norm_a * norm_b
+    fine = (size_a == size_b) & (size_a > 0) & (norm > 0)
+    return np.divide(dots, norm, out=np.zeros_like(dots), where=fine)
 
 
 @F.pandas_udf(T.DoubleType())
 def cosine_batches(a: pd.Series, b: pd.Series) -> pd.Series:
     """UD02: cosine similarity of two vector columns; 0 for empty or unequal lengths or a zero norm."""
-    out = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        if x is None or y is None or len(x) == 0 or len(x) != len(y):
-            continue
-        x, y = np.asarray(x, float), np.asarray(y, float)
-        n = np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())
-        out[i] = (x * y).sum() / n if n else 0.0
-    return pd.Series(out)
-
-
-def recall(queries: DataFrame, events: DataFrame, k: int = 5, hours: int = 72, similarity: Column | None = None) -> DataFrame:
+    (x, nx, lx), (y, ny, ly) = _matrix(a.tolist()), _matrix(b.tolist())
+    width = min(x.shape[1], y.shape[1])
+    return pd.Series(_similarity(np.einsum("ij,ij->i", x[:, :width], y[:, :width]), nx, ny, lx, ly))
+
+
+def _blocks(df: DataFrame, key: list[str], name: str, most: int) -> DataFrame:
+    """Rows of a key packed in arrays of about ``most``."""
+    parts = df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    rows = [c for c in df.columns if c not in key]
+    dealt = df.join(parts, key).withColumn("part", F.pmod(F.xxhash64(rows[0]), "parts"))
+    return dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*rows)).alias(name)).drop("part")
+
+
+def _nearest(q: DataFrame, e: DataFrame, key: list[str], k: int, hours: int) -> DataFrame:
+    """The ``k`` most similar events of each query within each cell of blocks of equal key."""
+    cells = _blocks(q, key, "qs", QUERY_BLOCK).join(_blocks(e, key, "es", EVENT_BLOCK), key).select("scope", "qs", "es")
+    types = {c: t for df in (q, e) for c, t in df.dtypes}
+    columns = ["scope", "query_id", "event_id", "ordinal", "similarity"]
+    reach = hours * 3_600_000_000
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in range(batch.num_rows):
+                qs, es = batch.column(1)[cell].values, batch.column(2)[cell].values
+                x, nx, lx = _matrix(qs.field("q_vector").to_pylist())
+                y, ny, ly = _matrix(es.field("e_vector").to_pylist())
+                width = min(x.shape[1], y.shape[1])
+                score = _similarity(x[:, :width] @ y[:, :width].T, nx[:, None], ny, lx[:, None], ly)
+                at = [np.array([np.nan if t is None else t for t in side.to_pylist()], float) for side in (qs.field("q_at"), es.field("e_at"))]
+                with np.errstate(invalid="ignore"):
+                    out = np.abs(at[0][:, None] - at[1]) > reach  # a missing time is in reach of all
+                own = np.array(es.field("event_id").to_pylist(), object)
+                out |= np.array(qs.field("exclude_id").to_pylist(), object)[:, None] == own
+                score[out] = -np.inf
+                order = np.array(es.field("ordinal").to_pylist())
+                rank = np.argsort(order, kind="stable")
+                best = rank[np.argsort(-score[:, rank], axis=1, kind="stable")[:, :k]]
+                row, place = np.nonzero(np.take_along_axis(score, best, axis=1) > -np.inf)
+                hit = best[row, place]
+                scope = pa.array([batch.column(0)[cell].as_py()] * len(row), batch.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([scope, qs.field("query_id").take(pa.array(row)), es.field("event_id").take(pa.array(hit)), es.field("ordinal").take(pa.array(hit)), pa.array(score[row, hit])], columns)
+
+    return cells.mapInArrow(search, ", ".join(f"{c} {types.get(c, 'double')}" for c in columns))
+
+
+def recall(queries: DataFrame, events: DataFrame, k: int = 5, hours: int = 72) -> DataFrame:
     """JN03/JN04/SO02: the k most similar events of each query within so many hours.
 
     ``queries``: query_id, at (instant), vector, optional exclude_id and
     scope; ``events``: event_id, at, vector, ordinal and scope.  ``scope`` is
     the run (or day) that both belong to.  Times in reach share a bucket or are
-    in adjacent ones, so the join is on buckets; an event or query without a
-    time is in reach of everything in its scope, in two branches of their own.
-    Only ids travel beyond the top k.
+    in adjacent ones; an event or query without a time is in reach of
+    everything in its scope, in two branches of their own.  In each branch the
+    vectors of a key meet in cells of two blocks of bounded size: one matrix
+    product and a top k for each, so no pair leaves its cell beyond the top k.
+    Ties go to the smaller ordinal.
     """
     q, e = (df if "scope" in df.columns else df.withColumn("scope", F.lit(0)) for df in (queries, events))
     if "exclude_id" not in q.columns:
         q = q.withColumn("exclude_id", F.lit(None).cast("string"))
-    bucket = lambda c: F.floor(F.unix_seconds(c) / (hours * 3600))
-    q = q.select("scope", "query_id", F.col("at").alias("q_at"), F.col("vector").alias("q_vector"), "exclude_id")
-    e = e.select("scope", "event_id", "ordinal", F.col("at").alias("e_at"), F.col("vector").alias("e_vector"))
-    timed = q.where("q_at is not null").withColumn("bucket", F.explode(F.array(*[bucket(F.col("q_at")) + d for d in (-1, 0, 1)])))
-    near = timed.join(e.where("e_at is not null").withColumn("bucket", bucket(F.col("e_at"))), ["scope", "bucket"]).drop("bucket").where(~dates.outside_window(F.col("q_at"), F.col("e_at"), hours))
-    loose = q.where("q_at is null").join(e, "scope")
-    undated = q.where("q_at is not null").join(e.where("e_at is null"), "scope")
-    every = near.unionByName(loose).unionByName(undated).where("exclude_id is null or exclude_id <> event_id")
-    score = tx.cosine(F.col("q_vector"), F.col("e_vector")) if similarity is None else similarity
-    scored = every.select("scope", "query_id", "event_id", "ordinal", score.alias("similarity"))
+    bucket = lambda c: F.floor(F.col(c) / (hours * 3_600_000_000))
+    vector = lambda c: F.col(c).cast("array<double>")
+    q = q.select("scope", "query_id", F.unix_micros("at").alias("q_at"), vector("vector").alias("q_vector"), F.col("exclude_id").cast("string").alias("exclude_id"))
+    e = e.select("scope", "event_id", "ordinal", F.unix_micros("at").alias("e_at"), vector("vector").alias("e_vector"))
+    timed = q.where("q_at is not null").withColumn("bucket", F.explode(F.array(*[bucket("q_at") + d for d in (-1, 0, 1)])))
+    near = _nearest(timed, e.where("e_at is not null").withColumn("bucket", bucket("e_at")), ["scope", "bucket"], k, hours)
+    loose = _nearest(q.where("q_at is null"), e, ["scope"], k, hours)
+    undated = _nearest(q.where("q_at is not null"), e.where("e_at is null"), ["scope"], k, hours)
     order = Window.partitionBy("scope", "query_id").orderBy(F.desc("similarity"), "ordinal")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.unionByName(loose).unionByName(undated).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def without_pairs(found: DataFrame, skip: DataFrame) -> DataFrame:

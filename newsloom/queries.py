@@ -240,9 +240,8 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
     counts = jobs.interval_counts(log.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type")))
     at = workdir.new_path(spark, "stream")
-    query = counts.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{at}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "type", "entries")
+    out = jobs.run_counts(counts, f"{at}/out", f"{at}/state")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "type", "entries")
 
 
 def source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def test_encode_decode_equal_tiktoken(spark, reference):
 def test_lower_ranks_opened_by_a_merge():
     # merging (a, b) opens "abc", whose rank is below that of "ab"
     ranks = {bytes([i]): i for i in range(256)} | {b"bc": 300, b"abc": 256, b"ab": 257, b"ca": 258}
-    pairs = bpe.PairRanks(ranks)
+    pairs = bpe.pair_ranks(ranks)
     r = random.Random(1)
     for _ in range(500):
         piece = bytes(r.choice(b"abc") for _ in range(r.randint(1, 30)))

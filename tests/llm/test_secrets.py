@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from newsloom.llm import queries, secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -29,7 +31,9 @@ def texts(seed):
     return [*rows, None, "", "word " * 20000 + "token=abcdefgh", "token=abcdefgh " * 500]
 
 
-def test_base_spans_equal_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_base_spans_equal_brute_force(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(secrets, "BROADCAST_CANDIDATES", limit)
     rows = texts(1)
     spark.createDataFrame([(i, t, "clash") for i, t in enumerate(rows)], "doc_id long, text string, found string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in queries.op9_secret_scan(spark, str(tmp_path)).collect()}
@@ -54,6 +58,8 @@ def test_trigram_queries():
     assert frozenset(["pas", "ass", "ssw", "swo", "wor", "ord", "rd=", "d=x"]) in q or frozenset(["pas", "ass", "ssw", "swo", "wor", "ord", "rd="]) in q
     assert any("api" in c and "i_k" in c for c in q) and any("pik" in c for c in q)
     assert secrets.trigram_query(r"[0-9a-f]{24,}") == []
+    assign = secrets.trigram_query(secrets.BASE[0].pattern)
+    assert frozenset(["tok", "oke", "ken"]) in assign and len(assign) == 6
     assert secrets.trigram_query(r"AKIA[A-Z0-9]{16,}") == [frozenset(["aki", "kia"])]
 
 

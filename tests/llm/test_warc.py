@@ -14,6 +14,9 @@ def rows():
 @pytest.mark.parametrize("version,limit,least", [(1, 100_000, 0), (2, 100_000, 0), (1, 0, 0), (2, 0, 3)])
 def test_round_trip(spark, monkeypatch, version, limit, least):
     monkeypatch.setattr(warc, "BROADCAST_REVISITS", limit)
+    if not limit:  # a record a chunk, two chunks a file
+        monkeypatch.setattr(warc, "CHUNK", 1)
+        monkeypatch.setattr(warc, "FILE_CHUNKS", 2)
     data = rows()
     df = spark.createDataFrame([(*r, "c") for r in data], "page_id long, url string, html string, digest string").repartition(3)
     got = {r.row_id: r for r in warc.archive(df, least, version).collect()}

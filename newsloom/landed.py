@@ -496,3 +496,51 @@ def wording_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", index(rules.TITLE_REWRITES).alias("title_rule"), index(rules.SUMMARY_REWRITES).alias("summary_rule"), tx.polish_text(F.col("t"), 30).alias("polished"), tx.trend_text(F.col("t"), 25).alias("trend"),
         F.size(tx.first_by_prefix(F.array(t, F.upper(t), F.concat(F.lit("other "), t)))).alias("kept"), tx.response_key(F.lit("t"), F.lit("m"), F.lit("0.1"), said).alias("response_key"),
     )
+
+
+# ---------------------------------------------------------------- pages and groups
+
+
+@_query(f"""
+WITH i AS (SELECT doc_id, doc_id // 20 AS page_id, doc_id // 20 % 5 AS kind, trim(regexp_replace(substr(split_part(text, chr(10), 1), 1, 80), '[^A-Za-z0-9.&]+', ' ', 'g')) AS title FROM documents),
+u AS (SELECT page_id, kind, title, CASE kind WHEN 0 THEN (CASE WHEN doc_id % 3 = 0 THEN '/policy-x/' ELSE '/news/' END) || (doc_id % 15) ELSE '/papers/' || (doc_id % 15) END AS path, doc_id % 20 AS n FROM i WHERE kind <= 2 AND (kind > 0 OR doc_id % 7 <> 0) AND title <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id, path ORDER BY n) AS nth FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos FROM f WHERE nth = 1)
+SELECT page_id, pos, 'https://h.org' || path AS url, title, CASE WHEN kind = 2 THEN '' ELSE 'day ' || n END AS published, ['listing', 'structured', 'links'][kind + 1] AS status FROM r
+UNION ALL SELECT DISTINCT page_id, -1, '', '', '', CASE WHEN kind = 3 THEN 'blocked' WHEN kind = 4 THEN 'empty' WHEN page_id NOT IN (SELECT page_id FROM r) THEN 'empty' ELSE ['listing', 'structured', 'links'][kind + 1] END FROM i
+""")
+def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC05-SRC08, SRC20, UD01: listing pages, pages with embedded papers, with paper links, blocked and empty ones."""
+    n = F.col("doc_id")
+    title = F.trim(F.regexp_replace(F.substring(F.substring_index("text", "\n", 1), 1, 80), "[^A-Za-z0-9.&]+", " "))
+    rows = _table(spark, sf_dir, "documents").select(n, F.floor(n / 20).alias("page_id"), (F.floor(n / 20) % 5).alias("kind"), title.alias("title"))
+    safe = F.replace(F.col("title"), F.lit("&"), F.lit("&amp;"))
+    number, day = (n % 15).cast("string"), F.concat(F.lit("day "), (n % 20).cast("string"))
+    link = F.concat(F.lit('<div><a class="c" href="'), F.when(n % 3 == 0, "/policy-x/").otherwise("/news/"), number, F.lit('?a=1"><h3> '), safe, F.lit(" </h3>"), F.when(n % 7 != 0, F.concat(F.lit("<time>"), day, F.lit("</time>"))).otherwise(""), F.lit("</a></div>"))
+    paper = F.struct(F.struct(number.alias("id"), F.col("title").alias("title")).alias("paper"), day.alias("publishedAt"))
+    plain = F.concat(F.lit('<p><a href="/papers/'), number, F.lit('"><b>'), safe, F.lit("</b></a></p>"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("doc_id", c.alias("x")))), lambda v: v["x"])
+    pages = rows.groupBy("page_id", "kind").agg(ordered(link).alias("links"), ordered(paper).alias("papers"), ordered(plain).alias("plain"))
+    props = F.replace(F.replace(F.to_json(F.struct(F.col("papers").alias("dailyPapers"))), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    body = F.when(F.col("kind") == 0, F.array_join("links", "")).when(F.col("kind") == 1, F.concat(F.lit("<div data-target=\"DailyPapers\" data-props='"), props, F.lit("'></div>"))).when(F.col("kind") == 2, F.array_join("plain", "")).when(F.col("kind") == 3, "Attention: solve the CAPTCHA").otherwise("<p>nothing</p>")
+    out = feeds.extract_pages(pages.select("page_id", F.lit("https://h.org/x").alias("url"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html")))
+    none = lambda c: F.coalesce(c, F.lit(""))
+    return out.select("page_id", F.coalesce("pos", F.lit(-1)).alias("pos"), F.regexp_replace(none("url"), r"\?a=1$", "").alias("url"), none("title").alias("title"), none("published").alias("published"), "status")
+
+
+@_query("""
+WITH RECURSIVE v AS (SELECT CAST(label AS VARCHAR) AS run_id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (
+  SELECT run_id, list(vec_id ORDER BY vec_id) AS pending, -1 AS idx, CAST([] AS BIGINT[]) AS members FROM v GROUP BY run_id
+  UNION ALL
+  SELECT run_id, list_filter(pending, lambda x: NOT list_contains(m, x)), idx + 1, m FROM (
+    SELECT g.run_id, g.pending, g.idx, list_concat([g.pending[1]], coalesce((SELECT list(b.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id)[1:39] FROM v a JOIN v b ON b.run_id = a.run_id WHERE a.run_id = g.run_id AND a.vec_id = g.pending[1] AND b.vec_id <> a.vec_id AND list_contains(g.pending, b.vec_id)), [])) AS m
+    FROM g WHERE len(g.pending) > 0
+  )
+)
+SELECT run_id, CAST(unnest(members) AS VARCHAR) AS key, idx AS group_index, CAST(unnest(generate_series(0, len(members) - 1)) AS INT) AS position FROM g WHERE idx >= 0
+""")
+def greedy_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM01, EM02: greedy groups of 40 over the whole run of each label."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("run_id"), F.col("vec_id").alias("ordinal"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return vectors.greedy_groups(rows, 40)

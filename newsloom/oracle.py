@@ -279,10 +279,25 @@ def _source_scores() -> str:
     return f"WITH {_candidates()} SELECT event_id, kind AS normalized_event_type, array_to_string(platforms, ',') AS platforms, weight, list_contains(kinds, 'official') AS official, false AS mismatch FROM h"
 
 
+_NAMED = {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
+def _unescaped(t: str) -> str:
+    for name, sign in _NAMED.items():
+        t = f"replace({t}, {_q(name)}, {_q(sign)})"
+    return t
+
+
+READABLE = rf"""
+WITH p AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '<>', 'g'), '<[^>]*>'), lambda x: trim({_unescaped("x")}, ' ' || chr(9) || chr(10) || chr(13))), lambda x: length(x) >= 2) AS parts FROM pages)
+SELECT page_id, trim(regexp_replace({_unescaped("array_to_string(parts, ' ')")}, '{WS}+', ' ', 'g')) AS text FROM p
+"""
+
+
 def sql() -> dict[str, str]:
     """SQL by query name; the others are tested against small models instead."""
     return {
         "flagship": _flagship(), "text_rules": _text(), "token_rules": TOKENS, "url_rules": URLS, "date_forms": DATES, "source_caps": CAPS, "item_fold": FOLD, "first_claims": CLAIMS, "omitted_items": OMITTED, "similarity_recall": RECALL, "entity_dedupe": DEDUPE, "topic_counts": TOPICS,
         "cache_lookup": CACHE, "group_summary": GROUPS, "run_states": RUNS, "dependency_blocks": BLOCKS, "task_relatives": RELATIVES, "attempt_history": ATTEMPTS, "keyword_lookup": LOOKUP, "merged_sources": SOURCES, "stream_counts": STREAM, "source_scores": _source_scores(),
-        "extracted_events": EXTRACTED, "extraction_discards": DISCARDS, "item_decisions": DECISIONS, "task_flags": FLAGS, "scrape_outcomes": SCRAPES,
+        "extracted_events": EXTRACTED, "extraction_discards": DISCARDS, "item_decisions": DECISIONS, "task_flags": FLAGS, "scrape_outcomes": SCRAPES, "readable_pages": READABLE,
     }

@@ -2,10 +2,12 @@
 
 From each rule's regular expression the driver derives a Boolean query: an OR
 of conjunctions of trigrams (in lower case) that every match must contain.
-One pass posts, for the trigrams that any query names, the documents that hold
-them; the postings of each conjunction are intersected by counting, and only
-the documents left run the rule's expression.  A rule without mandatory
-trigrams (a bare character class) runs over every text.
+One pass over each text posts, for the trigrams that any query names, the
+documents that hold them; the postings of each conjunction are intersected by
+counting, and only the documents left run the rule's expression.  A rule
+without mandatory trigrams (a bare character class) runs over every text.
+The candidates (ids and rules) go to the texts, which stay where they are, as
+long as they are few by count; beyond that both sides are shuffled.
 
 Spans are in code points, end exclusive.  Matches are leftmost and do not
 overlap within a kind; those that fail the rule's length test are dropped
@@ -24,6 +26,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -51,6 +55,8 @@ MORE = (
 )
 
 _MOST_STRINGS = 64
+#: Candidate documents that are broadcast at most (an id and a few rule numbers each).
+BROADCAST_CANDIDATES = 500_000
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
@@ -85,9 +91,8 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
                     step = [(None,)]
             else:
                 step = [(None,)]
-            ways = [a + b for a, b in product(ways, step)]
-            if len(ways) > _MOST_STRINGS:
-                ways = [(None,)]
+            # beyond the limit a part counts as anything, and what stands before it is kept
+            ways = [a + b for a, b in product(ways, step if len(ways) * len(step) <= _MOST_STRINGS else [(None,)])]
         return ways
 
     found = []
@@ -99,17 +104,22 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return [x for x in dict.fromkeys(found) if not any(y < x for y in found)]
 
 
+def _any_of(strings: list[str]) -> str:
+    """A look-ahead for strings of equal length, branching by first character."""
+    heads = sorted({t[0] for t in strings})
+    return "(?=(" + "|".join(re.escape(h) + "(?:" + "|".join(re.escape(t[1:]) for t in strings if t[0] == h) + ")" for h in heads) + "))"
+
+
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(doc_id, rules): indexes of the rules whose query the document satisfies."""
     queries = [(i, c, sorted(conj)) for i, r in enumerate(rules) for c, conj in enumerate(trigram_query(r.pattern))]
     trigrams = sorted({t for *_, conj in queries for t in conj})
-    lower = F.lower("text")
-    posted = F.array_remove(F.array(*[F.when(F.contains(lower, F.lit(t)), F.lit(i)).otherwise(F.lit(-1)) for i, t in enumerate(trigrams)]), -1)
+    posted = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_of(trigrams)), F.lit(1)))
     postings = docs.where("doc_id is not null").select("doc_id", F.explode(posted).alias("trigram"))
-    uses = [[F.struct(F.lit(i).alias("rule"), F.lit(c).alias("conj"), F.lit(len(conj)).alias("need")) for i, c, conj in queries if t in conj] for t in trigrams]
-    named = postings.select("doc_id", F.explode(F.element_at(F.array(*[F.array(*u) for u in uses]), F.col("trigram") + 1)).alias("q"))
-    # equal postings of repeated ids count once for each trigram
-    held = named.groupBy("doc_id", "q.rule", "q.conj", "q.need").agg(F.count(F.lit(1)).alias("hits")).where("hits >= need")
+    uses = [x for t in trigrams for x in (F.lit(t), F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(c).alias("conj"), F.lit(len(conj)).alias("need")) for i, c, conj in queries if t in conj]))]
+    named = postings.select("doc_id", "trigram", F.explode(F.element_at(F.create_map(*uses), F.col("trigram"))).alias("q"))
+    # rows that share an id share their postings, each trigram once
+    held = named.groupBy("doc_id", "q.rule", "q.conj", "q.need").agg(F.size(F.collect_set("trigram")).alias("hits")).where("hits >= need")
     return held.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
@@ -137,7 +147,10 @@ def _named(rank: int, kind: str):
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """``docs`` with ``found``: an array of (start, kind order, end, kind), sorted."""
     scanned_fully = [not trigram_query(r.pattern) for r in rules]
-    wanted = candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules).toDF("posted_id", "posted_rules")
+    scratch = Scratch(docs.sparkSession, "secrets")
+    wanted = scratch.save(candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules).toDF("posted_id", "posted_rules"), "candidates")
+    if wanted.count() <= BROADCAST_CANDIDATES:
+        wanted = F.broadcast(wanted)
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     key, text = names[docs.columns.index("doc_id")], F.coalesce(names[docs.columns.index("text")], F.lit(""))

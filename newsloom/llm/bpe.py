@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.scratch import small_batches
 
-#: Distinct pieces that a worker remembers; beyond it the memory starts anew.
+#: Distinct pieces that a worker remembers; beyond it the rarest half goes.
 REMEMBERED = 400_000
 #: Characters encoded at a time, unless one text is longer.
 CHUNK = 1 << 20
@@ -38,112 +38,124 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class PairRanks(dict):
-    """Rank of two adjacent tokens' merge by ``left << 32 | right``; -1 if none."""
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of two adjacent tokens' merge by ``left << 32 | right``, for all pairs that merge.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
+    A pair merges if its bytes are a token, so these are the ways to cut each
+    token in two tokens.
+    """
+    return {ranks[t[:i]] << 32 | ranks[t[i:]]: rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
-    def __missing__(self, key: int) -> int:
-        rank = self[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
-        return rank
 
-
-def strict(piece: bytes, ranks: dict[bytes, int], pairs: PairRanks) -> list[int]:
+def strict(piece: bytes, ranks: dict[bytes, int], pairs: dict[int, int]) -> list[int]:
     """One piece, always the leftmost pair of the lowest rank."""
     out = [ranks[piece[i : i + 1]] for i in range(len(piece))]
     while len(out) > 1:
-        best, at = min(((r, i) for i in range(len(out) - 1) if (r := pairs[out[i] << 32 | out[i + 1]]) >= 0), default=(-1, -1))
+        best, at = min(((r, i) for i in range(len(out) - 1) if (r := pairs.get(out[i] << 32 | out[i + 1], -1)) >= 0), default=(-1, -1))
         if best < 0:
             break
         out[at : at + 2] = [best]
     return out
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int], pairs: PairRanks) -> list[list[int]]:
+def byte_pairs(ranks: dict[bytes, int], pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Token of each byte, and rank of each pair of bytes (-1: none)."""
+    single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+    table = np.array([pairs.get(int(x) << 32 | int(y), -1) for x in single for y in single], np.int64)
+    return single, table
+
+
+def replay(pieces: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int], start: tuple[np.ndarray, np.ndarray] | None = None) -> list[list[int]]:
     """The ids of many pieces at once, by the pair index."""
-    single = [ranks.get(bytes([b]), -1) for b in range(256)]
-    token: list[int] = []
-    ends: list[int] = []
-    for p in pieces:
-        if p in ranks:
-            token.append(ranks[p])
-        else:
-            token.extend([single[b] for b in p])
-        ends.append(len(token))
-    n = len(token)
+    single, table = start or byte_pairs(ranks, pairs)
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(size)
+    raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+    n = len(raw)
+    opened = np.full(n, -1, np.int64)
+    if n > 1:
+        opened[:-1] = table[raw[:-1] << 8 | raw[1:]]
+        opened[ends - 1] = -1
+    # the index: all positions of each pair, in order
+    at = np.flatnonzero(opened >= 0)
+    at = at[np.argsort(opened[at], kind="stable")]
+    found, first = np.unique(opened[at], return_index=True)
+    heap: list[int] = found.tolist()
+    where: dict[int, list[int]] = dict(zip(heap, (x.tolist() for x in np.split(at, first[1:])), strict=True)) if heap else {}
+    token: list[int] = single[raw].tolist()
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    at = 0
-    for e in ends:
-        if e > at:
-            after[e - 1] = before[at] = -1
-        at = e
-    where: dict[int, list[int]] = {}
-    for i in range(n):
-        j = after[i]
-        if j > 0 and (r := pairs[token[i] << 32 | token[j]]) >= 0:
-            where.setdefault(r, []).append(i)
-    heap = list(where)
-    heapq.heapify(heap)
+    for e, k in zip(ends.tolist(), size.tolist(), strict=True):
+        if k:
+            after[e - 1] = before[e - k] = -1
     lower: list[int] = []
+    get, push, pop = pairs.get, heapq.heappush, heapq.heappop
     while heap:
-        rank = heapq.heappop(heap)
-        for i in sorted(where.pop(rank, ())):
+        rank = pop(heap)
+        for i in sorted(where.pop(rank)):
             left = token[i]
             j = after[i]
-            if left < 0 or j < 0 or pairs[left << 32 | token[j]] != rank:
+            if left < 0 or j < 0 or get(left << 32 | token[j]) != rank:
                 continue
             token[i], token[j] = rank, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (r := pairs[rank << 32 | token[k]]) >= 0:
+                r = get(rank << 32 | token[k])
+                if r is not None:
                     if r < rank:
                         lower.append(i)
-                    if r not in where:
-                        where[r] = []
-                        heapq.heappush(heap, r)
-                    where[r].append(i)
+                    if r in where:
+                        where[r].append(i)
+                    else:
+                        where[r] = [i]
+                        push(heap, r)
             h = before[i]
-            if h >= 0 and (r := pairs[token[h] << 32 | rank]) >= 0:
-                if r < rank:
-                    lower.append(h)
-                if r not in where:
-                    where[r] = []
-                    heapq.heappush(heap, r)
-                where[r].append(h)
-    out, at = [], 0
-    for e in ends:
-        out.append([t for t in token[at:e] if t >= 0])
-        at = e
-    for w in set(np.searchsorted(np.array(ends), lower, "right").tolist()) if lower else ():
-        out[w] = strict_heap(pieces[w], ranks, pairs)
+            if h >= 0:
+                r = get(token[h] << 32 | rank)
+                if r is not None:
+                    if r < rank:
+                        lower.append(h)
+                    if r in where:
+                        where[r].append(h)
+                    else:
+                        where[r] = [h]
+                        push(heap, r)
+    flat = np.array(token, np.int64)
+    kept = flat >= 0
+    cut = np.r_[0, np.cumsum(kept)][np.r_[0, ends]].tolist()
+    ids = flat[kept].tolist()
+    out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    for i, p in enumerate(pieces):
+        if p in ranks:
+            out[i] = [ranks[p]]
+    for w in set(np.searchsorted(ends, lower, "right").tolist()) if lower else ():
+        if pieces[w] not in ranks:
+            out[w] = strict_heap(pieces[w], ranks, pairs)
     return out
 
 
-def strict_heap(piece: bytes, ranks: dict[bytes, int], pairs: PairRanks) -> list[int]:
+def strict_heap(piece: bytes, ranks: dict[bytes, int], pairs: dict[int, int]) -> list[int]:
     """As ``strict``, in n log n for long pieces."""
     if len(piece) < 64:
         return strict(piece, ranks, pairs)
     token = [ranks[piece[i : i + 1]] for i in range(len(piece))]
     n = len(token)
     after, before = [*range(1, n), -1], list(range(-1, n - 1))
-    heap = [(r, i) for i in range(n - 1) if (r := pairs[token[i] << 32 | token[i + 1]]) >= 0]
+    heap = [(r, i) for i in range(n - 1) if (r := pairs.get(token[i] << 32 | token[i + 1], -1)) >= 0]
     heapq.heapify(heap)
     while heap:
         rank, i = heapq.heappop(heap)
         j = after[i]
-        if token[i] < 0 or j < 0 or pairs[token[i] << 32 | token[j]] != rank:
+        if token[i] < 0 or j < 0 or pairs.get(token[i] << 32 | token[j]) != rank:
             continue
         token[i], token[j] = rank, -1
         after[i] = k = after[j]
         if k >= 0:
             before[k] = i
-            if (r := pairs[rank << 32 | token[k]]) >= 0:
+            if (r := pairs.get(rank << 32 | token[k], -1)) >= 0:
                 heapq.heappush(heap, (r, i))
         h = before[i]
-        if h >= 0 and (r := pairs[token[h] << 32 | rank]) >= 0:
+        if h >= 0 and (r := pairs.get(token[h] << 32 | rank, -1)) >= 0:
             heapq.heappush(heap, (r, h))
     return [t for t in token if t >= 0]
 
@@ -153,13 +165,23 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
-        self.pairs = PairRanks(self.ranks)
+        self.pairs = pair_ranks(self.ranks)
+        self.start_at = byte_pairs(self.ranks, self.pairs)
         self.split = regex.compile(pattern).findall
-        self.forget()
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.hits = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        """Keep the pieces met most, half of what is remembered at most."""
+        names = list(self.known)
+        often = np.argsort(-self.hits, kind="stable")[: REMEMBERED // 2]
+        often = often[self.hits[often] > 1]
+        size = np.diff(self.start)[often]
+        past = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.start[often] - past + size, size) + np.arange(past[-1] if len(past) else 0)]
+        self.start = np.r_[0, past]
+        self.known = {names[i]: k for k, i in enumerate(often.tolist())}
+        self.hits = np.zeros(len(often), np.int64)
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
@@ -167,13 +189,12 @@ class Encoder:
             return
         if len(self.known) + len(new) > REMEMBERED:
             self.forget()
-            new = list(pieces)
-        if len(self.pairs) > 1_500_000:
-            self.pairs.clear()
-        ids = replay([p.encode() for p in new], self.ranks, self.pairs)
+            new = [p for p in pieces if p not in self.known]
+        ids = replay([p.encode() for p in new], self.ranks, self.pairs, self.start_at)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, np.fromiter((t for x in ids for t in x), np.int32, int(sizes.sum()))])
+        self.hits = np.concatenate([self.hits, np.zeros(len(ids), np.int64)])
         at = len(self.known)
         self.known.update(zip(new, range(at, at + len(new)), strict=True))
 
@@ -183,6 +204,7 @@ class Encoder:
         self.learn(set().union(*pieces))
         count = np.fromiter(map(len, pieces), np.int64, len(pieces))
         which = np.fromiter((i for p in pieces for i in map(self.known.__getitem__, p)), np.int64, int(count.sum()))
+        self.hits += np.bincount(which, minlength=len(self.hits))
         first, size = self.start[which], self.start[which + 1] - self.start[which]
         past = np.cumsum(size)
         ids = self.flat[np.repeat(first - past + size, size) + np.arange(past[-1] if len(past) else 0)]

@@ -10,9 +10,11 @@ first of equal payloads (at least ``min_bytes`` long, smallest id first) and
 ``revisit`` for the others, which refer to it and repeat no payload.
 
 Archives are files in a shared folder, written with Spark's text sink
-(records are valid UTF-8) and read with its binary source, one file a row;
-files are bounded by the input partitions.  Every converted record carries
-its row's id in an extension field, since a URL need not be unique.
+(records are valid UTF-8) and read with its binary source, one file a row.  A
+file is closed after ``FILE_CHUNKS`` chunks of about ``CHUNK`` bytes (a longer
+record is a chunk of its own), and readers inflate it as a stream, so a worker
+holds one compressed file and one chunk.  Every converted record carries its
+row's id in an extension field, since a URL need not be unique.
 
 Nulls: null html is an empty payload, a null URL is written as ``-``.  Rows
 with a null id come after all others.  Repeated rows are records each, and
@@ -22,11 +24,13 @@ alike: all of the smallest id are responses.  Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,6 +42,8 @@ ARC_V1 = "URL IP-address Archive-date Content-type Archive-length"
 ARC_V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 #: Revisits held in a broadcast at most; beyond it they are joined.
 BROADCAST_REVISITS = 100_000
+#: Bytes of records in one chunk, and chunks in one file.
+CHUNK, FILE_CHUNKS = 1 << 20, 64
 _SPACE = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -61,23 +67,22 @@ def arc_record(version: int, url: str, date: str, block: bytes, name: str, mime:
     return f"{url} 0.0.0.0 {date} {mime} 200 - - 0 {name} {len(block)}\n".encode() + block
 
 
-def read_arc(data: bytes) -> Iterator[dict]:
+def _stream(data: bytes | BinaryIO) -> BinaryIO:
+    return io.BytesIO(data) if isinstance(data, bytes) else data
+
+
+def read_arc(data: bytes | BinaryIO) -> Iterator[dict]:
     """The records of an ARC file: the version block's fields name the header's."""
-    at, fields = 0, None
-    while at < len(data):
-        stop = data.find(b"\n", at)
-        line = data[at : stop if stop >= 0 else len(data)].rstrip(b"\r")
-        if stop < 0:
-            stop = len(data)
+    data, fields = _stream(data), None
+    while raw := data.readline():
+        line = raw.rstrip(b"\r\n")
         if not line:
-            at = stop + 1
             continue
         parts = line.decode("utf-8", "replace").split(" ")
         size = int(parts[-1])
-        block = data[stop + 1 : stop + 1 + size]
+        block = data.read(size)
         if len(block) < size:
-            raise ValueError(f"ARC record at byte {at} is cut short")
-        at = stop + 1 + size
+            raise ValueError(f"ARC record is cut short: {line[:200]!r}")
         if line.startswith(b"filedesc://"):
             fields = block.split(b"\n")[1].decode().split(" ")
             continue
@@ -136,51 +141,89 @@ def date_of(key: str) -> str:
     return warc_date("20240101000000")
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def read_warc(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """Named fields (lower case) and block of each record of a WARC file."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] in (b"\r\n", b"\n\r") or data[at : at + 1] == b"\n":
-            at += 2 if data[at : at + 1] == b"\r" else 1
+    data = _stream(data)
+    while raw := data.readline():
+        if not raw.strip(b"\r\n"):
             continue
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}
+        if not raw.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {raw[:200]!r}")
+        fields = {}
+        while line := data.readline().rstrip(b"\r\n"):
+            k, mark, v = line.decode("utf-8", "replace").partition(":")
+            if mark:
+                fields[k.strip().lower()] = v.strip()
         size = int(fields["content-length"])
-        yield fields, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+        block = data.read(size)
+        if len(block) < size:
+            raise ValueError(f"WARC record {fields.get('warc-record-id')} is cut short")
+        yield fields, block
 
 
 def _write(lines: DataFrame, path: str) -> None:
-    """Text chunks as compressed files, one for each partition."""
-    lines.write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    """Chunks of text as compressed files of bounded size."""
+    lines.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", FILE_CHUNKS).text(path)
 
 
 def _files(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.format("binaryFile").load(path).select("content")
 
 
-def _inflate(raw: bytes) -> bytes:
-    return zlib.decompress(raw, 31)
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[BinaryIO]:
+    """The archives of binary rows, inflated as they are read."""
+    for batch in batches:
+        for raw in batch.column(0):
+            yield io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(raw.as_buffer())), 1 << 18)
+
+
+def _runs(items: Iterable[Any], size: Callable[[Any], int], most: int) -> Iterator[list]:
+    """Items in runs of about ``most`` bytes, in order."""
+    held, total = [], 0
+    for x in items:
+        n = size(x)
+        if held and total + n > most:
+            yield held
+            held, total = [], 0
+        held.append(x)
+        total += n
+    if held:
+        yield held
+
+
+def _chunk(parts: list[bytes], between: bytes = b"") -> pa.RecordBatch:
+    """One row of text."""
+    return pa.record_batch([pa.array([between.join(parts)], pa.binary()).cast(pa.string())], ["value"])
+
+
+def _table(rows: Iterable[tuple], names: list[str], types: list[pa.DataType], most: int = 5000) -> Iterator[pa.RecordBatch]:
+    """Small rows in batches."""
+    held: list[tuple] = []
+    for x in rows:
+        held.append(x)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
     """ARC files of (page_id, url, html); the id is in the block's HTTP head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, first = f"part-v{version}.arc", True
-        for batch in batches:
-            out = []
-            for key, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                body = (html or "").encode()
-                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Row-Id: {'' if key is None else key}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
-                record = arc_record(version, url or "-", "20240101000000", block, name)
-                out.append((version_block(version, name) + b"\n" if first else b"") + record)
-                first = False
-            if out:
-                yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+        name = f"part-v{version}.arc"
+
+        def records() -> Iterator[bytes]:
+            for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+                for key, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    body = (html or "").encode()
+                    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Row-Id: {'' if key is None else key}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+                    yield arc_record(version, url or "-", "20240101000000", block, name)
+
+        for n, parts in enumerate(_runs(records(), len, CHUNK)):
+            # the writer opens a new file after every FILE_CHUNKS rows
+            yield _chunk(([version_block(version, name)] if n % FILE_CHUNKS == 0 else []) + parts, b"\n")
 
     _write(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "value string"), path)
 
@@ -189,14 +232,13 @@ def arc_payloads(spark_df: DataFrame, path: str, min_bytes: int) -> DataFrame:
     """row_id, url, digest and bytes of each record of the ARC files at ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                rows = []
-                for arc in read_arc(_inflate(raw.as_py())):
+        def rows() -> Iterator[tuple]:
+            for archive in _opened(batches):
+                for arc in read_arc(archive):
                     fields, _, body = http_parts(arc["block"])
-                    rows.append((int(fields["x-row-id"]) if fields.get("x-row-id") else None, arc["URL"], base32_sha1(body), len(body)))
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["row_id", "url", "digest", "bytes"])
+                    yield int(fields["x-row-id"]) if fields.get("x-row-id") else None, arc["URL"], base32_sha1(body), len(body)
+
+        yield from _table(rows(), ["row_id", "url", "digest", "bytes"], [pa.int64(), pa.string(), pa.string(), pa.int64()])
 
     return _files(spark_df, path).mapInArrow(run, "row_id long, url string, digest string, bytes long").where(F.col("bytes") >= min_bytes)
 
@@ -217,11 +259,9 @@ def convert(pages: DataFrame, arc: str, warc: str, min_bytes: int = 0) -> None:
         held = spark.sparkContext.broadcast({(r["key"], r["digest"]): (r["to_key"], r["to_url"]) for r in revisits.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for raw in batch.column(0):
-                    out = [warc_record(x, held.value.get(row_key(x["block"]))) for x in read_arc(_inflate(raw.as_py()))]
-                    for a in range(0, len(out), 200):
-                        yield pa.record_batch([pa.array(out[a : a + 200], pa.binary()).cast(pa.string())], ["value"])
+            for archive in _opened(batches):
+                for parts in _runs((warc_record(x, held.value.get(row_key(x["block"]))) for x in read_arc(archive)), len, CHUNK):
+                    yield _chunk(parts)
 
         _write(_files(pages, arc).mapInArrow(run, "value string"), warc)
         return
@@ -229,19 +269,14 @@ def convert(pages: DataFrame, arc: str, warc: str, min_bytes: int = 0) -> None:
     fields = ("URL", "IP-address", "Archive-date", "block")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                rows = [(*row_key(x["block"]), *(x[f] for f in fields)) for x in read_arc(_inflate(raw.as_py()))]
-                for a in range(0, len(rows), 200):
-                    cols = zip(*rows[a : a + 200], strict=True)
-                    yield pa.record_batch([pa.array(c, pa.binary() if i == 5 else pa.string()) for i, c in enumerate(cols)], ["key", "digest", "url", "ip", "date", "block"])
+        for archive in _opened(batches):
+            for rows in _runs(((*row_key(x["block"]), *(x[f] for f in fields)) for x in read_arc(archive)), lambda r: len(r[5]) + 200, CHUNK):
+                yield pa.record_batch([pa.array(c, pa.binary() if i == 5 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], ["key", "digest", "url", "ip", "date", "block"])
 
     def join_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                rows = batch.slice(a, 200).to_pylist()
-                out = [warc_record(dict(zip(fields, (r["url"], r["ip"], r["date"], r["block"]), strict=True)), None if r["to_key"] is None else (r["to_key"], r["to_url"])) for r in rows]
-                yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+        rows = (r for batch in batches for a in range(0, batch.num_rows, 200) for r in batch.slice(a, 200).to_pylist())
+        for parts in _runs((warc_record(dict(zip(fields, (r["url"], r["ip"], r["date"], r["block"]), strict=True)), None if r["to_key"] is None else (r["to_key"], r["to_url"])) for r in rows), len, CHUNK):
+            yield _chunk(parts)
 
     rows = _files(pages, arc).mapInArrow(split, "key string, digest string, url string, ip string, date string, block binary")
     joined = rows.join(revisits, ["key", "digest"], "left").select("url", "ip", "date", "block", "to_key", "to_url")
@@ -263,19 +298,18 @@ def read_back(pages: DataFrame, warc: str) -> DataFrame:
     """row_id, payload_bytes, payload_digest, record_type, refers_to of the WARC files at ``warc``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                rows = []
-                for fields, block in read_warc(_inflate(raw.as_py())):
+        def rows() -> Iterator[tuple]:
+            for archive in _opened(batches):
+                for fields, block in read_warc(archive):
                     head, _, body = http_parts(block)
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     response = fields["warc-type"] == "response"
                     if response and base32_sha1(body) != digest:
                         raise ValueError(f"payload digest of {fields['warc-record-id']} does not fit")
                     to = fields.get("x-refers-to-row-id")
-                    rows.append((int(fields["x-row-id"]) if fields.get("x-row-id") else None, len(body) if response else int(head["content-length"]), digest, fields["warc-type"], int(to) if to else None))
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["row_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    yield int(fields["x-row-id"]) if fields.get("x-row-id") else None, len(body) if response else int(head["content-length"]), digest, fields["warc-type"], int(to) if to else None
+
+        yield from _table(rows(), ["row_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()])
 
     return _files(pages, warc).mapInArrow(run, "row_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 

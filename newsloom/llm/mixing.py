@@ -31,7 +31,7 @@ from newsloom.llm.scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Rows rounded in one bucket, and residuals combined at once, on average.
-BUCKET_ROWS, FAN = 20_000, 1000
+BUCKET_ROWS, FAN = 2_000, 1000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:

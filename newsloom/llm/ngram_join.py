@@ -477,7 +477,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
             yield from cells_of(rest, True)
         yield flush()
 
-    dealt = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "sid")
+    # pairs cost far more than their bytes show: a stated number of partitions is not coalesced
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartition(tasks, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "sid")
     second = compared(scratch, docs, sets, dealt.mapInArrow(crossed, "hub long, other long").distinct(), k, num, den, "second")
     comps = components(scratch, first.unionByName(second), "components")
 

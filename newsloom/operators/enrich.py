@@ -31,11 +31,13 @@ def candidates(events: DataFrame, items: DataFrame) -> DataFrame:
         if f not in items.columns:
             items = items.withColumn(f, F.lit(None).cast("int" if f == "item_index" else "string"))
     one = F.struct("item_index", F.struct(*[tx.text_or_empty(F.col(f)).alias(f) if f in ("platform", "title") else F.col(f).alias("source_news_id" if f == "item_index" else f) for f in fields]).alias("s"))
-    grouped = items.where(F.col("event_id") != "").groupBy("report_date", "event_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).cast(SOURCE).alias("source_items"))
+    # scoring costs far more than an event's bytes show: both sides are dealt out in a stated number of tasks, which is not coalesced
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = items.where(F.col("event_id") != "").repartition(tasks, "report_date", "event_id").groupBy("report_date", "event_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).cast(SOURCE).alias("source_items"))
     rows = events.where(~F.coalesce("is_duplicate", F.lit(False))) if "is_duplicate" in events.columns else events
     number = F.col("ordinal").cast("string")
     rows = rows.withColumn("event_id", F.coalesce(F.nullif("event_id", F.lit("")), F.concat(F.lit("event_"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))))
-    out = rows.join(grouped, ["report_date", "event_id"], "left").withColumn("source_items", F.coalesce("source_items", F.array().cast(SOURCE)))
+    out = rows.repartition(tasks, "report_date", "event_id").join(grouped, ["report_date", "event_id"], "left").withColumn("source_items", F.coalesce("source_items", F.array().cast(SOURCE)))
     items_of, conf = F.col("source_items"), tx.report_confidence(F.col("confidence"))
     titles = F.filter(F.transform(F.slice(items_of, 1, 5), lambda s: s["title"]), lambda t: t != "")
     names = F.array_sort(F.array_distinct(F.filter(F.transform(items_of, lambda s: s["platform"]), lambda p: p != "")))

@@ -19,7 +19,8 @@ Steps, all over the whole corpus:
    the bulk of a group of near copies in linear work.
 5. Second round: of groups that still hold several components, compare all
    pairs of members from different components, in cells of bounded size.
-   Pairs inside a component cannot change a component and are left out.
+   Pairs inside a component cannot change a component and are left out, and of
+   a group of many cells the largest component is not crossed with itself.
 6. Components by repeated minimum labels with pointer jumping.
 
 Rounds 1 and 2 together see every link between different components, so the
@@ -423,9 +424,18 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
 
     named = shared.select("token", "sid", "n", "pos").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = scratch.save(named, "named")
-    mixed = named.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("cells")).where("least < most").select("token", "cells")
-    open_rows = named.join(mixed, "token").withColumn("side", F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int"))
-    cells = open_rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    mixed = named.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("rows")).where("least < most").select("token", "rows")
+    mixed = scratch.save(mixed, "mixed")
+    # of a group of many cells the largest component is not crossed with itself: its rows meet the others' only
+    hot = named.join(mixed.where(F.col("rows") > GROUP_ROWS).select("token"), "token").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("of_top"))
+    sized = mixed.join(hot, "token", "left").withColumn("of_top", F.coalesce("of_top", F.lit(0)))
+    sized = sized.select("token", "top", F.ceil((F.col("rows") - F.col("of_top")) / GROUP_ROWS).cast("int").alias("cells"), F.ceil(F.col("of_top") / GROUP_ROWS).cast("int").alias("top_cells"))
+    inside = F.coalesce(F.col("comp") == F.col("top"), F.lit(False))
+    deal = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    open_rows = named.join(sized, "token").withColumn("side", F.when(inside, F.col("cells") + deal("top_cells")).otherwise(deal("cells")))
+    last = F.when(inside, F.col("cells")).otherwise(F.col("cells") + F.col("top_cells")) - 1
+    cells = open_rows.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
     cells = cells.select("token", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "sid", "n", "pos", "comp")
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -272,17 +272,26 @@ def _shrunk(importance: Column, pages: Column, unsure: Column) -> Column:
 
 
 def importance(found: DataFrame) -> DataFrame:
-    """host, path, block (null: the node itself), importance in 0..1 and its shrunk value, from the merged counts."""
-    pages = found.where(F.col("kind") == HAS).select("host", "path", F.col("pages").alias("m"), F.col("unsure").alias("named"))
-    each = found.where((F.col("kind") != HAS) & ((F.col("kind") != BLOCK) | (F.col("pages") > 1))).join(pages, ["host", "path"])
-    base = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
-    alone = 1 - F.log(F.col("pages").cast("double")) / base
-    share = F.least(F.col("pages") / F.col("m"), F.lit(1.0))
-    of_node = each.where(F.col("kind") != BLOCK).groupBy("host", "path").agg(
-        F.max("m").alias("m"), F.bool_or("named").alias("named"), F.avg(F.when(F.col("kind") == CONTENT, alone)).alias("content"), F.sum(F.when(F.col("kind") == LOOK, -share * F.log(share) / base).otherwise(0.0)).alias("look")
-    )
-    of_node = of_node.select("host", "path", F.lit(None).cast("long").alias("block"), "m", "named", (GAMMA * F.coalesce("content", F.lit(1.0)) + (1 - GAMMA) * F.least("look", F.lit(1.0))).alias("importance"))
-    of_block = each.where(F.col("kind") == BLOCK).select("host", "path", F.col("feature").alias("block"), "m", F.lit(False).alias("named"), alone.alias("importance"))
+    """host, path, block (null: the node itself), importance in 0..1 and its shrunk value, from the merged counts.
+
+    A node's figures are sums over its rows, so they combine before the
+    shuffle whatever the node's size.  Blocks on so few pages that no number of
+    pages of their path could put them below ``BLOCK_THRESHOLD`` are left out.
+    """
+    kind, n = F.col("kind"), F.col("pages").cast("double")
+    of_kind = lambda k, x: F.sum(F.when(kind == k, x).otherwise(0.0))
+    nodes = found.groupBy("host", "path").agg(
+        F.max(F.when(kind == HAS, F.col("pages"))).alias("m"), F.bool_or(F.when(kind == HAS, F.col("unsure"))).alias("named"),
+        of_kind(CONTENT, F.lit(1.0)).alias("contents"), of_kind(CONTENT, F.log(n)).alias("content_logs"), of_kind(LOOK, n).alias("looks"), of_kind(LOOK, n * F.log(n)).alias("look_logs"),
+    )
+    m = F.col("m").cast("double")
+    base = F.log(F.greatest(m, F.lit(2.0)))
+    content = F.when(F.col("contents") > 0, 1 - F.col("content_logs") / (F.col("contents") * base)).otherwise(1.0)
+    look = F.least((F.col("looks") * F.log(m) - F.col("look_logs")) / (m * base), F.lit(1.0))
+    of_node = nodes.select("host", "path", F.lit(None).cast("long").alias("block"), "m", "named", (GAMMA * content + (1 - GAMMA) * look).alias("importance"))
+    least = PLAIN * PRIOR_PAGES / BLOCK_THRESHOLD - PRIOR_PAGES
+    blocks = found.where((kind == BLOCK) & (F.col("pages") > least)).join(nodes.select("host", "path", "m"), ["host", "path"])
+    of_block = blocks.select("host", "path", F.col("feature").alias("block"), "m", F.lit(False).alias("named"), (1 - F.log(n) / base).alias("importance"))
     return of_node.unionByName(of_block).select("host", "path", "block", "importance", _shrunk(F.col("importance"), F.col("m"), F.col("named")).alias("shrunk"))
 
 
@@ -314,7 +323,9 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     scratch = Scratch(spark, "style-tree")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64(F.coalesce(host(F.col("url")), F.lit(""))).alias("host"), "html")
     least = F.when(F.col("block").isNull(), threshold).otherwise(BLOCK_THRESHOLD)
-    known = scratch.save(importance(features(pages)).where(F.col("shrunk") < least).select("host", "path", "block"), "low")
+    found = scratch.save(features(pages), "features")
+    known = scratch.save(importance(found).where(F.col("shrunk") < least).select("host", "path", "block"), "low")
+    scratch.drop(found)
     schema = "page_id long, url string, text string"
 
     def sets(rows) -> tuple[set[int], set[tuple[int, int]]]:

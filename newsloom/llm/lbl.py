@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.scratch import Scratch
+from newsloom.llm.scratch import Scratch, added_up
 
 #: Words with vectors of their own, buckets for the rest, words whose counts are broadcast.
 UNIT_WORDS, BUCKETS, REMEMBERED = 20_000, 512, 200_000
@@ -199,10 +199,10 @@ def summed(encoded: DataFrame, size: int, keys: Callable[[np.ndarray, np.ndarray
                 unpack(total, at, n)
         yield pack(total)
 
-    fan = max(2, int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    parts = encoded.where("ids is not null and not held_out").select("ids").mapInArrow(count, "at binary, n binary").repartition(fan).mapInArrow(join, "at binary, n binary")
+    schema = "at binary, n binary"
+    parts = encoded.where("ids is not null and not held_out").select("ids").mapInArrow(count, schema)
     total = np.zeros(size, np.int64)
-    for row in parts.repartition(1).mapInArrow(join, "at binary, n binary").collect():
+    for row in added_up(parts, join, schema).collect():
         unpack(total, bytes(row[0]), bytes(row[1]))
     return total
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.scratch import Scratch
+from newsloom.llm.scratch import Scratch, added_up
 from newsloom.llm.words import mix, slices, text_shingles
 
 SKETCH_BITS = 20
@@ -90,11 +90,7 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
                 total += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
         yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
 
-    parts = docs.select("text").mapInArrow(count, "counts binary")
-    fan = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    parts = parts.repartition(fan).mapInArrow(_sum_counts, "counts binary")
-    parts = parts.repartition(1).mapInArrow(_sum_counts, "counts binary")
-    found = parts.collect()
+    found = added_up(docs.select("text").mapInArrow(count, "counts binary"), _sum_counts, "counts binary").collect()
     return np.frombuffer(zlib.decompress(bytes(found[0][0])), np.int64) if found else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
@@ -331,7 +327,7 @@ def compared(scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFram
                 on |= np.frombuffer(zlib.decompress(raw), np.uint8)
         yield pa.record_batch([pa.array([zlib.compress(on.tobytes(), 1)], pa.binary())], ["bits"])
 
-    found = needed.select("rep").mapInArrow(mark, "bits binary").repartition(1).mapInArrow(merge, "bits binary").collect()
+    found = added_up(needed.select("rep").mapInArrow(mark, "bits binary"), merge, "bits binary").collect()
     bloom = spark.sparkContext.broadcast(np.frombuffer(zlib.decompress(bytes(found[0][0])), np.uint8) if found else np.zeros(bits // 8, np.uint8))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

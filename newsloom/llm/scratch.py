@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 #: Bytes of one Arrow batch on its way to Python, if the session has Spark's own value: texts may be long.
 BATCH_BYTES = 8 << 20
+#: Partial results that one task adds up, on average.
+FAN_IN = 16
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -40,6 +42,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def added_up(parts: DataFrame, add, schema: str) -> DataFrame:
+    """One row from partial results, by ``add`` over record batches, in a tree: ``FAN_IN`` of them at a time, about."""
+    left = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4
+    while left > 1:
+        parts = parts.repartition(left).mapInArrow(add, schema)
+        left //= FAN_IN
+    return parts.repartition(1).mapInArrow(add, schema)
+
+
 class Scratch:
     """Named tables of one operator run inside the shared folder."""
 

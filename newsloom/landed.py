@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, rules
 from newsloom.functions import text as tx
-from newsloom.operators import responses, runlog, vectors
+from newsloom.operators import responses, runlog, sections, vectors
 from newsloom.sources import feeds, sinks, workdir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -544,3 +544,35 @@ def greedy_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EM01, EM02: greedy groups of 40 over the whole run of each label."""
     rows = _table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("run_id"), F.col("vec_id").alias("ordinal"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
     return vectors.greedy_groups(rows, 40)
+
+
+# ---------------------------------------------------------------- small set operations
+
+
+@_query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST07: the first event of each user."""
+    return sections.first_of_id(_table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@_query("SELECT source, doc_id FROM documents ORDER BY source, doc_id OFFSET 25 LIMIT 50")
+def page_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SO04: a page of the ordered documents."""
+    return feeds.page_of(_table(spark, sf_dir, "documents").select("source", "doc_id"), [F.col("source"), F.col("doc_id")], 25, 50)
+
+
+@_query("SELECT lang AS report_date, CAST(doc_id AS VARCHAR) AS event_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0")
+def passed_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST05: eligible rows that no section took."""
+    n = F.col("doc_id")
+    rows = _table(spark, sf_dir, "documents").select(F.col("lang").alias("report_date"), n.cast("string").alias("event_id"), (n % 3 == 0).alias("may_insight"), (n % 5 == 0).alias("should_include_report"))
+    return sections.passed_over(rows, "insight").select("report_date", "event_id")
+
+
+@_query("""
+WITH e AS (SELECT DISTINCT CAST(ts AS DATE) AS day, split_part(event_type, 'i', 1) || '/' || user_id AS path FROM events), k AS (SELECT 'https://h.org/' || path AS url_key, min(day) AS day FROM e GROUP BY 1) SELECT url_key, CAST(day AS VARCHAR) AS day FROM k
+""")
+def first_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UR02, WN08: the first day of each canonical URL."""
+    rows = _table(spark, sf_dir, "events").select(F.concat(F.lit("https://H.org/"), F.substring_index("event_type", "i", 1), F.lit("/"), F.col("user_id").cast("string"), F.lit("/?q="), F.col("event_id").cast("string")).alias("url"), F.to_date("ts").alias("day"))
+    return rows.groupBy(tx.url_key(F.col("url")).alias("url_key")).agg(F.min("day").cast("string").alias("day"))

@@ -114,15 +114,25 @@ def merge_edges(merges: DataFrame) -> DataFrame:
 def accepted_edges(edges: DataFrame, events: DataFrame) -> DataFrame:
     """AG04: edges that stand in order: neither end absorbed before, both ids known.
 
-    Order matters only inside a connected component of the proposed edges, so
-    components are dealt out and each is replayed by one small function.  A
+    Most edges touch no other and stand.  Among the rest order matters only
+    inside a connected component, so components are dealt out and each is
+    replayed by one small function.  A
     source named twice in one group counts twice and folds once.
     """
     ids = events.select("run_id", F.col("event_id").alias("id"))
     known = edges.join(ids.withColumnRenamed("id", "target"), ["run_id", "target"], "left_semi").join(ids.withColumnRenamed("id", "source"), ["run_id", "source"], "left_semi")
-    comps = components(known.select("run_id", F.col("target").alias("a"), F.col("source").alias("b")))
-    rows = known.join(comps.toDF("run_id", "target", "component"), ["run_id", "target"])
+    # an edge stands by itself if its source is named once and is no target, and its target is no source
     columns = ["run_id", "batch_index", "group_pos", "pos", "target", "source", "label", "summary"]
+    sources = known.groupBy("run_id", "source").agg(F.count(F.lit(1)).alias("named"))
+    targets = known.select("run_id", F.col("target").alias("source"), F.lit(True).alias("also_target")).distinct()
+    moving = sources.select("run_id", F.col("source").alias("target"), F.lit(True).alias("also_source"))
+    marked = known.join(sources, ["run_id", "source"]).join(targets, ["run_id", "source"], "left").join(moving, ["run_id", "target"], "left")
+    marked = written(marked.select(*columns, ((F.col("named") > 1) | F.col("also_target").isNotNull() | F.col("also_source").isNotNull()).alias("contested")), "marked")
+    plain, contested = marked.where("not contested").select(*columns), marked.where("contested").select(*columns)
+    if contested.isEmpty():
+        return plain
+    comps = components(contested.select("run_id", F.col("target").alias("a"), F.col("source").alias("b")))
+    rows = contested.join(comps.toDF("run_id", "target", "component"), ["run_id", "target"])
 
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
         gone: set[str] = set()
@@ -137,7 +147,7 @@ def accepted_edges(edges: DataFrame, events: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=columns)
 
     schema = ", ".join(f"{c} {known.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.select(*columns, "component").groupBy("run_id", "component").applyInPandas(replay, schema)
+    return plain.unionByName(rows.select(*columns, "component").groupBy("run_id", "component").applyInPandas(replay, schema))
 
 
 def components(edges: DataFrame) -> DataFrame:

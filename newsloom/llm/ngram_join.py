@@ -48,8 +48,8 @@ from newsloom.llm.words import mix, slices, text_shingles
 SKETCH_BITS = 20
 #: Rows of one token group or side of a cell, and sets of one block, at most on average.
 GROUP_ROWS, BLOCK_SETS = 2000, 128
-#: Pairs that a task holds before it passes them on.
-PAIRS_HELD = 200_000
+#: Distinct pairs that a task holds before it passes them on (16 bytes each, twice that until they are made distinct).
+PAIRS_HELD = 500_000
 #: Largest Bloom filter for the documents whose sets a round needs, in bits.
 BLOOM_BITS = 1 << 26
 _ROUND = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, 1 << 12, dtype=np.uint64)
@@ -439,9 +439,19 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
         held: list[np.ndarray] = []
         size = 0
 
+        def once() -> np.ndarray:
+            """The pairs held, each once: a pair meets under every token that its sets share."""
+            nonlocal size
+            pair = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
+            pair = pair[:, np.lexsort(pair)]
+            pair = pair[:, np.r_[True, (np.diff(pair, axis=1) != 0).any(axis=0)][: pair.shape[1]]]
+            held[:] = [pair]
+            size = pair.shape[1]
+            return pair
+
         def flush() -> pa.RecordBatch:
             nonlocal size
-            pair = np.unique(np.concatenate(held, axis=1), axis=1) if held else np.zeros((2, 0), np.int64)
+            pair = once()
             held.clear()
             size = 0
             return pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], ["hub", "other"])
@@ -460,7 +470,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
                 if len(o):
                     held.append(np.stack([np.minimum(o, sid[r]), np.maximum(o, sid[r])]))
                     size += len(o)
-                    if size > PAIRS_HELD:
+                    if size > 2 * PAIRS_HELD and once().shape[1] > PAIRS_HELD:
                         yield flush()
 
         rest: pa.Table | None = None
@@ -483,9 +493,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
             yield from cells_of(rest, True)
         yield flush()
 
-    # pairs cost far more than their bytes show: a stated number of partitions is not coalesced
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.repartition(tasks, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "sid")
+    dealt = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "sid")
     second = compared(scratch, docs, sets, dealt.mapInArrow(crossed, "hub long, other long").distinct(), k, num, den, "second")
     comps = components(scratch, first.unionByName(second), "components")
 

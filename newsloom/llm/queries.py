@@ -236,6 +236,40 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN
 """
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of five filters for every source, order and step."""
+    from newsloom.llm.filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
+), f AS (
+  SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(first < doc_id, false)] AS fails FROM w
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, step, strpos('ABCDE', filter_order[step]) AS i, list_transform(list_filter(string_split(left(filter_order, step - 1), ''), lambda y: y <> ''), lambda y: strpos('ABCDE', y)) AS earlier FROM o, generate_series(1, 5) AS g(step)
+), r AS (
+  SELECT part, filter_order, step, i, sum(CASE WHEN NOT gone AND NOT own THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND own THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND own THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN own AND len(list_filter(fails, lambda b: b)) = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN NOT gone AND own THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND own THEN bad ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, fails[i] AS own, len(list_filter(earlier, lambda k: fails[k])) > 0 AS gone FROM c, s) GROUP BY part, filter_order, step, i
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_top_k": op1_exact_top_k,
@@ -248,6 +282,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_rules": op8_line_rules,
         "op9_secret_scan": op9_secret_scan,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
@@ -259,4 +294,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_rules": OP8_SQL,
         "op9_secret_scan": _op9_sql(),
         "op10_ngram_jaccard_join": OP10_SQL,
+        "op12_filter_audit": OP12_SQL,
     }

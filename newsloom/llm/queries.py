@@ -236,6 +236,40 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN
 """
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language."""
+    from newsloom.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM p, generate_series(1, 3) AS s(k)) GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 10
+), s AS (
+  SELECT lang, c.phrase, a, cut, l.f AS l, r.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c) c JOIN g l USING (lang) JOIN g r USING (lang)
+  WHERE l.phrase = array_to_string(ws[1:cut], ' ') AND r.phrase = array_to_string(ws[cut + 1:], ' ')
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM s
+), x AS (
+  SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL
+), o AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank FROM w LEFT JOIN x ON x.lang = w.lang AND x.phrase = w.phrase WHERE i = 1 AND 100 * coalesce(longest, 0) < 50 * a
+)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of five filters for every source, order and step."""
     from newsloom.llm.filter_audit import audit
@@ -282,6 +316,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_rules": op8_line_rules,
         "op9_secret_scan": op9_secret_scan,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_phrases": op11_phrases,
         "op12_filter_audit": op12_filter_audit,
     }
 
@@ -294,5 +329,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_rules": OP8_SQL,
         "op9_secret_scan": _op9_sql(),
         "op10_ngram_jaccard_join": OP10_SQL,
+        "op11_phrases": OP11_SQL,
         "op12_filter_audit": OP12_SQL,
     }

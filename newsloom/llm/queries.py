@@ -304,6 +304,13 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 """
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from newsloom.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_top_k": op1_exact_top_k,
@@ -318,6 +325,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "op11_phrases": op11_phrases,
         "op12_filter_audit": op12_filter_audit,
+        "op13_toxicity": op13_toxicity,
     }
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates, rules
 from newsloom.functions import text as tx
-from newsloom.operators import responses, runlog, sections, vectors
+from newsloom.operators import greedy, responses, runlog, sections, vectors
 from newsloom.sources import feeds, sinks, workdir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -528,7 +528,7 @@ def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.coalesce("pos", F.lit(-1)).alias("pos"), F.regexp_replace(none("url"), r"\?a=1$", "").alias("url"), none("title").alias("title"), none("published").alias("published"), "status")
 
 
-@_query("""
+_GREEDY = """
 WITH RECURSIVE v AS (SELECT CAST(label AS VARCHAR) AS run_id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 g AS (
   SELECT run_id, list(vec_id ORDER BY vec_id) AS pending, -1 AS idx, CAST([] AS BIGINT[]) AS members FROM v GROUP BY run_id
@@ -539,11 +539,23 @@ g AS (
   )
 )
 SELECT run_id, CAST(unnest(members) AS VARCHAR) AS key, idx AS group_index, CAST(unnest(generate_series(0, len(members) - 1)) AS INT) AS position FROM g WHERE idx >= 0
-""")
+"""
+
+
+def _label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("run_id"), F.col("vec_id").alias("ordinal"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+
+
+@_query(_GREEDY)
 def greedy_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EM01, EM02: greedy groups of 40 over the whole run of each label."""
-    rows = _table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("run_id"), F.col("vec_id").alias("ordinal"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
-    return vectors.greedy_groups(rows, 40)
+    return greedy.greedy_groups(_label_vectors(spark, sf_dir), 40)
+
+
+@_query(_GREEDY)
+def greedy_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM01, EM02: the same groups by speculative rounds over blocks, as runs too large for a task take them."""
+    return greedy.greedy_groups(_label_vectors(spark, sf_dir), 40, run_rows=0)
 
 
 # ---------------------------------------------------------------- small set operations

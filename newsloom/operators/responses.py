@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as tx
-from newsloom.operators import fold, vectors
+from newsloom.operators import fold, greedy, vectors
+from newsloom.operators.running import running_counts
 from newsloom.sources.workdir import written
 
 # What a request tells of an item and of an event, in order.
@@ -65,9 +66,8 @@ def apply_membership(items: DataFrame, events: DataFrame, decisions: DataFrame)
     event fields as text.  An assign to an event that is not there becomes a
     create; anything else but a create is a discard.  Created events are
     numbered on from the run's events, so whether an assign finds a created
-    event depends only on how many were created before it: certain creates are
-    counted by a window, and only assigns that could name a created event are
-    folded one after the other, as two numbers each.
+    event depends only on how many were created before it, a running count
+    over stretches of the run (``running_counts``).
     """
     count = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("n0"))
     action = F.lower(F.coalesce(tx.clean(F.col("decision")), F.lit("discard")))
@@ -79,23 +79,11 @@ def apply_membership(items: DataFrame, events: DataFrame, decisions: DataFrame)
     number = F.when(number > F.col("n0"), number)
     rows = rows.withColumn("number", F.when((F.col("action") == "assign") & ~F.col("known"), number))
     sure = (F.col("action") == "create") | ((F.col("action") == "assign") & ~F.col("known") & F.col("number").isNull())
-    before = F.count_if(F.col("sure")).over(Window.partitionBy("run_id").orderBy("item_index").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("sure", sure).withColumn("before", before)
-    # of assigns that name a number: how many creates came before, and whether it is one more
-    one = F.struct("item_index", (F.col("number") - F.col("n0") - F.col("before")).alias("lacks"))
-    open_ = rows.where("number is not null").groupBy("run_id").agg(F.array_sort(F.collect_list(one)).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("more"), F.array().cast("array<struct<item_index:bigint,new:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["lacks"] > acc["more"]
-        return F.struct((acc["more"] + new.cast("long")).alias("more"), F.array_append(acc["out"], F.struct(x["item_index"].cast("long").alias("item_index"), new.alias("new"))).alias("out"))
-
-    decided = open_.select("run_id", F.explode(F.aggregate("xs", start, step, lambda acc: acc["out"])).alias("o")).select("run_id", "o.item_index", F.col("o.new").alias("named_new"))
-    rows = rows.join(decided, ["run_id", "item_index"], "left")
-    creates = F.col("sure") | F.coalesce("named_new", F.lit(False))
-    rows = rows.withColumn("creates", creates)
-    nth = F.count_if(F.col("creates")).over(Window.partitionBy("run_id").orderBy("item_index"))
-    rows = rows.withColumn("ordinal", F.when(F.col("creates"), F.col("n0") + nth).cast("int"))
+    rows = written(rows.withColumn("sure", sure), "membership")
+    # an assign that names a number creates while fewer than that many events are there
+    counted = running_counts(rows.select("run_id", "item_index", "sure", (F.col("number") - F.col("n0")).alias("bound")))
+    rows = rows.join(counted.withColumnRenamed("counts", "creates"), ["run_id", "item_index"])
+    rows = rows.withColumn("ordinal", F.when(F.col("creates"), F.col("n0") + F.col("before") + 1).cast("int"))
     made = F.when(F.col("creates"), tx.event_id(F.col("scrape_date"), F.col("ordinal"))).when(F.col("action") == "assign", F.col("target"))
     reason = tx.clean(F.col("reason"))
     out = rows.withColumns({"event_id": made, "classification_decision": F.when(made.isNull(), "discard").otherwise("assign"), "classification_reason": reason, "confidence": tx.classify_confidence(F.col("confidence"))})
@@ -164,7 +152,7 @@ def merge_layer(events: DataFrame, answer: Callable[[DataFrame], DataFrame], siz
     responses (run_id, batch_index, merge_groups) to requests (run_id,
     group_index, request, size), as landed by whoever calls the model.
     """
-    groups = written(vectors.greedy_groups(events.select(*(by or ["run_id"]), "ordinal", F.col("event_id").alias("key"), "vector"), size, by), "merge-groups")
+    groups = written(greedy.greedy_groups(events.select(*(by or ["run_id"]), "ordinal", F.col("event_id").alias("key"), "vector"), size, by), "merge-groups")
     asked = vectors.batches(events.withColumn("key", F.col("event_id")), groups, EVENT_FIELDS, by)
     merged, _ = fold.apply_merges(events.drop("vector"), answer(asked))
     return asked, merged

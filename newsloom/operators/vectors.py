@@ -1,4 +1,4 @@
-"""Similarity recall, greedy groups and caches: JN02-JN04, JN07, SO02, EM01-EM03, SNK06, SNK07, UD02."""
+"""Similarity recall, requests and caches: JN02-JN04, JN07, SO02, EM03, SNK06, SNK07, UD02."""
 
 from __future__ import annotations
 
@@ -112,45 +112,6 @@ def without_pairs(found: DataFrame, skip: DataFrame) -> DataFrame:
     return found.join(skip, ["query_id", "event_id"], "left_anti")
 
 
-def greedy_order(vectors: np.ndarray, size: int) -> list[list[int]]:
-    """EM01: the first pending row and its size - 1 nearest, ties in order, again and again."""
-    norm = np.sqrt((vectors * vectors).sum(axis=1)) if vectors.size else np.zeros(len(vectors))
-    unit = np.divide(vectors, norm[:, None], out=np.zeros_like(vectors), where=norm[:, None] > 0)
-    left = np.arange(len(vectors))
-    groups = []
-    while len(left):
-        rest = left[1:]
-        near = rest[np.argsort(-np.round(unit[rest] @ unit[left[0]], 12), kind="stable")[: size - 1]]
-        groups.append([int(left[0]), *near.tolist()])
-        left = np.setdiff1d(rest, near, assume_unique=True)
-    return groups
-
-
-def greedy_groups(rows: DataFrame, size: int = 40, by: list[str] | None = None) -> DataFrame:
-    """EM01/EM02: (keys, key, group_index, position) of the greedy groups of each run.
-
-    ``rows``: the ``by`` columns (default run_id), ordinal, key, vector.  One
-    run is one task's work, as the order is sequential; to group more than a
-    run of some ten thousand rows, add a coarse bucket (``coarse_bucket``) to
-    ``by``, which changes the result to groups within buckets.
-    """
-    by = by or ["run_id"]
-    schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in by] + ["key string", "group_index int", "position int"])
-    size = max(1, size)
-
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ordinal", kind="stable").reset_index(drop=True)
-        width = max(map(len, frame["vector"]), default=0)
-        vectors = np.array([np.asarray(v, float) if len(v) == width else np.zeros(width) for v in frame["vector"]]).reshape(len(frame), width)
-        out = [(i, g, p) for g, members in enumerate(greedy_order(vectors, size)) for p, i in enumerate(members)]
-        at = [i for i, *_ in out]
-        made = frame.loc[at, [*by, "key"]].reset_index(drop=True)
-        made["group_index"], made["position"] = [g for _, g, _ in out], [p for *_, p in out]
-        return made
-
-    return rows.select(*by, "ordinal", F.col("key").cast("string").alias("key"), "vector").groupBy(*by).applyInPandas(group, schema)
-
-
 def coarse_bucket(vector: Column, bits: int = 8, dimensions: int = 64, seed: int = 7) -> Column:
     """Sign bits against fixed random directions: near vectors mostly share the bucket."""
     planes = np.random.default_rng(seed).normal(size=(bits, dimensions)).round(4)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom import landed, oracle
 from newsloom.functions import dates
 from newsloom.functions import text as tx
-from newsloom.operators import enrich, evidence, fold, runlog, sections, vectors
+from newsloom.operators import enrich, evidence, fold, greedy, runlog, sections, vectors
 from newsloom.plans import news_view, report
 from newsloom.sources import feeds, workdir
 from newsloom.streaming import jobs
@@ -113,7 +113,7 @@ def similarity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EM01, EM02: greedy groups of 40 within label and coarse bucket."""
     rows = _table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("run_id"), vectors.coarse_bucket(F.col("embedding"), 4).alias("bucket"), F.col("vec_id").alias("ordinal"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
-    return vectors.greedy_groups(rows, 40, ["run_id", "bucket"])
+    return greedy.greedy_groups(rows, 40, ["run_id", "bucket"])
 
 
 def entity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import rules
-from newsloom.operators import documents, enrich, evidence, fold, runlog, sections, vectors
+from newsloom.operators import documents, enrich, evidence, fold, greedy, runlog, sections, vectors
 from newsloom.sources import feeds, sinks
 
 EVENT = "report_date date, ordinal int, event_id string, event_label string, event_summary string, event_type string, key_entities array<string>, member_count int, platforms array<string>, latest_pubtime string, representative_titles array<string>, confidence string, source_news_ids array<int>"
@@ -125,7 +125,7 @@ def test_greedy_groups_equal_plain_replay(spark):
     v = r.normal(size=(57, 8))
     df = spark.createDataFrame([("r", i, str(i), v[i].tolist()) for i in range(57)], "run_id string, ordinal int, key string, vector array<double>")
     got = {}
-    for x in vectors.greedy_groups(df, 10).orderBy("group_index", "position").collect():
+    for x in greedy.greedy_groups(df, 10).orderBy("group_index", "position").collect():
         got.setdefault(x.group_index, []).append(int(x.key))
     pending, want = list(range(57)), []
     while pending:

@@ -1,11 +1,7 @@
-"""Streaming jobs: STR01-STR06.  Each takes and returns a streaming (or static) DataFrame."""
+"""Streaming jobs: STR01-STR03, STR05, STR06.  Each takes and returns a streaming (or static) DataFrame."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,65 +37,24 @@ def folded_progress(progress: DataFrame, task_columns: list[str]) -> DataFrame:
     return progress.select(*[F.col(c).alias(f"progress_{c}" if c in task_columns else c) for c in progress.columns])
 
 
-def run_counts(counts: DataFrame, out: str, state: str) -> DataFrame:
-    """STR03: a run over all that has landed; the last count of every interval, closed by the watermark or not."""
+def run_batches(rows: DataFrame, out: str, state: str, mode: str = "update") -> None:
+    """Run a stream over all that has landed.  Each batch is a folder of its own, so a batch that is run again replaces itself."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    rows.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
-    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    spark = counts.sparkSession
-    seen = spark.read.schema(counts.withColumn("batch", F.lit(0)).schema).parquet(out)
-    last = F.max_by(F.struct("entries", "troubles"), "batch").alias("last")
-    return seen.groupBy("start", "type").agg(last).select("start", "type", "last.*")
 
+def last_batch(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of rows with a ``batch``, those of the last batch of each key."""
+    last = rows.groupBy(*key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*key, "batch"]).drop("batch")
 
-def assign_online(items: DataFrame, threshold: float = 0.8, hours: int = 72, most_open: int = 10_000) -> DataFrame:
-    """STR04: item_id, event_id, decision of items (item_id, at, bucket, vector) as they come.
-
-    Items meet the open events of their similarity bucket, held as state: the
-    nearest one in reach of ``hours`` and similar enough takes the item, else
-    the item opens an event named after it.  Events older than the horizon
-    leave the state, and so does a bucket that the watermark has passed; a
-    bucket holds its newest ``most_open`` events at most.
-    """
-    state = "ids array<string>, at array<double>, vectors array<array<double>>"
-
-    def unit(v: np.ndarray) -> np.ndarray:
-        n = np.sqrt((v * v).sum())
-        return v / n if n else v
-
-    def assign(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        ids, at, vectors = (list(x) for x in held.get) if held.exists else ([], [], [])
-        out = []
-        frame = pd.concat(list(frames), ignore_index=True).sort_values(["at", "item_id"])
-        asked = [unit(np.asarray(v, float)) for v in frame["vector"]]
-        width = max([0, *map(len, asked), *map(len, vectors)])
-        # open events of this batch as one matrix of unit vectors, a row for each
-        room = len(ids) + len(frame)
-        rows, size, times = np.zeros((room, width)), np.zeros(room, int), np.full(room, -np.inf)
-        for i, v in enumerate(vectors):
-            rows[i, : len(v)], size[i], times[i] = unit(np.asarray(v, float)), len(v), at[i]
-        n = len(ids)
-        for item, now, v in zip(frame["item_id"], frame["at"].map(lambda t: t.timestamp()), asked, strict=True):
-            score = np.where((size[:n] == len(v)) & (np.abs(times[:n] - now) <= hours * 3600), rows[:n, : len(v)] @ v, -2.0)
-            best = int(score.argmax()) if n else -1
-            if best >= 0 and score[best] >= threshold:
-                times[best] = max(times[best], now)
-                out.append((item, ids[best], "assign"))
-            else:
-                rows[n, : len(v)], size[n], times[n] = v, len(v), now
-                ids.append(f"evt_{item}")
-                n += 1
-                out.append((item, ids[-1], "create"))
-        newest = float(times[:n].max(initial=0.0))
-        live = [i for i in np.argsort(-times[:n], kind="stable")[:most_open].tolist() if newest - times[i] <= hours * 3600]
-        held.update(([ids[i] for i in sorted(live)], [float(times[i]) for i in sorted(live)], [rows[i, : size[i]].tolist() for i in sorted(live)]))
-        held.setTimeoutTimestamp(max(int((newest + hours * 3600) * 1000), held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["item_id", "event_id", "decision"])
-
-    timed = items.withWatermark("at", f"{hours} hours")
-    return timed.groupBy("bucket").applyInPandasWithState(assign, "item_id string, event_id string, decision string", state, "append", "EventTimeTimeout")
+
+def run_counts(counts: DataFrame, out: str, state: str) -> DataFrame:
+    """STR03: a run over all that has landed; the last count of every interval, closed by the watermark or not."""
+    run_batches(counts, out, state)
+    seen = counts.sparkSession.read.schema(counts.withColumn("batch", F.lit(0)).schema).parquet(out)
+    last = F.max_by(F.struct("entries", "troubles"), "batch").alias("last")
+    return seen.groupBy("start", "type").agg(last).select("start", "type", "last.*")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as tx
+from newsloom.sources.keyed import KeyedTable
+from newsloom.sources.workdir import written
 
 LOG = "ts timestamp, type string, run_id string, task_id string, state string, attempt int, error string, reason string"
 
@@ -52,6 +55,30 @@ def last_batch(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(last, [*key, "batch"]).drop("batch")
 
 
+class Stopped(RuntimeError):
+    """A stream that was made to stop between a merge and the commit of its batch."""
+
+
+def merge_stream(rows: DataFrame, table: KeyedTable, name: str, state: str, stop_after_merge: bool = False) -> None:
+    """STR02/STR06: a run over all that has landed, every batch merged into a keyed table exactly once.
+
+    The table keeps the number of the last batch of the stream ``name``, so a
+    batch that was merged but not committed is not merged again after a
+    restart.  ``stop_after_merge`` makes the stream fail at just that point.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.upsert(written(batch, "stream-batch"), (name, number))  # run once and whole, as the stream's own state asks for
+        if stop_after_merge:
+            raise Stopped(f"batch {number}")
+
+    try:
+        rows.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    except StreamingQueryException as failed:
+        if not stop_after_merge or "Stopped" not in str(failed):
+            raise
+
+
 def run_counts(counts: DataFrame, out: str, state: str) -> DataFrame:
     """STR03: a run over all that has landed; the last count of every interval, closed by the watermark or not."""
     run_batches(counts, out, state)

@@ -232,9 +232,13 @@ def _decoder(path: str) -> pa.Array:
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` without its text column, with ``ids array<int>`` (null text: none)."""
+    """``df`` without its text column, with ``ids array<int>`` (null text: none).
+
+    A column of ``df`` named as ``ids`` is replaced, all others stay; rows
+    keep their number, repeated ones too, and equal texts get equal ids.
+    """
     small_batches(df.sparkSession)
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c not in (text, ids)]
     order = df.select(F.col(f"`{text}`").cast("string").alias(text), *[F.col(f"`{c}`") for c in rest])
     schema = ", ".join([f"`{c}` {order.schema[c].dataType.simpleString()}" for c in rest] + [f"`{ids}` array<int>"])
 
@@ -257,8 +261,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the decoded bytes of ``ids`` (null: empty) added as ``out``."""
-    columns = df.columns
+    """``df`` with the decoded bytes of ``ids`` (null: empty) added as ``out``, in place of a column of that name."""
+    columns = [c for c in df.columns if c != out]
+    df = df.select(*[F.col(f"`{c}`") for c in columns])
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns] + [f"`{out}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

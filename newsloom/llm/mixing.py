@@ -134,12 +134,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, s
 
 
 def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (not at all, or repeated)."""
+    """``docs`` with each row as often as the mix takes it (not at all, or repeated); columns may have any names."""
     columns = docs.columns
     order = Window.partitionBy("row_key").orderBy(F.lit(0))
     taken = mix(docs, weights, most, seed).where("copies > 0").select("row_key", "copies")
     taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy(F.desc("copies"))))
     names = [f"c{i}" for i in range(len(columns))]
-    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "source", "text")).toDF(*names, "row_key").withColumn("nth", F.row_number().over(order))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64("doc_id", "source", "text").alias("row_key_of_mix")).toDF(*names, "row_key")
+    rows = keyed.withColumn("nth", F.row_number().over(order))
     joined = rows.join(taken, ["row_key", "nth"])
     return joined.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names).toDF(*columns)

@@ -55,6 +55,8 @@ MORE = (
 )
 
 _MOST_STRINGS = 64
+#: Values that one running result is appended over, and characters of a piece that spans are cut from.
+RUN, PIECE = 512, 4096
 #: Candidate documents that are broadcast at most (an id and a few rule numbers each).
 BROADCAST_CANDIDATES = 500_000
 
@@ -123,29 +125,49 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return held.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, add) -> Column:
+    """Running results of an array of whole numbers: ``add`` of each to what came before, from 0.
+
+    Appending to an array copies it, so it is done within runs of ``RUN``
+    values and for the runs' last results, not for the array as a whole.
+    """
+
+    def appended(array: Column) -> Column:
+        return F.aggregate(array, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
+
+    def joined(xs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / RUN).cast("int") - 1, F.lit(0))), lambda i: appended(F.slice(xs, i * RUN + 1, RUN)))
+        return _bound(runs, lambda rs: _bound(appended(F.transform(rs, lambda r: F.element_at(r, -1))), lambda before: F.flatten(F.zip_with(rs, F.slice(before, 1, F.size(rs)), lambda r, b: F.transform(F.slice(r, 2, F.size(r)), lambda x: add(b, x))))))
+
+    return _bound(F.transform(values, lambda x: x.cast("long")), joined)
+
+
 def spans(text: Column, rule: Rule) -> Column:
-    """Array of (start, end) of the rule's matches that pass its length test."""
+    """Array of (start, end) of the rule's matches that pass its length test, in time linear in the matches."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     gaps = F.split(text, rule.pattern, -1)
-    each = F.zip_with(F.slice(gaps, 1, F.size(whole)), F.zip_with(whole, value, lambda w, v: F.struct(F.length(w).alias("w"), F.length(v).alias("v"))), lambda g, m: F.struct(F.length(g).alias("g"), m["w"].alias("w"), m["v"].alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+    parts = F.struct(whole.alias("w"), value.alias("v"), gaps.alias("g"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["g"]
-        b = a + x["w"]
-        one = F.array(F.struct(a.alias("start"), b.alias("end")))
-        return F.struct(b.alias("at"), F.when(x["v"] >= rule.least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+    def placed(x: Column) -> Column:
+        sizes = F.zip_with(F.slice(x["g"], 1, F.size(x["w"])), x["w"], lambda g, w: F.length(g) + F.length(w))
+        ends = F.zip_with(running(sizes, lambda a, b: a + b), F.zip_with(x["w"], x["v"], lambda w, v: F.struct(F.length(w).alias("w"), F.length(v).alias("v"))), lambda end, m: F.struct((end - m["w"]).cast("int").alias("start"), end.cast("int").alias("end"), m["v"].alias("v")))
+        return F.transform(F.filter(ends, lambda m: m["v"] >= rule.least), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
 
-    return F.aggregate(each, start, step, lambda acc: acc["found"])
+    return _bound(parts, placed)
 
 
 def _named(rank: int, kind: str):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """``docs`` with ``found``: an array of (start, kind order, end, kind), sorted."""
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[str]]:
+    """The rows with numbered columns (their names are the second result) and their sorted spans as ``spans``."""
     scanned_fully = [not trigram_query(r.pattern) for r in rules]
     scratch = Scratch(docs.sparkSession, "secrets")
     wanted = scratch.save(candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules).toDF("posted_id", "posted_rules"), "candidates")
@@ -161,8 +183,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
         may = F.lit(True) if scanned_fully[i] else F.col(key).isNull() | F.array_contains("posted_rules", F.lit(i))
         own = F.when(may & text.rlike(r.pattern), spans(text, r)).otherwise(none)
         parts.append(F.transform(own, _named(i, r.kind)))
-    found = joined.withColumn("found", F.array_sort(F.concat(*parts)))
-    return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], "found")
+    return joined.select(*names, F.array_sort(F.concat(*parts)).alias("spans")), names
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """``docs`` with ``found``: an array of (start, kind order, end, kind), sorted.
+
+    A column of ``docs`` of that name is replaced, all others stay, whatever
+    their names.
+    """
+    found, names = _scanned(docs, rules)
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c != "found"], F.col("spans").alias("found"))
 
 
 def written(found: Column) -> Column:
@@ -170,18 +201,42 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``mask``; ``n_chars`` follows."""
-    found = scan(docs, rules)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _masked(text: Column, found: Column, mask: str) -> Column:
+    """The text with the spans' union replaced, a mask for each stretch of it.
+
+    A span starts a stretch if it begins where all earlier ones have ended.
+    What lies between is cut out of pieces of ``PIECE`` characters, so no cut
+    walks through the whole text.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        piece = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], piece, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+    def between(ps: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        tail = lambda i, at: F.substring(F.get(ps, i), at - i * PIECE + 1, F.lit(PIECE))
+        head = lambda i, to: F.substring(F.coalesce(F.get(ps, i), F.lit("")), F.lit(1), to - i * PIECE)
+        far = F.concat(tail(first, a), F.array_join(F.slice(ps, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), head(last, b))
+        return F.when(b <= a, F.lit("")).when(first == last, F.substring(F.get(ps, first), a - first * PIECE + 1, b - a)).otherwise(far)
 
-    done = F.aggregate(F.col("found"), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
-    out = found.withColumn("text", F.when(F.size("found") > 0, done).otherwise(F.col("text"))).drop("found")
+    def built(x: Column) -> Column:
+        reached = F.concat(F.array(F.lit(0).cast("long")), running(F.transform(x["s"], lambda s: s["end"]), F.greatest))  # where all spans so far have ended
+        each = F.zip_with(x["s"], F.slice(reached, 1, F.size(x["s"])), lambda s, at: F.struct(s["start"].alias("start"), at.cast("int").alias("at")))
+        starts = F.filter(each, lambda s: s["start"] >= s["at"])
+        end = F.array_max(F.transform(x["s"], lambda s: s["end"]))
+        out = F.transform(starts, lambda s: F.concat(between(x["p"], s["at"], s["start"]), F.lit(mask)))
+        return F.concat(F.array_join(out, ""), between(x["p"], end, F.length(x["t"])))
+
+    return _bound(F.struct(pieces.alias("p"), found.alias("s"), text.alias("t")), built)
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of its texts replaced by ``mask``; ``n_chars`` follows.
+
+    All other columns stay, whatever their names; repeated rows stay repeated.
+    """
+    found, names = _scanned(docs, rules)
+    text = F.col(names[docs.columns.index("text")])
+    done = F.when(F.size("spans") > 0, _masked(text, F.col("spans"), mask)).otherwise(text)
+    out = found.withColumn(names[docs.columns.index("text")], done).select(*names).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

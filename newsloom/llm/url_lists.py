@@ -48,19 +48,21 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filter_captures(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", day: str = "fetch_day") -> DataFrame:
     """``captures`` with kind, value, action, valid_from and valid_to of the deciding entry.
 
-    ``key`` must name each capture.  A host may have most captures: intervals
-    are repeated for each salt and captures are dealt by it.  Columns of
-    captures named as the result's five are replaced.
+    ``key`` spreads the work; captures that share it are told apart by URL and
+    day, and rows that are equal in all three get the same entry.  A host may
+    have most captures: intervals are repeated for each salt and captures are
+    dealt by it.  Columns of captures named as the result's five are replaced.
     """
     by_kind = values(F.col(f"`{url}`"))
-    asked = captures.select(F.col(f"`{key}`").alias("k"), F.col(f"`{day}`").alias("at"), F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("kind"), by_kind[kind].alias("value")) for i, kind in enumerate(KINDS)])).alias("x"))
-    asked = asked.select("k", "at", "x.*", F.pmod(F.xxhash64("k"), F.lit(SALTS)).alias("salt")).where("value <> ''")
+    asked = captures.select(F.col(f"`{key}`").alias("k"), F.col(f"`{url}`").alias("u"), F.col(f"`{day}`").alias("at"), F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("kind"), by_kind[kind].alias("value")) for i, kind in enumerate(KINDS)])).alias("x"))
+    asked = asked.select("k", "u", "at", "x.*", F.pmod(F.xxhash64("k", "u"), F.lit(SALTS)).alias("salt")).where("value <> ''")
     held = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     found = asked.join(held, ["kind", "value", "salt"]).where("at >= valid_from and (valid_to is null or at < valid_to)")
-    best = found.groupBy("k").agg(F.max(F.struct("rank", "kind", "value", "action", "valid_from", "valid_to")).alias("best"))
+    best = found.groupBy("k", "u", "at").agg(F.max(F.struct("rank", "kind", "value", "action", "valid_from", "valid_to")).alias("best"))
     columns, names = captures.columns, [f"c{i}" for i in range(len(captures.columns))]
     plain = captures.toDF(*names)
-    joined = plain.join(best, plain[names[columns.index(key)]] == best["k"], "left")
+    own = {c: plain[names[columns.index(c)]] for c in (key, url, day)}
+    joined = plain.join(best, own[key].eqNullSafe(best["k"]) & (own[url] == best["u"]) & (own[day] == best["at"]), "left")
     made = ("kind", "value", "action", "valid_from", "valid_to")
     return joined.select(*[F.col(n).alias(c) for n, c in zip(names, columns, strict=True) if c not in made], *[F.col(f"best.{c}").alias(c) for c in made])
 

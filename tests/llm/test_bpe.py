@@ -54,3 +54,12 @@ def test_memory_is_bounded(monkeypatch, reference):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH).collect() == []
+
+
+def test_columns_of_any_name(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "some text", [9], "own")], "doc_id long, text string, ids array<int>, decoded string")
+    got = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path).first()
+    assert bytes(got.decoded) == b"some text" and got.doc_id == 1 and got.ids != [9]

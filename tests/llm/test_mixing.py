@@ -68,3 +68,9 @@ def test_empty_and_wordless(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
     got = mixing.mix(spark.createDataFrame([(1, None, None), (None, "", "a")], "doc_id long, text string, source string")).collect()
     assert {(r.doc_id, r.size, r.target, r.copies) for r in got} == {(1, 0, 0.0, 0), (None, 0, 0.0, 0)}
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(i, "a b", "s", 5, "n", 1) for i in range(4)], "doc_id long, text string, source string, row_key int, nth string, copies int")
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns and {(r.row_key, r.nth, r.copies) for r in out.collect()} == {(5, "n", 1)}

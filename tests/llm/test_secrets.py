@@ -71,3 +71,57 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = secrets.scan(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef1 x", 7, "s", "p", 15)], "doc_id long, text string, found int, spans string, posted_id string, n_chars int")
+    out = secrets.redact(docs).first()
+    assert (out.text, out.found, out.spans, out.posted_id, out.n_chars) == ("[SECRET] x", 7, "s", "p", 10)
+    got = secrets.scan(docs)
+    assert got.columns == ["doc_id", "text", "spans", "posted_id", "n_chars", "found"] and len(got.first().found) == 1
+
+
+def test_running_results(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 511, 512, 513, 1500):
+        values = [(i * 37 + 5) % 91 for i in range(n)]
+        row = spark.createDataFrame([(values,)], "v array<int>").select(secrets.running(F.col("v"), lambda a, b: a + b).alias("s"), secrets.running(F.col("v"), F.greatest).alias("m")).first()
+        sums, most = [], []
+        for v in values:
+            sums.append((sums[-1] if sums else 0) + v)
+            most.append(max(most[-1] if most else 0, v))
+        assert (row.s, row.m) == (sums, most)
+
+
+def test_masks_equal_a_plain_loop(spark):
+    """Overlapping spans of several kinds, pieces cut at every place, characters of several bytes."""
+    import random
+
+    rnd = random.Random(8)
+    rows = []
+    for i in range(60):
+        parts = [rnd.choice(["é", "\U0001F600", "plain ", "x" * rnd.randrange(3000), "token = 'abc123+/x'", "0123456789abcdef" * 2, "password:" + "a1" * 20, "\n"]) for _ in range(rnd.randrange(12))]
+        rows.append((i, "".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.found for r in secrets.scan(docs).collect()}
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i, text in rows:
+        at, out = 0, ""
+        for s in found[i]:
+            if s.start >= at:
+                out += text[at : s.start] + "[SECRET]"
+            at = max(at, s.end)
+        assert got[i] == out + text[at:]
+
+
+def test_very_many_matches_in_a_text(spark):
+    """Time grows with the matches, not with their square."""
+    import time
+
+    text = "0123456789abcdef01234567 " * 100_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    assert len(secrets.scan(docs).first().found) == 100_000
+    assert secrets.redact(docs).first().text == "[SECRET] " * 100_000
+    assert time.time() - began < 60

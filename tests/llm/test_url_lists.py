@@ -32,3 +32,10 @@ def test_clashing_columns_repeats_and_long_urls(spark):
     assert out.columns == ["page_id", "url", "fetch_day", "k", "salt", "kind", "value", "action", "valid_from", "valid_to"]
     assert sorted((r.page_id, r.k, r.kind, r.value[:7], r.action) for r in out.collect() if r.page_id == 1) == [(1, 7, "domain", "b.co.uk", "block")] * 2
     assert [(r.kind, r.action) for r in out.collect() if r.page_id == 2] == [("prefix", "block")]
+
+
+def test_captures_that_share_a_key(spark):
+    entries = spark.createDataFrame([("host", "a.org", D(2024, 1, 1), "block")], "kind string, value string, day date, action string")
+    rows = [(1, "http://a.org/", D(2024, 2, 1)), (1, "http://b.org/", D(2024, 2, 1)), (1, "http://a.org/", D(2023, 2, 1)), (None, "http://a.org/", D(2024, 2, 1)), (None, "http://b.org/", D(2024, 2, 1))]
+    out = ul.filter_captures(spark.createDataFrame(rows, "page_id long, url string, fetch_day date"), entries).collect()
+    assert sorted((str(r.page_id), r.url, r.fetch_day.year, r.action) for r in out if r.action) == [("1", "http://a.org/", 2024, "block"), ("None", "http://a.org/", 2024, "block")] and len(out) == 5

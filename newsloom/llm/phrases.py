@@ -42,9 +42,9 @@ DEPTH, LEAST = 3, 10
 #: Rows of a lang in the result.
 TOP = 2000
 #: Word places that a task holds before it adds them up and hands them on.
-CHUNK = 2_000_000
+CHUNK = 1_500_000
 #: Parts of a receiving partition, which are sorted one after another.
-PARTS = 4
+PARTS = 2
 #: A pair of words with more than this share of a sample's places is dealt out by the third word too: 500 pairs at most.
 COMMON = 1 / 500
 #: Documents of the sample for that, about.

@@ -241,7 +241,8 @@ def _candidates() -> str:
 )"""
 
 
-def _flagship() -> str:
+def scored() -> str:
+    """CTEs that end in ``z``: every candidate event with its scores, layer and status."""
     focus = {k: _any("hay", v) for k, v in rules.FOCUS_WORDS.items()}
     boost = lambda part: " + ".join(f"CASE WHEN {k} THEN {v[part]} ELSE 0 END" for k, v in rules.FOCUS_BOOSTS.items())
     plus = lambda c, p: f"CASE WHEN {c} THEN {p} ELSE 0 END"
@@ -252,8 +253,7 @@ def _flagship() -> str:
     paper_boost = {"importance": "5", "relevance": "6", "novelty": "5", "actionability": f"CASE WHEN {_any('hay', rules.PAPER_CODE_WORDS)} THEN 8 ELSE 3 END"}
     boosted = ", ".join(f"CASE WHEN paper THEN {_clamp(f'{k} + {v}')} ELSE {k} END AS {k}_score" for k, v in paper_boost.items())
     final = " + ".join(f"{k}_score * CAST({w} AS DOUBLE)" for k, w in rules.WEIGHTS.items())
-    return f"""
-WITH {_candidates()}, f AS (
+    return f"""{_candidates()}, f AS (
   SELECT *, {", ".join(f"{v} AS {k}" for k, v in focus.items())}, coalesce(list_has_any(platforms, {_list(rules.PAPER_PLATFORMS)}), false) OR (kind IN {_in(rules.INSIGHT_TYPES)} AND {_any("hay", rules.PAPER_SIGNAL_WORDS)}) AS paper FROM h
 ), s AS (
   SELECT *, {_clamp(f'''{_case("kind", rules.IMPORTANCE, 45.0)} + CASE WHEN n >= 2 THEN least(8.0, 3.0 * n) ELSE 0 END + {plus(f"kind IN {_in(rules.HIGH_IMPACT_TYPES)} AND confidence >= 0.9", 5)} + {plus("member_count >= 4", 4)} + {boost("importance")} + {plus(f"{a} AND {b}", 3)} - {plus("confidence < 0.7", 10)}''')} AS importance,
@@ -267,8 +267,12 @@ WITH {_candidates()}, f AS (
       WHEN kind IN {_in(rules.ASSET_LAYER_TYPES)} OR {_any("(plain || ' ' || kind)", rules.ASSET_LAYER_WORDS)} THEN 'deep_asset' ELSE 'news' END AS content_layer,
     CASE WHEN latest IS NULL OR out_of_range THEN 'needs_review' WHEN {_any("plain", rules.RUMOR_WORDS)} THEN 'rumor' WHEN {has("community")} AND n = 1 THEN 'single_source' WHEN {has("official")} THEN 'verified' WHEN n >= 2 AND ({has("authority_media")} OR {has("chinese_media")}) THEN 'verified' ELSE 'single_source' END AS verify_status
   FROM f
-), b AS (SELECT *, {boosted} FROM s), z AS (SELECT *, round({_clamp(f"{final} - risk_penalty")}, 2) AS final_score FROM b),
-o AS (SELECT *, row_number() OVER (PARTITION BY report_date ORDER BY final_score DESC, importance_score DESC, source_score DESC, doc_id) AS place FROM z)
+), b AS (SELECT *, {boosted} FROM s), z AS (SELECT *, round({_clamp(f"{final} - risk_penalty")}, 2) AS final_score FROM b)"""
+
+
+def _flagship() -> str:
+    return f"""
+WITH {scored()}, o AS (SELECT *, row_number() OVER (PARTITION BY report_date ORDER BY final_score DESC, importance_score DESC, source_score DESC, doc_id) AS place FROM z)
 SELECT CAST(report_date AS VARCHAR) AS report_date, CAST(place AS INT) AS place, event_id, kind AS normalized_event_type, content_layer, importance_score, source_score, freshness_score, relevance_score, actionability_score, novelty_score, risk_penalty, final_score,
   verify_status, 'ok' AS text_quality, array_to_string(platforms, ',') AS platforms, CAST(sources AS INT) AS sources, member_count, round(confidence, 6) AS confidence
 FROM o WHERE place <= 10

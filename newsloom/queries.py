@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom import flows, landed, oracle
+from newsloom import flows, landed, oracle, report_queries
 from newsloom.functions import dates
 from newsloom.functions import text as tx
 from newsloom.operators import enrich, evidence, fold, greedy, runlog, sections, vectors
@@ -329,9 +329,9 @@ QUERIES = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
-    return {q.__name__: q for q in QUERIES} | landed.QUERIES | flows.QUERIES
+    return {q.__name__: q for q in QUERIES} | landed.QUERIES | flows.QUERIES | report_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return oracle.sql() | landed.SQL | flows.SQL
+    return oracle.sql() | landed.SQL | flows.SQL | report_queries.SQL | {"section_table": report_queries.SECTION_TABLE, "report_stats": report_queries.REPORT_STATS}

@@ -211,7 +211,7 @@ def unselected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {oracle.scored()} SELECT CAST(report_date AS VARCHAR) AS report_date, event_id, verify_status FROM z WHERE verify_status = 'needs_review'")
 def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FL19: events to look at by hand."""
-    return sections.review_queue(report.enriched(spark, sf_dir)).select(F.col("report_date").cast("string").alias("report_date"), "event_id", "verify_status")
+    return sections.review_queue(report.assigned(spark, sf_dir)).select(F.col("report_date").cast("string").alias("report_date"), "event_id", "verify_status")
 
 
 def _watch_reason() -> str:
@@ -222,7 +222,7 @@ def _watch_reason() -> str:
 @_query(f"WITH {_flags()} SELECT event_id, CAST({_watch_reason()} AS INT) AS reason FROM v")
 def watch_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FL12: which reason each event would have on the watch list."""
-    rows = sections.with_flags(sections.with_order(report.enriched(spark, sf_dir))).withColumn("report_tags", sections.tags())
+    rows = report.assigned(spark, sf_dir)
     texts = ["来源更偏线索", "算力或芯片方向", "生物医药交叉", "政策或治理方向"]
     reason = sections.watch_reason()
     number = F.lit(4)

@@ -334,4 +334,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return oracle.sql() | landed.SQL | flows.SQL | report_queries.SQL | {"section_table": report_queries.SECTION_TABLE, "report_stats": report_queries.REPORT_STATS}
+    return oracle.sql() | landed.SQL | flows.SQL | report_queries.SQL | {"section_table": report_queries.SECTION_TABLE, "report_stats": report_queries.REPORT_STATS, "daily_documents": report_queries.DAILY_DOCUMENTS}

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom import oracle
 from newsloom.functions import rules
-from newsloom.operators import sections
+from newsloom.functions import text as tx
+from newsloom.operators import documents, evidence, sections, vectors
 from newsloom.plans import report
+from newsloom.sources import feeds, workdir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -229,3 +231,127 @@ def watch_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, start in reversed(list(enumerate(texts))):
         number = F.when(F.startswith(reason, F.lit(start)), i).otherwise(number)
     return rows.select("event_id", number.cast("int").alias("reason"))
+
+
+# ---------------------------------------------------------------- the public document
+
+
+def _document() -> str:
+    nl = "chr(10)"
+    part = {s: f"{_q(f'## {title}')} || {nl} || {nl} || coalesce(max(block) FILTER (WHERE report_section = '{s}'), {_q(empty)} || {nl})" for s, title, empty in documents.SECTIONS}
+    status = f"CASE WHEN report_section = 'watchlist' THEN '待观察' ELSE {_case('verify_status', rules.STATUS_LABELS, 'verify_status')} END"
+    trend = f"'今天入选内容整体呈现出从产业基础设施到方法沉淀同步推进的特征：' || examples || ' 等事件说明，市场关注点正在从单点模型能力扩展到算力供给、部署成本、企业落地和可复用技术资产。从类型分布看，今天更集中的信号包括：' || topics || '；同时有 ' || research || ' 条内容来自研究、评测、论文或长期资源层，说明值得跟踪的不只是即时新闻，也包括后续可能影响产品路线和工程实践的方法类成果。'"
+    tail = "> 说明：本报告面向群内阅读；评分、栏目分和标签等调试信息已单独写入 daily_report_debug.md 和 report_candidates.json。"
+    return f"""{_ALL}, src AS (
+  SELECT event_id, list({{'k': coalesce(u, platform), 'p': platform, 'u': u}} ORDER BY doc_id) AS its FROM (SELECT *, CASE WHEN doc_id % 3 < 2 THEN 'https://www.site' || doc_id % 50 || '.example.com/a/' || doc_id END AS u FROM items) GROUP BY event_id
+), links AS (
+  SELECT event_id, array_to_string(list_transform(list_filter(its, lambda x, i: list_position(list_transform(its, lambda y: y.k), x.k) = i)[1:3], lambda x: CASE WHEN x.u IS NOT NULL THEN '[' || x.p || '](' || x.u || ')' ELSE x.p END), ', ') AS sources_text FROM src
+), sel AS (
+  SELECT v.*, report_section, position, sources_text FROM chosen JOIN v USING (report_date, doc_id) JOIN links USING (event_id)
+), entry AS (
+  SELECT report_date, report_section, position, array_to_string([position || '. **' || title || '**', '   - 简报：' || one_sentence, '   - 为什么重要：' || why_important, '   - 来源：' || sources_text, '   - 状态：' || {status}, ''], {nl}) AS entry FROM sel
+), block AS (
+  SELECT report_date, report_section, string_agg(entry, {nl} ORDER BY position) AS block FROM entry GROUP BY ALL
+), news AS (
+  SELECT *, row_number() OVER (PARTITION BY report_date ORDER BY {_best("top_news")}) AS best, row_number() OVER (PARTITION BY report_date ORDER BY final_score DESC, importance_score DESC, source_score DESC, doc_id) AS seen FROM sel WHERE report_section <> 'watchlist'
+), topic AS (
+  SELECT report_date, {_case("kind", rules.TOPIC_LABELS, "kind")} || ' ' || count(*) || ' 条' AS t, row_number() OVER (PARTITION BY report_date ORDER BY count(*) DESC, min(seen)) AS r FROM news GROUP BY report_date, kind
+), trend AS (
+  SELECT report_date, (SELECT string_agg(t, '、' ORDER BY r) FROM topic WHERE topic.report_date = news.report_date AND r <= 4) AS topics, string_agg('“' || title || '”', '、' ORDER BY best) FILTER (WHERE best <= 3) AS examples, count(*) FILTER (WHERE report_section IN ('insight', 'deep_asset')) AS research FROM news GROUP BY report_date
+), days AS (SELECT DISTINCT report_date FROM v)
+SELECT CAST(days.report_date AS VARCHAR) AS report_date, array_to_string(['# AI 情报早报 - ' || CAST(days.report_date AS VARCHAR) || {nl}, {part["top_news"]}, {part["insight"]}, {part["deep_asset"]}, '## 四、今日趋势观察' || {nl} || {nl} || coalesce({trend.replace("examples", "any_value(examples)").replace("topics", "any_value(topics)").replace("research", "any_value(research)")}, '今日入选内容不足，暂不生成趋势观察。') || {nl}, {part["watchlist"]}, {nl} || {_q(tail)}], {nl}) || {nl} AS document
+FROM days LEFT JOIN block USING (report_date) LEFT JOIN trend USING (report_date) GROUP BY days.report_date
+"""
+
+
+DAILY_DOCUMENTS = _document()
+
+
+# ---------------------------------------------------------------- evidence sources, keys and requests
+
+
+@_query(r"""
+WITH u AS (
+  SELECT page_id, page_id // 6 AS event, page_id % 6 AS pos, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS netloc, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE regexp_matches(url, '^https?://')
+), k AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(netloc, '^.*@', ''), ':.*$', ''), '^www\.', '') AS domain, regexp_replace(scheme || '://' || netloc || path, '/+$', '') AS url_key, CASE page_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS priority FROM u
+), f AS (
+  SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY event, url_key ORDER BY priority, domain, pos) = 1
+)
+SELECT 'e' || event AS event_id, CAST(page_id AS INT) AS page_id, domain, CAST(row_number() OVER (PARTITION BY event ORDER BY priority, domain, pos) AS INT) AS nth FROM f QUALIFY nth <= 2
+""")
+def selected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN07: six pages an event as its sources: the first of each canonical URL, two an event by priority."""
+    n = F.col("page_id")
+    platform = F.when(n % 5 == 0, "arXiv daily").when(n % 5 == 1, "Wired").when(n % 5 == 2, "InfoQ").otherwise("a blog")
+    one = F.struct((n % 6).alias("pos"), F.struct(platform.alias("platform"), F.lit("").alias("title"), "url", n.cast("int").alias("source_news_id")).alias("s"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    events = pages.groupBy(F.concat(F.lit("e"), F.floor(n / 6).cast("string")).alias("event_id")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).alias("source_items")).withColumn("report_date", F.lit("2024-01-01"))
+    return evidence.select_sources(events).select("event_id", F.col("source_news_id").alias("page_id"), "domain", "nth")
+
+
+@_query(r"""
+SELECT doc_id, coalesce(split_part(source, 'c', 2), '') AS main_entity, lang AS event_type, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(split_part(coalesce(text, ''), chr(10), 1), '[A-Za-z0-9][A-Za-z0-9_.-]{2,}'), lambda x: len(x) >= 4), lambda x: lower(x))))[1:8], ' '), '') AS title_key FROM documents
+""")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG06, TX11: the duplicate key of every document as an event."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", F.array(F.split_part("source", F.lit("c"), F.lit(2))).alias("entities"), F.col("lang").alias("normalized_event_type"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"))
+    return rows.select("doc_id", evidence.duplicate_key().alias("k")).select("doc_id", "k.main_entity", "k.event_type", "k.title_key")
+
+
+@_query("""
+SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+""")
+def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD02: the similarity of every vector and the next."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    pairs = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
+    return pairs.select("vec_id", F.round(vectors.cosine_batches(F.col("embedding"), F.col("next")), 6).alias("similarity"))
+
+
+@_query("""
+SELECT lang AS run_id, CAST(doc_id // 40 AS INT) AS group_index, count(*) AS size, string_agg(doc_id, ',' ORDER BY doc_id % 7, doc_id) AS ids, md5(string_agg(coalesce(source, 'none'), '|' ORDER BY doc_id % 7, doc_id)) AS platforms FROM documents GROUP BY ALL
+""")
+def extraction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM04, EM02: a JSON request for each group of documents, rows in group order, read back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("run_id"), F.col("doc_id").alias("key"), F.col("doc_id").alias("index"), F.col("source").alias("platform"))
+    place = F.row_number().over(Window.partitionBy("run_id", F.floor(F.col("key") / 40)).orderBy(F.col("key") % 7, "key"))
+    groups = docs.select("run_id", F.col("key").cast("string").alias("key"), F.floor(F.col("key") / 40).cast("int").alias("group_index"), place.alias("position"))
+    asked = vectors.batches(docs, groups, ["index", "platform"])
+    said = F.from_json("request", "array<struct<index:long,platform:string>>")
+    return asked.select("run_id", "group_index", "size", F.array_join(F.transform(said, lambda x: x["index"].cast("string")), ",").alias("ids"), F.md5(F.array_join(F.transform(said, lambda x: F.coalesce(x["platform"], F.lit("none"))), "|").cast("binary")).alias("platforms"))
+
+
+@_query("""
+SELECT doc_id, md5(concat_ws(chr(10), nullif(source, ''), nullif(lang, ''), nullif(split_part(coalesce(text, ''), chr(10), 1), ''))) AS said FROM documents
+""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX25: the non-empty parts of every document as one text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(tx.joined("\n", F.col("source"), F.col("lang"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).cast("binary")).alias("said"))
+
+
+@_query("""
+SELECT 'a' AS step, lang AS platform, doc_id AS id, CAST(NULL AS VARCHAR) AS url FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'b', lang, doc_id, NULL FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'c', NULL, page_id, url FROM pages
+""")
+def combined_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC12, ST01: items of three ingest steps as one table, nothing dropped."""
+    docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
+    parts = [docs.where(F.col("doc_id") % k == 0).select(F.lit(step).alias("step"), F.col("lang").alias("platform"), F.col("doc_id").alias("id")) for step, k in (("a", 2), ("b", 3))]
+    return feeds.combined([*parts, pages.select(F.lit("c").alias("step"), F.col("page_id").alias("id"), "url")])
+
+
+@_query("""
+SELECT 'r' || user_id % 9 AS run_id, event_type AS step_id, max(event_id) AS n, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS finished, 'r' || user_id % 9 || '/' || event_type AS folder FROM events GROUP BY ALL
+""")
+def checkpoint_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC14: checkpoint files in folders of run and step, read back oldest first."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = events.groupBy((F.col("user_id") % 9).alias("u"), "event_type").agg(F.max("ts").alias("finished_at"), F.max("event_id").alias("n"))
+    at = f"{workdir.new_path(spark, 'checkpoints')}/tree"
+    body = last.select(F.concat(F.lit("r"), F.col("u").cast("string")).alias("run"), F.col("event_type").alias("step"), F.to_json(F.struct(F.concat(F.lit("r"), F.col("u").cast("string")).alias("run_id"), F.col("event_type").alias("step_id"), "n", F.date_format("finished_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("finished_at"), F.concat_ws("/", F.concat(F.lit("r"), F.col("u").cast("string")), "event_type").alias("started_at"))).alias("value"))
+    body.write.partitionBy("run", "step").text(at)
+    rows = feeds.read_checkpoints(spark, at, "run_id string, step_id string, n long, started_at string, finished_at string", "*.txt")
+    folder = F.concat_ws("/", F.regexp_extract("path", "/run=([^/]+)/", 1), F.regexp_extract("path", "/step=([^/]+)/", 1))
+    return rows.select("run_id", "step_id", "n", F.substring("finished_at", 1, 19).alias("finished"), folder.alias("folder"))

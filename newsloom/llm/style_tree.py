@@ -40,6 +40,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -65,14 +66,16 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math".split())
-_BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+_RAW = frozenset("script style noscript template textarea title iframe noembed noframes svg".split())
+_BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption xmp".split())
 _NOISE_TAG = frozenset("nav footer aside form script style noscript template iframe svg button select input textarea dialog menu head title object embed canvas audio video".split())
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-_NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|masthead|footer|sidebar|aside|notices?|cookies?|consent|gdpr|newsletter|subscribe|comments?|commentlist|disqus|replies|respond|(?:user|reader|customer)-?reviews|related|recommend\w*|share|sharing|social|pagination|pager)(?:$|[\s_-]|\d)|(?:^|\s)(?:(?:site|page|top|main|global)[_-]?)?header(?:$|\s)",
-    re.I,
-)
+#: A class or id says noise if one of its names is such a word, or one with a word for a part of a page before or after it.
+_NOISE_WORD = r"ads?|advert(?:s|isements?|ising|orial)?|adsense|sponsor(?:s|ed)?|promos?|promotions?|promoted|nav|navbar|navigation|menus?|menubar|breadcrumbs?|masthead|footer|sidebar|aside|notices?|cookies?|consent|gdpr|newsletter|subscribe|comments?|commentlist|disqus|replies|respond|(?:user|reader|customer)-?reviews|related|recommend(?:ed|ations?|s)?|share|sharing|social|pagination|pager"
+_PART = r"bars?|box(?:es)?|list|items?|links?|wrap|wrapper|container|inner|outer|area|block|section|widget|main|top|bottom|left|right|primary|secondary|slot|unit|banner|text|content|panel|rows?|cols?|column|header|head|title|form|count|buttons?|icons?|posts?|articles?|stories|story|news|reading|thread|body|media|group|nav|menu|footer|sidebar|ads?|policy|popup|modal|overlay|signup|\d+"
+_NOISE_NAME = re.compile(rf"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?:{_NOISE_WORD})(?:[_-]?(?:{_PART}))*(?:$|\s)|(?:^|\s)(?:(?:site|page|top|main|global)[_-]?)?header(?:$|\s)", re.I)
+#: Names that text may still stand under where a page has no other.
+_SOFT_NAME = re.compile(r"(?:^|[\s_-])(?:promo\w*|notices?|related|recommend\w*|share|sharing|social|subscribe|newsletter)(?:$|[\s_-]|\d)", re.I)
 #: Articles that are none: a class of theirs says so as a whole.
 _NO_ARTICLE = re.compile(r"(?:^|\s)(?:comments?|ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*)(?:$|\s)", re.I)
 _UNSURE_NAME = re.compile(r"(?:^|[\s_-])(?:header|banner|side|widget|alert|popup|modal|overlay|signup|login|reviews?|toolbar|copyright|disclaimer|skip)(?:$|[\s_-]|\d)", re.I)
@@ -81,13 +84,12 @@ _CLOSES |= {b: ("p",) for b in _BLOCK - {"li", "p", "dt", "dd", "tr", "td", "th"
 
 
 class Block:
-    """A run of text without a block boundary, with the branch that it stands on."""
+    """A run of text without a block boundary, with the element that it stands in."""
 
-    __slots__ = ("content", "inside", "main", "noise", "paths", "text")
+    __slots__ = ("content", "element", "main", "noise", "text")
 
-    def __init__(self, text: str, paths: tuple[int, ...], noise: bool, main: bool, inside: int):
-        self.text, self.paths, self.noise, self.main = text, paths, noise, main
-        self.inside = inside  # where the outermost main element is in paths
+    def __init__(self, text: str, element: int, noise: int, main: bool):
+        self.text, self.element, self.noise, self.main = text, element, noise, main
         self.content = xxhash.xxh3_64_intdigest(text.lower()) - 2**63
 
 
@@ -100,38 +102,71 @@ class Node:
         self.path, self.look, self.content, self.unsure = path, look, content, unsure
 
 
+class _Ends:
+    """Where branches end, from one search of the page for each tag."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.found: dict[str, tuple[list[int], list[int]]] = {}
+
+    def past(self, tag: str, at: int) -> int | None:
+        """Where the branch opened at ``at`` ends, if it plainly does."""
+        if tag not in self.found:
+            close, opens = _edges(tag)
+            self.found[tag] = [m.start() for m in close.finditer(self.html)], [m.start() for m in opens.finditer(self.html)]
+        closes, opens = self.found[tag]
+        i = bisect.bisect_left(closes, at)
+        if i == len(closes) or bisect.bisect_left(opens, at) < bisect.bisect_left(opens, closes[i]):
+            return None
+        end = self.html.find(">", closes[i])
+        return end + 1 if end >= 0 else len(self.html)
+
+    def raw(self, tag: str, at: int) -> int | None:
+        """Where raw text that begins at ``at`` ends; None if it never does."""
+        key = "\0" + tag
+        if key not in self.found:
+            self.found[key] = [m.start() for m in re.finditer(rf"</{re.escape(tag)}[\s/>]", self.html, re.I)], []
+        closes = self.found[key][0]
+        i = bisect.bisect_left(closes, at)
+        if i == len(closes):
+            return None
+        end = self.html.find(">", closes[i])
+        return end + 1 if end >= 0 else len(self.html)
+
+
 @cache
 def _edges(tag: str) -> tuple[re.Pattern, re.Pattern]:
     """An end tag, and a start tag that keeps a branch from being passed over."""
     return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I), re.compile(rf"<(?:{re.escape(tag)}|article|main)(?=[\s/>])", re.I)
 
 
-def _past(html: str, tag: str, at: int) -> int | None:
-    """Where the branch opened at ``at`` ends, if it plainly does."""
-    close, opens = _edges(tag)
-    m = close.search(html, at)
-    if not m or opens.search(html, at, m.start()):
-        return None
-    end = html.find(">", m.start())
-    return end + 1 if end >= 0 else len(html)
+#: How an element is noise: by its tag, role or state, or by its name alone, or by a name that text may still stand under.
+BY_TAG, BY_NAME, SOFT = 1, 2, 3
 
 
-def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node]]:
-    """The blocks of a page in order, and its elements.
+def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node], list[tuple[int, int, bool]]]:
+    """The blocks of a page in order, its elements as they close, and each element's path, parent's number and whether it is in main text.
 
     Branches that say they are no main text are passed over where their end
     is plain, unless the ``whole`` page is asked for.
 
     A small forgiving reader: unclosed paragraphs, list items and cells end
     where HTML ends them; an end tag closes up to its own start tag, or
-    nothing if there is none.
+    nothing if there is none.  Time and memory grow with the page, however
+    deep its elements stand.
     """
-    # an open element: tag, path hash, in noise, in main, hash of its child tags, hash of its text, ambiguous name
-    root = ["", 0, False, False, 7, None, False]
+    # an open element: tag, number, noise, in main, hash of its child tags, hash of its text, ambiguous name
+    root = ["", -1, 0, False, 7, None, False]
     stack = [root]
+    open_tags: dict[str, int] = {}
+    elements: list[tuple[int, int, bool]] = []
     blocks: list[Block] = []
     nodes: list[Node] = []
     held: list[str] = []
+    ends_of = _Ends(html)
+
+    def said(element: list, content: int) -> None:
+        element[5] = ((element[5] or 0) * 1000003 + content) & 0x7FFFFFFFFFFFFFFF
 
     def flush() -> None:
         if held:
@@ -139,16 +174,18 @@ def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node]]:
             held.clear()
             if text:
                 top = stack[-1]
-                block = Block(text, tuple(e[1] for e in stack[1:]), top[2], top[3], sum(not e[3] for e in stack[1:]))
-                blocks.append(block)
-                for e in stack[1:]:
-                    e[5] = ((e[5] or 0) * 1000003 + block.content) & 0x7FFFFFFFFFFFFFFF
+                blocks.append(Block(text, top[1], top[2], top[3]))
+                said(top, blocks[-1].content)
 
     def close(at: int) -> None:
         if any(e[0] in _BLOCK for e in stack[at:]):
             flush()
-        nodes.extend(Node(e[1], e[4], e[5], e[6]) for e in stack[at:])
-        del stack[at:]
+        while len(stack) > at:
+            e = stack.pop()
+            open_tags[e[0]] -= 1
+            nodes.append(Node(elements[e[1]][0], e[4], e[5], e[6]))
+            if e[5] is not None:
+                said(stack[-1], e[5])
 
     at, end = 0, len(html)
     while at < end:
@@ -164,23 +201,18 @@ def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node]]:
         named = _NAME.match(token)
         tag = named[1].lower()
         if token[1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if open_tags.get(tag):
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag in _RAW:
             if not token.endswith("/>"):
-                stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
-                if not stop:
-                    at = end
-                else:
-                    past = html.find(">", stop.start())
-                    at = past + 1 if past >= 0 else end
+                past = ends_of.raw(tag, at)
+                at = end if past is None else past
             continue
         if tag in _BLOCK:
             flush()
-        for ends in (_CLOSES.get(tag, ()),):
+        ends = _CLOSES.get(tag, ())
+        if any(open_tags.get(e) for e in ends):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in ends:
                     close(i)
@@ -201,7 +233,7 @@ def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node]]:
                     role = v.lower()
                 elif a == "hidden" or (a == "aria-hidden" and v.lower() == "true") or (a == "style" and re.search(r"display\s*:\s*none", v, re.I)):
                     hidden = True
-        path = xxhash.xxh3_64_intdigest(f"{above[1]}>{tag}{' '.join(sorted(names.split()))}") - 2**63
+        path = xxhash.xxh3_64_intdigest(f"{elements[above[1]][0] if above[1] >= 0 else 0}>{tag}{' '.join(sorted(names.split()))}") - 2**63
         above[4] = (above[4] * 1000003 + hash_of(tag)) & 0x7FFFFFFFFFFFFFFF
         if tag in _VOID:
             continue
@@ -209,18 +241,23 @@ def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node]]:
         own = tag in ("article", "main")
         main = above[3] or own or role in ("main", "article")
         named_noise = bool(names) and not own and not (above[3] and "header" in names.lower()) and bool(_NOISE_NAME.search(names))
-        noise = not body and (above[2] or hidden or tag in _NOISE_TAG or (tag == "header" and not above[3]) or role in _NOISE_ROLE or named_noise)
+        by_name = (SOFT if _SOFT_NAME.search(names) else BY_NAME) if named_noise else 0
+        by_tag = BY_TAG if hidden or tag in _NOISE_TAG or (tag == "header" and not above[3]) or role in _NOISE_ROLE else 0
+        noise = 0 if body else above[2] if above[2] in (BY_TAG, BY_NAME) else by_tag or (by_name if by_name == BY_NAME else above[2] or by_name)
         if own and not above[3]:
-            noise = tag == "article" and (above[2] or bool(names and _NO_ARTICLE.search(names)))
-        if noise and not whole and (past := _past(html, tag, at)) is not None:
+            noise = (above[2] or (BY_NAME if names and _NO_ARTICLE.search(names) else 0)) if tag == "article" else 0
+        if noise and not whole and (past := ends_of.past(tag, at)) is not None:
             at = past
             continue
-        stack.append([tag, path, noise, main, 7, None, bool(names) and not own and not body and bool(_UNSURE_NAME.search(names))])
+        elements.append((path, above[1], main))
+        stack.append([tag, len(elements) - 1, noise, main, 7, None, bool(names) and not own and not body and bool(_UNSURE_NAME.search(names))])
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         if token.endswith("/>") and tag not in _BLOCK:
             stack.pop()
+            open_tags[tag] -= 1
     flush()
     close(1)
-    return blocks, nodes
+    return blocks, nodes, elements
 
 
 def hash_of(tag: str) -> int:
@@ -246,7 +283,7 @@ def features(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for own, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks, nodes = read_page(html or "", whole=True)
+                blocks, nodes, elements = read_page(html or "", whole=True)
                 seen = set()
                 for n in nodes:
                     seen.add((own, n.path, HAS, 0, n.unsure))
@@ -254,8 +291,8 @@ def features(pages: DataFrame) -> DataFrame:
                     if n.content is not None:
                         seen.add((own, n.path, CONTENT, n.content, False))
                 for b in blocks:
-                    if b.paths and not b.noise:
-                        seen.add((own, b.paths[-1], BLOCK, b.content, False))
+                    if b.element >= 0 and not b.noise:
+                        seen.add((own, elements[b.element][0], BLOCK, b.content, False))
                 for x in seen:
                     held[x] = held.get(x, 0) + 1
                 if len(held) > 200_000:
@@ -297,18 +334,29 @@ def importance(found: DataFrame) -> DataFrame:
 
 def main_text(html: str | None, low: set[int] | frozenset[int], blocks_low: set[tuple[int, int]] | frozenset[tuple[int, int]] = frozenset()) -> str:
     """The kept blocks of a page; ``low`` and ``blocks_low``: its site's paths, and its blocks by path, of low importance."""
-    blocks, _ = read_page(html or "")
+    blocks, _, elements = read_page(html or "")
     size = lambda found: sum(len(b.text) for b in found)
+    # for each element: whether it or one above it is low; in main text, whether the outermost main element is, and one inside that
+    judged: list[tuple[bool, bool]] = []
+    for path, parent, main in elements:
+        above, inner = judged[parent] if parent >= 0 else (False, False)
+        if not main:
+            judged.append((above or path in low, False))
+        elif parent < 0 or not elements[parent][2]:
+            judged.append((path in low, False))
+        else:
+            judged.append((above, inner or path in low))
 
     def stays(b: Block) -> bool:
-        if not b.main:
-            return not low.intersection(b.paths)
-        own, *inner = b.paths[b.inside :] or (0,)
-        return own in low or not low.intersection(inner)
+        whole, inner = judged[b.element] if b.element >= 0 else (False, False)
+        return (whole or not inner) if b.main else not whole
 
     able = [b for b in blocks if not b.noise]
+    if not able:  # text under a soft name is better than none
+        again, _, _ = read_page(html or "", whole=True)
+        return "\n".join(b.text for b in again if b.noise == SOFT)
     left = [b for b in able if stays(b)] or able
-    fresh = [b for b in left if (b.paths[-1] if b.paths else 0, b.content) not in blocks_low]
+    fresh = [b for b in left if (elements[b.element][0] if b.element >= 0 else 0, b.content) not in blocks_low]
     main = [b for b in left if b.main]
     if main and 2 * size(main) >= size([b for b in fresh if not b.main]) + size(main):
         left, fresh = main, [b for b in fresh if b.main]

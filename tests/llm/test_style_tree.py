@@ -140,3 +140,21 @@ def test_importance_equals_brute_force(spark, seed):
 
 def test_empty(spark):
     assert st.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_article_text_is_not_lost_by_its_names():
+    say = lambda html: st.main_text(html, frozenset())
+    assert say("<article><div class='menu-of-the-day'><p>Soup and bread are served.</p></div><div class='promotion-law'><p>Body of law.</p></div></article>") == "Soup and bread are served.\nBody of law."
+    assert say("<article><p>Euler: <math><mi>e</mi></math> holds.</p><xmp>as it is</xmp></article>") == "Euler: e holds.\nas it is"
+    assert say("<div class='social'><p>Neighbours met.</p></div><div class='share'><p>They shared bread.</p></div>") == "Neighbours met.\nThey shared bread."
+    assert say("<div class='nav'><a>Home</a></div><div class='site-menu-links'><a>More</a></div>") == ""
+    assert say("<div class='side-menu_list'>Home</div><p>Text.</p><div class='ad-slot-2'>Buy</div>") == "Text."
+
+
+def test_deep_unclosed_pages_take_linear_time():
+    import time
+
+    for html in ("<div>a" * 170_000, '<div class="nav">x<div>' * 45_000, "<button>x" * 110_000, "<b>x</i>" * 120_000, "<p><span>x<li>" * 70_000):
+        began = time.time()
+        st.main_text(html, frozenset({1}))
+        assert time.time() - began < 30, html[:20]

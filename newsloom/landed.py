@@ -117,7 +117,45 @@ def _label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query(None)
+_GREEDY = """
+WITH RECURSIVE v AS (SELECT CAST(label AS VARCHAR) AS run_id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (
+  SELECT run_id, list(vec_id ORDER BY vec_id) AS pending, -1 AS idx, CAST([] AS BIGINT[]) AS members FROM v GROUP BY run_id
+  UNION ALL
+  SELECT run_id, list_filter(pending, lambda x: NOT list_contains(m, x)), idx + 1, m FROM (
+    SELECT g.run_id, g.pending, g.idx, list_concat([g.pending[1]], coalesce((SELECT list(b.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id)[1:39] FROM v a JOIN v b ON b.run_id = a.run_id WHERE a.run_id = g.run_id AND a.vec_id = g.pending[1] AND b.vec_id <> a.vec_id AND list_contains(g.pending, b.vec_id)), [])) AS m
+    FROM g WHERE len(g.pending) > 0
+  )
+)
+SELECT run_id, CAST(unnest(members) AS VARCHAR) AS key, idx AS group_index, CAST(unnest(generate_series(0, len(members) - 1)) AS INT) AS position FROM g WHERE idx >= 0
+"""
+
+_MERGED_GROUPS = _GREEDY[: _GREEDY.rindex("SELECT run_id, CAST(unnest")].rstrip() + """, m AS (SELECT run_id, members FROM g WHERE idx >= 0)
+SELECT run_id, 'evt_' || members[1] AS event_id, array_to_string(list_sort(members[1:2]), ',') AS ids FROM m
+UNION ALL SELECT run_id, 'evt_' || x, CAST(x AS VARCHAR) FROM (SELECT run_id, unnest(members[3:]) AS x FROM m)
+"""
+_SEED_MERGES = """
+WITH RECURSIVE v AS (SELECT CAST(label AS VARCHAR) AS run_id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (
+  SELECT run_id, vec_id, row_number() OVER (PARTITION BY run_id ORDER BY round, vec_id) AS pos FROM v, generate_series(1, 2) AS x(round) WHERE vec_id % 7 = 0
+), r AS (
+  SELECT run_id, CAST(0 AS BIGINT) AS pos, list(vec_id) AS alive, CAST([] AS STRUCT(t BIGINT, s BIGINT)[]) AS edges FROM v GROUP BY run_id
+  UNION ALL
+  SELECT run_id, pos + 1, list_filter(alive, lambda x: NOT list_contains(got, x)), list_concat(edges, list_transform(got, lambda x: {'t': seed, 's': x})) FROM (
+    SELECT r.run_id, r.pos, r.alive, r.edges, s.vec_id AS seed, CASE WHEN list_contains(r.alive, s.vec_id) THEN coalesce((
+      SELECT list_filter((list(b.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id))[1:5], lambda x: (x - s.vec_id) % 10 = 0 AND x - s.vec_id >= 10 AND x - s.vec_id <= 120)
+      FROM v a JOIN v b ON b.run_id = a.run_id WHERE a.run_id = r.run_id AND a.vec_id = s.vec_id AND b.vec_id <> a.vec_id AND list_contains(r.alive, b.vec_id)), []) ELSE [] END AS got
+    FROM r JOIN s ON s.run_id = r.run_id AND s.pos = r.pos + 1
+  )
+), e AS (
+  SELECT run_id, unnest(arg_max(edges, pos)) AS x FROM r GROUP BY run_id
+), c AS (
+  SELECT run_id, vec_id, vec_id AS root FROM v UNION ALL SELECT c.run_id, c.vec_id, e.x.t FROM c JOIN e ON e.run_id = c.run_id AND e.x.s = c.root
+)
+SELECT run_id, 'evt_' || root AS event_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids FROM c WHERE (run_id, root) NOT IN (SELECT (run_id, x.s) FROM e) GROUP BY run_id, root
+"""
+
+
+@_query(_SEED_MERGES)
 def seed_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EM09, EM10: two rounds in which every seventh event takes, of ids next to its own, those it is offered."""
     events = _label_events(spark, sf_dir)
@@ -128,7 +166,7 @@ def seed_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", "event_id", F.array_join(F.array_sort("source_news_ids").cast("array<string>"), ",").alias("ids"))
 
 
-@_query(None)
+@_query(_MERGED_GROUPS)
 def merge_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EM16, EM02, EM06, EM07: a label's events in greedy groups of 40, of each group the first two merged."""
 
@@ -528,20 +566,6 @@ def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.coalesce("pos", F.lit(-1)).alias("pos"), F.regexp_replace(none("url"), r"\?a=1$", "").alias("url"), none("title").alias("title"), none("published").alias("published"), "status")
 
 
-_GREEDY = """
-WITH RECURSIVE v AS (SELECT CAST(label AS VARCHAR) AS run_id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-g AS (
-  SELECT run_id, list(vec_id ORDER BY vec_id) AS pending, -1 AS idx, CAST([] AS BIGINT[]) AS members FROM v GROUP BY run_id
-  UNION ALL
-  SELECT run_id, list_filter(pending, lambda x: NOT list_contains(m, x)), idx + 1, m FROM (
-    SELECT g.run_id, g.pending, g.idx, list_concat([g.pending[1]], coalesce((SELECT list(b.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id)[1:39] FROM v a JOIN v b ON b.run_id = a.run_id WHERE a.run_id = g.run_id AND a.vec_id = g.pending[1] AND b.vec_id <> a.vec_id AND list_contains(g.pending, b.vec_id)), [])) AS m
-    FROM g WHERE len(g.pending) > 0
-  )
-)
-SELECT run_id, CAST(unnest(members) AS VARCHAR) AS key, idx AS group_index, CAST(unnest(generate_series(0, len(members) - 1)) AS INT) AS position FROM g WHERE idx >= 0
-"""
-
-
 def _label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("run_id"), F.col("vec_id").alias("ordinal"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
 

@@ -355,3 +355,41 @@ def checkpoint_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feeds.read_checkpoints(spark, at, "run_id string, step_id string, n long, started_at string, finished_at string", "*.txt")
     folder = F.concat_ws("/", F.regexp_extract("path", "/run=([^/]+)/", 1), F.regexp_extract("path", "/step=([^/]+)/", 1))
     return rows.select("run_id", "step_id", "n", F.substring("finished_at", 1, 19).alias("finished"), folder.alias("folder"))
+
+
+@_query(f"""{_ALL}, sel AS (
+  SELECT v.*, report_section FROM chosen JOIN v USING (report_date, doc_id) WHERE report_section <> 'watchlist'
+), p AS (
+  SELECT report_date, string_agg(report_section, ',' ORDER BY final_score DESC, importance_score DESC, source_score DESC, doc_id) AS sections, md5(string_agg(title || '|' || one_sentence || '|' || why_important || '|' || kind || '|' || array_to_string(entities, ','), chr(10) ORDER BY final_score DESC, importance_score DESC, source_score DESC, doc_id)) AS selected FROM sel GROUP BY report_date
+), t AS (
+  SELECT report_date, count(*) AS titles, md5(string_agg(title, chr(10) ORDER BY final_score DESC, importance_score DESC, source_score DESC, doc_id)) AS all_titles FROM v WHERE verify_status <> 'needs_review' GROUP BY report_date
+)
+SELECT CAST(report_date AS VARCHAR) AS report_date, sections, selected, titles, all_titles FROM p JOIN t USING (report_date)
+""")
+def trend_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM12: what each day's trend request says, read back from its JSON."""
+    said = F.from_json("request", "selected_events array<struct<section:string,title:string,brief:string,why_important:string,type:string,entities:array<string>>>, all_titles array<string>")
+    rows = evidence.trend_requests(report.assigned(spark, sf_dir)).withColumn("said", said)
+    one = lambda e: F.concat_ws("|", e["title"], e["brief"], e["why_important"], e["type"], F.array_join(e["entities"], ","))
+    return rows.select(
+        F.col("report_date").cast("string").alias("report_date"), F.array_join(F.transform("said.selected_events", lambda e: e["section"]), ",").alias("sections"), F.md5(F.array_join(F.transform("said.selected_events", one), "\n").cast("binary")).alias("selected"),
+        F.size("said.all_titles").cast("long").alias("titles"), F.md5(F.array_join("said.all_titles", "\n").cast("binary")).alias("all_titles"),
+    )
+
+
+@_query(f"""{_ALL}, st AS (
+  SELECT event_id, array_to_string((list(title ORDER BY doc_id))[1:6], '|') AS source_titles FROM items GROUP BY event_id
+)
+SELECT CAST(v.report_date AS VARCHAR) AS report_date, v.event_id, md5(v.title || '|' || one_sentence || '|' || why_important) AS texts, kind AS event_type, report_section, verify_status AS status, array_to_string(entities[1:8], ',') AS entities, array_to_string(platforms[1:8], ',') AS platforms, md5(source_titles) AS source_titles
+FROM chosen JOIN v USING (report_date, doc_id) JOIN st USING (event_id)
+""")
+def polish_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM11: what each selected event's polish request says, read back from its JSON."""
+    rows = report.assigned(spark, sf_dir)
+    items = evidence.select_sources(rows.where("should_include_report")).withColumns({"text": F.lit(""), "fetched": F.lit(False)})
+    kind = "current_title string, current_brief string, current_why_important string, event_type string, report_section string, verify_status_for_internal_use_only string, entities array<string>, platforms array<string>, source_titles array<string>"
+    said = evidence.polish_requests(rows, items).withColumn("s", F.from_json("request", kind))
+    return said.select(
+        F.col("report_date").cast("string").alias("report_date"), "event_id", F.md5(F.concat_ws("|", "s.current_title", "s.current_brief", "s.current_why_important").cast("binary")).alias("texts"), "s.event_type", "s.report_section", F.col("s.verify_status_for_internal_use_only").alias("status"),
+        F.array_join("s.entities", ",").alias("entities"), F.array_join("s.platforms", ",").alias("platforms"), F.md5(F.array_join("s.source_titles", "|").cast("binary")).alias("source_titles"),
+    )

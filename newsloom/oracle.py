@@ -116,6 +116,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ev) AS
 SELECT query_id, CAST(rank AS INT) AS rank, CAST(ev AS VARCHAR) AS event_id, round(s, 6) AS similarity FROM r WHERE rank <= 5
 """
 
+UNDATED = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, e.vec_id AS ev, list_cosine_similarity(q.v, e.v) AS s FROM v q JOIN v e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ev) AS rank FROM p)
+SELECT query_id, CAST(rank AS INT) AS rank, CAST(ev AS VARCHAR) AS event_id, round(s, 6) AS similarity FROM r WHERE rank <= 5
+"""
+
 DEDUPE = f"""
 WITH {VIEW}, e AS (SELECT report_date, doc_id, length(text) AS n, lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS main_entity FROM items),
 f AS (SELECT *, row_number() OVER (PARTITION BY report_date, main_entity ORDER BY n DESC, doc_id) AS nth FROM e),
@@ -314,7 +321,7 @@ SELECT page_id, CASE WHEN {_any("lower(coalesce(html, ''))", list(rules.PAGE_MAR
 def sql() -> dict[str, str]:
     """SQL by query name; the others are tested against small models instead."""
     return {
-        "flagship": _flagship(), "text_rules": _text(), "token_rules": TOKENS, "url_rules": URLS, "date_forms": DATES, "source_caps": CAPS, "item_fold": FOLD, "first_claims": CLAIMS, "omitted_items": OMITTED, "similarity_recall": RECALL, "entity_dedupe": DEDUPE, "topic_counts": TOPICS,
+        "flagship": _flagship(), "text_rules": _text(), "token_rules": TOKENS, "url_rules": URLS, "date_forms": DATES, "source_caps": CAPS, "item_fold": FOLD, "first_claims": CLAIMS, "omitted_items": OMITTED, "similarity_recall": RECALL, "undated_recall": UNDATED, "entity_dedupe": DEDUPE, "topic_counts": TOPICS,
         "cache_lookup": CACHE, "group_summary": GROUPS, "run_states": RUNS, "dependency_blocks": BLOCKS, "task_relatives": RELATIVES, "attempt_history": ATTEMPTS, "keyword_lookup": LOOKUP, "merged_sources": SOURCES, "stream_counts": STREAM, "source_scores": _source_scores(),
         "extracted_events": EXTRACTED, "extraction_discards": DISCARDS, "item_decisions": DECISIONS, "task_flags": FLAGS, "scrape_outcomes": SCRAPES, "readable_pages": READABLE, "merge_fold": MERGED, "page_status": PAGE_STATUS,
     }

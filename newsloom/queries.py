@@ -110,6 +110,14 @@ def similarity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.recall(queries, events).select("query_id", F.col("rank").cast("int").alias("rank"), "event_id", F.round("similarity", 6).alias("similarity"))
 
 
+def undated_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN03, SO02: the 5 nearest of all vectors without a time, for every 20th one, by pivot cells of 200 events."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.lit(None).cast("timestamp").alias("at"), F.col("embedding").alias("vector"))
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "at", "vector", F.col("vec_id").cast("string").alias("exclude_id"))
+    events = rows.select(F.col("vec_id").cast("string").alias("event_id"), "at", "vector", F.col("vec_id").alias("ordinal"))
+    return vectors.nearest_anytime(queries, events, 5, 200).select("query_id", F.col("rank").cast("int").alias("rank"), "event_id", F.round("similarity", 6).alias("similarity"))
+
+
 def greedy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EM01, EM02: greedy groups of 40 within label and coarse bucket."""
     rows = _table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("run_id"), vectors.coarse_bucket(F.col("embedding"), 4).alias("bucket"), F.col("vec_id").alias("ordinal"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
@@ -321,7 +329,7 @@ def trend_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    flagship, text_rules, token_rules, url_rules, date_forms, source_caps, item_fold, first_claims, omitted_items, similarity_recall, greedy_groups, entity_dedupe, section_table, evidence_table, daily_documents, debug_documents, topic_counts, page_status, readable_pages, cache_lookup,
+    flagship, text_rules, token_rules, url_rules, date_forms, source_caps, item_fold, first_claims, omitted_items, similarity_recall, undated_recall, greedy_groups, entity_dedupe, section_table, evidence_table, daily_documents, debug_documents, topic_counts, page_status, readable_pages, cache_lookup,
     group_summary, run_states, dependency_blocks, task_relatives, attempt_history, keyword_lookup, merged_sources, merge_fold, stream_counts, source_scores,
     extracted_events, extraction_discards, item_decisions, task_flags, scrape_outcomes, report_stats, polish_requests, trend_requests,
 )

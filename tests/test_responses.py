@@ -77,3 +77,39 @@ def test_recall_equals_brute_force(spark, monkeypatch, blocks):
     assert {(x.query_id, x["rank"], round(x.similarity, 9)) for x in found} == want
     vector, own = {x[0]: x[2] for x in rows}, {i: x for i, x in enumerate(rows)}
     assert all(round(cosine(own[x.query_id][2], vector[x.event_id]), 9) == round(x.similarity, 9) and x.event_id != own[x.query_id][0] for x in found)
+
+
+def test_pivot_cells_equal_brute_force_and_are_skipped(spark, monkeypatch):
+    g = np.random.default_rng(11)
+    centre = g.normal(size=(6, 8)) * 4
+    rows = [("s", f"e{i % 290}", (centre[i % 6] + g.normal(size=8) * 0.2).tolist(), i) for i in range(300)]
+    # a hot scope beside a small one, repeats, vectors that compare with nothing, other lengths
+    rows += [("s", f"z{i}", v, 300 + i) for i, v in enumerate([None, [], [0.0] * 8, [1.0, 2.0], [None] * 8, [float("nan")] * 8, [1e200] * 8, rows[0][2], rows[0][2]])]
+    rows += [("t", f"t{i}", g.normal(size=3).tolist(), i) for i in range(4)]
+    events = spark.createDataFrame([(s, e, v, n, None) for s, e, v, n in rows], "scope string, event_id string, vector array<double>, ordinal int, at timestamp").repartition(3)
+    queries = spark.createDataFrame([(s, n, v, e, None) for s, e, v, n in rows if n % 5 == 0 or n >= 300], "scope string, query_id int, vector array<double>, exclude_id string, at timestamp")
+
+    def cosine(a, b):
+        a, b = (np.array(x or [], float) for x in (a, b))
+        ok = len(a) == len(b) and len(a) and all(np.isfinite(x @ x) and x @ x > 0 for x in (a, b))
+        return float(a @ b / np.sqrt((a @ a) * (b @ b))) if ok else 0.0
+
+    met = []
+    inner = vectors._nearest
+
+    def counted(q, e, key, k, hours):
+        met.append((q.count(), e.select(*key).distinct().count()))
+        return inner(q, e, key, k, hours)
+
+    monkeypatch.setattr(vectors, "_nearest", counted)
+    found = {}
+    for x in vectors.nearest_anytime(queries, events, 4, 40).collect():
+        found.setdefault((x.scope, x.query_id), []).append((x["rank"], round(x.similarity, 9)))
+    want = {}
+    for s, e, v, n in rows:
+        if n % 5 == 0 or n >= 300:
+            best = sorted((-round(cosine(v, w), 9), o) for t, f, w, o in rows if t == s and f != e)[:4]
+            want[s, n] = [(i + 1, -x) for i, (x, _) in enumerate(best)]
+    assert {x: sorted(y) for x, y in found.items()} == want
+    (first, cells), (rest, _) = met
+    assert cells > 8 and first + rest < 0.5 * first * cells  # clusters: most cells are skipped

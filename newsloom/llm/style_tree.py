@@ -2,29 +2,32 @@
 
 The DOMs of a host's pages are merged whole by path (tag and class names from
 the body down, at any depth, menus and articles alike).  Each path is a node of
-the site's tree with the pages that have it, its presentations (sequences of
-child tags) and its contents (the text below an element).  With m pages, a
-content found on k of them has importance 1 - log k / log m; a node's
-importance is ``GAMMA`` times the mean over its distinct contents plus
-``1 - GAMMA`` times the entropy of its presentations.  What recurs from page
-to page and never varies in look is template.
+the site's tree with the pages on which it holds text, its presentations
+(sequences of child tags) and its contents, which are its runs of text: each is
+a feature of its own, so a list that differs in an entry from page to page is
+still template.  With m pages, a run found on k of them has importance
+1 - log k / log m; a node's importance is ``GAMMA`` times the mean over its
+runs, each as often as pages show it, plus ``1 - GAMMA`` times the entropy of
+its presentations.  What recurs from page to page and never varies in look is
+template.  An inner node has no importance but its nodes': it leaves when all
+that stand below it leave.
 
 Few pages say little, so importance is shrunk towards a prior as if ``PRIOR_PAGES``
-more pages had shown it: 0.5 for plain branches, 0.1 for branches whose names
-are ambiguous (``review``, ``banner``, ``widget`` and the like).  Branches with
+more pages had shown it: 0.5 for plain branches, 0.1 below names that are
+ambiguous (``review``, ``banner``, ``widget`` and the like).  Nodes with
 shrunk importance below ``THRESHOLD`` leave, at every size of host by the same
 formula; a host of one page keeps them.  Branches that say they are what is
 never main text (nav, footer, aside, form, advert, notice, comments; a header
 outside the article) have no importance whatever their content, because lists
 of links, adverts and comments differ from page to page as articles do.
 
-* Inside an article or main element the element's own importance is left out,
-  and if it is low too, all stays: pages of one host may share an article.
+* If all of an article or main element is of low importance, all of it stays:
+  pages of one host may share an article.
 * Articles or mains are taken for the whole of the content if they hold half
   of the text that is left at least; beside a shorter one (a teaser) all
   branches stand on their importance.
 * Blocks are content nodes of their own: a block repeated on most of the pages
-  that have its path (shrunk importance below ``BLOCK_THRESHOLD``) leaves,
+  that have its node (shrunk importance below ``BLOCK_THRESHOLD``) leaves,
   unless that would take over half of the page's text, for then these pages
   are copies of one another.
 * If nothing would be left, all branches that may be main text stay.
@@ -93,15 +96,6 @@ class Block:
         self.content = xxhash.xxh3_64_intdigest(text.lower()) - 2**63
 
 
-class Node:
-    """An element once it is closed: how it looks, what it says, and whether its name is ambiguous."""
-
-    __slots__ = ("content", "look", "path", "unsure")
-
-    def __init__(self, path: int, look: int, content: int | None, unsure: bool):
-        self.path, self.look, self.content, self.unsure = path, look, content, unsure
-
-
 class _Ends:
     """Where branches end, from one search of the page for each tag."""
 
@@ -144,8 +138,8 @@ def _edges(tag: str) -> tuple[re.Pattern, re.Pattern]:
 BY_TAG, BY_NAME, SOFT = 1, 2, 3
 
 
-def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node], list[tuple[int, int, bool]]]:
-    """The blocks of a page in order, its elements as they close, and each element's path, parent's number and whether it is in main text.
+def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[tuple[int, bool]], list[tuple[int, int, bool]]]:
+    """The blocks of a page in order; of each element how it looks and whether its name is ambiguous; and its path, parent's number and whether it is in main text.
 
     Branches that say they are no main text are passed over where their end
     is plain, unless the ``whole`` page is asked for.
@@ -155,19 +149,16 @@ def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node],
     nothing if there is none.  Time and memory grow with the page, however
     deep its elements stand.
     """
-    # an open element: tag, number, noise, in main, hash of its child tags, hash of its text, ambiguous name
-    root = ["", -1, 0, False, 7, None, False]
+    # an open element: tag, number, noise, in main, hash of its child tags, ambiguous name
+    root = ["", -1, 0, False, 7, False]
     stack = [root]
     open_tags: dict[str, int] = {}
     elements: list[tuple[int, int, bool]] = []
     blocks: list[Block] = []
-    nodes: list[Node] = []
+    nodes: list[tuple[int, bool]] = []
     held: list[str] = []
     ends_of = _Ends(html)
 
-    def said(element: list, content: int) -> None:
-        element[5] = ((element[5] or 0) * 1000003 + content) & 0x7FFFFFFFFFFFFFFF
-
     def flush() -> None:
         if held:
             text = " ".join(unescape("".join(held)).split())
@@ -175,7 +166,6 @@ def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node],
             if text:
                 top = stack[-1]
                 blocks.append(Block(text, top[1], top[2], top[3]))
-                said(top, blocks[-1].content)
 
     def close(at: int) -> None:
         if any(e[0] in _BLOCK for e in stack[at:]):
@@ -183,9 +173,7 @@ def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node],
         while len(stack) > at:
             e = stack.pop()
             open_tags[e[0]] -= 1
-            nodes.append(Node(elements[e[1]][0], e[4], e[5], e[6]))
-            if e[5] is not None:
-                said(stack[-1], e[5])
+            nodes[e[1]] = e[4], e[5]
 
     at, end = 0, len(html)
     while at < end:
@@ -250,7 +238,9 @@ def read_page(html: str, whole: bool = False) -> tuple[list[Block], list[Node],
             at = past
             continue
         elements.append((path, above[1], main))
-        stack.append([tag, len(elements) - 1, noise, main, 7, None, bool(names) and not own and not body and bool(_UNSURE_NAME.search(names))])
+        unsure = not own and not body and (above[5] or (bool(names) and bool(_UNSURE_NAME.search(names))))
+        nodes.append((7, unsure))
+        stack.append([tag, len(elements) - 1, noise, main, 7, unsure])
         open_tags[tag] = open_tags.get(tag, 0) + 1
         if token.endswith("/>") and tag not in _BLOCK:
             stack.pop()
@@ -265,11 +255,11 @@ def hash_of(tag: str) -> int:
 
 
 #: What a row of features counts pages of.
-HAS, LOOK, CONTENT, BLOCK = range(4)
+HAS, LOOK, BLOCK = range(3)
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """host (hash), path, kind, feature, pages, unsure: pages of the host by node, presentation, content and block."""
+    """host (hash), path, kind, feature, pages, unsure: pages of the host by node with text, presentation and run of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int, int, int, bool], int] = {}
@@ -283,16 +273,14 @@ def features(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for own, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks, nodes, elements = read_page(html or "", whole=True)
+                blocks, nodes, elements = read_page(html or "")
                 seen = set()
-                for n in nodes:
-                    seen.add((own, n.path, HAS, 0, n.unsure))
-                    seen.add((own, n.path, LOOK, n.look, False))
-                    if n.content is not None:
-                        seen.add((own, n.path, CONTENT, n.content, False))
                 for b in blocks:
                     if b.element >= 0 and not b.noise:
-                        seen.add((own, elements[b.element][0], BLOCK, b.content, False))
+                        path, (look, unsure) = elements[b.element][0], nodes[b.element]
+                        seen.add((own, path, HAS, 0, unsure))
+                        seen.add((own, path, LOOK, look, False))
+                        seen.add((own, path, BLOCK, b.content, False))
                 for x in seen:
                     held[x] = held.get(x, 0) + 1
                 if len(held) > 200_000:
@@ -319,11 +307,11 @@ def importance(found: DataFrame) -> DataFrame:
     of_kind = lambda k, x: F.sum(F.when(kind == k, x).otherwise(0.0))
     nodes = found.groupBy("host", "path").agg(
         F.max(F.when(kind == HAS, F.col("pages"))).alias("m"), F.bool_or(F.when(kind == HAS, F.col("unsure"))).alias("named"),
-        of_kind(CONTENT, F.lit(1.0)).alias("contents"), of_kind(CONTENT, F.log(n)).alias("content_logs"), of_kind(LOOK, n).alias("looks"), of_kind(LOOK, n * F.log(n)).alias("look_logs"),
+        of_kind(BLOCK, n).alias("runs"), of_kind(BLOCK, n * F.log(n)).alias("run_logs"), of_kind(LOOK, n).alias("looks"), of_kind(LOOK, n * F.log(n)).alias("look_logs"),
     )
     m = F.col("m").cast("double")
     base = F.log(F.greatest(m, F.lit(2.0)))
-    content = F.when(F.col("contents") > 0, 1 - F.col("content_logs") / (F.col("contents") * base)).otherwise(1.0)
+    content = 1 - F.col("run_logs") / (F.col("runs") * base)
     look = F.least((F.col("looks") * F.log(m) - F.col("look_logs")) / (m * base), F.lit(1.0))
     of_node = nodes.select("host", "path", F.lit(None).cast("long").alias("block"), "m", "named", (GAMMA * content + (1 - GAMMA) * look).alias("importance"))
     least = PLAIN * PRIOR_PAGES / BLOCK_THRESHOLD - PRIOR_PAGES
@@ -336,20 +324,15 @@ def main_text(html: str | None, low: set[int] | frozenset[int], blocks_low: set[
     """The kept blocks of a page; ``low`` and ``blocks_low``: its site's paths, and its blocks by path, of low importance."""
     blocks, _, elements = read_page(html or "")
     size = lambda found: sum(len(b.text) for b in found)
-    # for each element: whether it or one above it is low; in main text, whether the outermost main element is, and one inside that
-    judged: list[tuple[bool, bool]] = []
-    for path, parent, main in elements:
-        above, inner = judged[parent] if parent >= 0 else (False, False)
-        if not main:
-            judged.append((above or path in low, False))
-        elif parent < 0 or not elements[parent][2]:
-            judged.append((path in low, False))
-        else:
-            judged.append((above, inner or path in low))
+    # the outermost main element of each, or -1
+    outer: list[int] = []
+    for i, (_, parent, main) in enumerate(elements):
+        outer.append((outer[parent] if parent >= 0 and outer[parent] >= 0 else i) if main else -1)
+    fine = [path not in low for path, _, _ in elements]
+    told = {outer[b.element] for b in blocks if b.main and not b.noise and fine[b.element]}
 
     def stays(b: Block) -> bool:
-        whole, inner = judged[b.element] if b.element >= 0 else (False, False)
-        return (whole or not inner) if b.main else not whole
+        return b.element < 0 or fine[b.element] or (b.main and outer[b.element] not in told)
 
     able = [b for b in blocks if not b.noise]
     if not able:  # text under a soft name is better than none

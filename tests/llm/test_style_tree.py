@@ -86,23 +86,18 @@ def test_deep_templates_and_long_pages(spark):
 
 
 def brute(pages):
-    """Importance of every path by the formula, from trees of (tag, children or text)."""
-    looks, contents, having = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), defaultdict(set)
+    """Importance of every path with text by the formula, from trees of (tag, children or text)."""
+    runs, having = defaultdict(lambda: defaultdict(set)), defaultdict(set)
 
     def walk(i, tree, path):
         tag, below = tree
         path = (*path, tag)
-        having[path].add(i)
         if isinstance(below, str):
-            said = [below]
-            look = ()
+            having[path].add(i)
+            runs[path][below].add(i)
         else:
-            said = [x for c in below for x in walk(i, c, path)]
-            look = tuple(c[0] for c in below)
-        looks[path][look].add(i)
-        if said:
-            contents[path][tuple(said)].add(i)
-        return said
+            for c in below:
+                walk(i, c, path)
 
     for i, tree in enumerate(pages):
         walk(i, tree, ())
@@ -110,10 +105,8 @@ def brute(pages):
     for path, has in having.items():
         m = len(has)
         base = math.log(max(m, 2))
-        alone = [1 - math.log(len(x)) / base for x in contents[path].values()]
-        content = sum(alone) / len(alone) if alone else 1.0
-        look = min(1.0, sum(-len(x) / m * math.log(len(x) / m) / base for x in looks[path].values()))
-        i = 0.9 * content + 0.1 * look
+        shown = [len(x) for x in runs[path].values()]
+        i = 0.9 * sum(k * (1 - math.log(k) / base) for k in shown) / sum(shown)
         out[path] = (m, round(i, 9), round((2 + m * i) / (4 + m), 9))
     return out
 
@@ -158,3 +151,19 @@ def test_deep_unclosed_pages_take_linear_time():
         began = time.time()
         st.main_text(html, frozenset({1}))
         assert time.time() - began < 30, html[:20]
+
+
+def test_lists_that_vary_a_little_are_template_without_names(spark):
+    """Menus that mark the current entry and links that differ in one leave by the tree alone; a listing of new entries stays."""
+    menu = "".join(f"<li><a>Section {j}</a></li>" for j in range(8))
+    page = "<body><div><ul>%s<li><b>You read page %d</b></li></ul></div><div><h1>Title %d</h1><p>text number %d of this page</p><table><tr><td>cell %d</td></tr></table></div><div><span>Imprint</span></div></body>"
+    rows = [(i, "http://plain.org/", page % (menu, i, i, i, i)) for i in range(40)]
+    rows += [(100 + i, "http://list.org/", f"<body><ul><li>entry {i}</li><li>entry {i}-b</li></ul></body>") for i in range(40)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"Title {i}\ntext number {i} of this page\ncell {i}" for i in range(40))
+    assert all(got[100 + i] == f"entry {i}\nentry {i}-b" for i in range(40))
+
+
+def test_ambiguous_names_reach_what_stands_below_them(spark):
+    page = "<body><div class='widget'><div><p>same on both</p></div></div><p>text %d</p></body>"
+    assert extracted(spark, [(i, "http://two.org/", page % i) for i in range(2)]) == {0: "text 0", 1: "text 1"}

@@ -16,6 +16,9 @@ from newsloom.sources.workdir import written
 
 RESPONSE = "events array<struct<event_label:string,event_summary:string,event_type:string,key_entities:array<string>,confidence:string,source_news_ids:array<string>,member_reasons:map<string,string>>>, suspects array<struct<index:string,reason:string,relevance_score:string>>, discards array<struct<index:string,reason:string,relevance_score:string>>"
 
+#: Why an item that no part of a response names is discarded.
+OMITTED = "LLM omitted item from clustered extraction response"
+
 
 def claims(responses: DataFrame) -> DataFrame:
     """One row for each item id that an event of a response names, in response order."""
@@ -52,8 +55,11 @@ def not_assigned(responses: DataFrame, items: DataFrame) -> DataFrame:
 
 def omitted(items: DataFrame, first: DataFrame, named: DataFrame) -> DataFrame:
     """JN06: items that no part of a response names."""
-    rest = items.join(first.select("run_id", "item_index").unionByName(named.select("run_id", "item_index")), ["run_id", "item_index"], "left_anti")
-    return rest.select("run_id", "item_index", "title", "platform", F.lit("clustered_title_omitted").alias("stage"), F.lit("LLM omitted item from clustered extraction response").alias("reason"), F.lit(None).cast("int").alias("relevance_score"))
+    rest = items
+    # one after the other: a join on a union whose parts are dealt by the same key can fail (see ``apply_extraction``)
+    for one in (first, named):
+        rest = rest.join(one.select("run_id", "item_index"), ["run_id", "item_index"], "left_anti")
+    return rest.select("run_id", "item_index", "title", "platform", F.lit("clustered_title_omitted").alias("stage"), F.lit(OMITTED).alias("reason"), F.lit(None).cast("int").alias("relevance_score"))
 
 
 def fold_items(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,6 +83,9 @@ def apply_extraction(items: DataFrame, responses: DataFrame) -> tuple[DataFrame,
     """EM05/AG02: (items with decisions, events, discards) of the extraction responses.
 
     ``items``: run_id, item_index, platform, title, url, pubtime, scrape_date.
+    An item that no part of a response names is told by that, not joined from
+    the discards: those are a union whose parts are dealt by the key of the
+    join, which Spark may read as twice the partitions of the other side.
     """
     first = first_claims(claims(responses), items)
     numbers = numbered_events(first)
@@ -93,8 +102,10 @@ def apply_extraction(items: DataFrame, responses: DataFrame) -> tuple[DataFrame,
     discards = named.unionByName(omitted(items, first, named))
     assigned = members.select("run_id", "item_index", "number", F.coalesce(tx.clean(F.try_element_at("e.member_reasons", F.col("item_index").cast("string"))), F.lit("clustered title extraction")).alias("assign_reason"))
     assigned = assigned.join(events.select("run_id", F.col("ordinal").alias("number"), "event_id", "event_label", F.col("confidence").alias("event_confidence"), F.coalesce("event_summary", "event_label").alias("canonical_summary"), F.col("key_entities").alias("entities"), "event_type"), ["run_id", "number"]).drop("number")
-    out = items.join(assigned, ["run_id", "item_index"], "left").join(discards.select("run_id", "item_index", "stage", F.col("reason").alias("stage_reason"), F.col("relevance_score").alias("stage_score")), ["run_id", "item_index"], "left")
+    stages = named.select("run_id", "item_index", "stage", F.col("reason").alias("stage_reason"), F.col("relevance_score").alias("stage_score"))
+    out = items.join(assigned, ["run_id", "item_index"], "left").join(stages, ["run_id", "item_index"], "left")
     has = F.col("assign_reason").isNotNull()
+    out = out.withColumn("stage_reason", F.when(has | F.col("stage").isNotNull(), F.col("stage_reason")).otherwise(OMITTED))
     decision = F.when(has, "assign").when(F.col("stage") == "clustered_title_suspect", "suspect").otherwise("discard")
     out = out.withColumns({"classification_decision": decision, "classification_reason": F.coalesce("assign_reason", "stage_reason"), "is_ai_relevant": F.when(has, True).when(decision == "suspect", F.lit(None)).otherwise(False), "relevance_score": F.when(has, F.coalesce(F.nullif("stage_score", F.lit(0)), F.lit(90))).otherwise(F.col("stage_score"))})
     return out.drop("stage", "stage_reason", "stage_score", "assign_reason"), events, discards

@@ -197,3 +197,16 @@ def test_run_log(spark):
 
 def test_rule_tables():
     assert len(rules.IMPORTANCE) == 17 and len(rules.EXTRACTION_TYPES) == 17 and abs(sum(rules.WEIGHTS.values()) - 1) < 1e-9
+
+
+def test_decisions_without_broadcast_joins(spark):
+    """A join on the discards, a union dealt by the join's key, failed: the other side had half its partitions."""
+    from newsloom import queries
+
+    wanted = sorted(queries.item_decisions(spark, "/root/testdata/sf0.001").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(queries.item_decisions(spark, "/root/testdata/sf0.001").collect()) == wanted
+        assert len(wanted) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.operators import responses, vectors
 
@@ -114,3 +115,39 @@ def test_pivot_cells_equal_brute_force_and_are_skipped(spark, monkeypatch):
     (first, cells), (rest, _) = met
     live = sum(s == "s" and n % 5 == 0 and n < 300 for s, _, _, n in rows)
     assert cells > 8 and first + rest < 0.5 * live * cells  # clusters: most cells are skipped
+
+
+def _random_sides(spark, n, seed=5):
+    g = np.random.default_rng(seed)
+    rows = [("s", f"e{i}", g.normal(size=16).tolist(), i, dt.datetime(2026, 7, 1)) for i in range(n)]
+    events = spark.createDataFrame(rows, "scope string, event_id string, vector array<double>, ordinal int, at timestamp")
+    return events.where("ordinal % 5 = 0").selectExpr("scope", "ordinal AS query_id", "at", "vector", "event_id AS exclude_id"), events
+
+
+def test_cells_of_one_bucket_are_dealt_to_several_tasks(spark, monkeypatch):
+    """All cells of a bucket were one task."""
+    monkeypatch.setattr(vectors, "EVENT_BLOCK", 20)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 10)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        q, e = vectors._sides(*_random_sides(spark, 200))
+        near = vectors._nearest(q, e, ["scope"], 3, 72)
+        assert near.select(F.spark_partition_id()).distinct().count() > 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_queries_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """Where no cell is skipped each query was sent once to every cell."""
+    monkeypatch.setattr(vectors, "COPIES", 4)
+    sent = []
+    inner = vectors._nearest
+    monkeypatch.setattr(vectors, "_nearest", lambda q, e, *rest: sent.append(q.count()) or inner(q, e, *rest))
+    q, e = _random_sides(spark, 200)
+    found = {(x.query_id, x["rank"]): x.event_id for x in vectors.nearest_anytime(q, e, 3, 10).collect()}
+    assert sum(sent) <= 2 * 4 * q.count()
+    rows = {x.ordinal: np.array(x.vector) for x in e.collect()}
+    unit = np.array([rows[i] / np.linalg.norm(rows[i]) for i in range(200)])
+    for i in range(0, 200, 5):
+        near = [j for j in np.argsort(-(unit @ unit[i]), kind="stable") if j != i][:3]
+        assert [found[i, r] for r in (1, 2, 3)] == [f"e{j}" for j in near]

@@ -20,6 +20,9 @@ from newsloom.sources.workdir import written
 NEWS_FIELDS = ["index", "title", "platform", "pubtime", "canonical_summary", "entities", "event_type", "relevance_score"]
 EVENT_FIELDS = ["event_id", "event_label", "event_summary", "event_type", "key_entities", "member_count", "platforms", "latest_pubtime", "first_pubtime", "representative_titles"]
 
+#: How many takeable events a seed's list of nearest ones allows for at first.
+SLACK = 32
+
 
 def reassembled(lines: DataFrame) -> DataFrame:
     """JS02: (request_id, streamed, content) from response lines (request_id, pos, line).
@@ -93,21 +96,48 @@ def apply_membership(items: DataFrame, events: DataFrame, decisions: DataFrame)
     return out.select("run_id", "item_index", "classification_decision", "classification_reason", "event_id", "confidence"), created, lost
 
 
+def _lists(asked: DataFrame, events: DataFrame, named: DataFrame, k: int, hours: int) -> DataFrame:
+    """Ranked lists of each seed's nearest events that hold its offer whatever earlier seeds take.
+
+    An event is taken only by a seed that names it and has it among its ``k``
+    nearest of those left.  Let every named event of a list count as takeable.
+    If each list ends with the last event in reach or holds ``k`` events that
+    are not takeable, then no event beyond a list is ever offered (``k`` nearer
+    ones are always left), so nothing else is ever taken, and a list holds the
+    offer at any time.  Lists that fall short are recalled four times as deep.
+    """
+    queries = asked.select(F.col("run_id").alias("scope"), F.col("event_id").alias("query_id"), "at", "vector", F.col("event_id").alias("exclude_id"))
+    others = events.select(F.col("run_id").alias("scope"), "event_id", "at", "vector", "ordinal")
+    ids = named.select(F.col("run_id").alias("scope"), F.col("seed_id").alias("query_id"), F.explode(tx.clean_list(F.col("merge_event_ids"))).alias("event_id")).distinct()
+    more = SLACK
+
+    def recalled(some: DataFrame) -> DataFrame:
+        return vectors.recall(some, others, k + more, hours).select("scope", "query_id", "event_id", "rank", F.lit(k + more).alias("depth"))
+
+    found = written(recalled(queries), "seed-lists")
+    while True:
+        takeable = found.join(ids, ["scope", "query_id", "event_id"], "left_semi").select("scope", "event_id", F.lit(1).alias("takeable")).distinct()
+        sizes = found.join(takeable, ["scope", "event_id"], "left").groupBy("scope", "query_id").agg(F.count(F.lit(1)).alias("n"), F.count("takeable").alias("taken"), F.max("depth").alias("depth"))
+        short = written(sizes.where((F.col("n") >= F.col("depth")) & (F.col("n") - F.col("taken") < k)).select("scope", "query_id"), "seed-short")
+        if short.isEmpty():
+            return found
+        more *= 4
+        deeper = recalled(queries.join(short, ["scope", "query_id"], "left_semi"))
+        found = written(found.join(short, ["scope", "query_id"], "left_anti").unionByName(deeper), "seed-lists")
+
+
 def seed_round(events: DataFrame, named: DataFrame, k: int, hours: int) -> DataFrame:
     """One round of EM09: merge groups (run_id, batch_index, merge_groups) that the responses give.
 
     ``named``: run_id, seed_id, merge_event_ids.  Seeds come in event order;
     an event that an earlier seed took is no seed and no candidate any more.
-    A seed's offer is its ``k`` nearest of the events left, so the nearest ``k``
-    plus the number of events that responses name are recalled, which holds
-    every offer.  Seeds without a response take nothing and are left out; the
-    others of a run are replayed in one task, an offer of bounded length each.
+    A seed's offer is its ``k`` nearest of the events left, from a list of its
+    nearest that surely holds them (``_lists``).  Seeds without a response take
+    nothing and are left out; the others of a run are replayed in one task, an
+    offer of bounded length each.
     """
-    ids = named.select("run_id", F.explode(tx.clean_list(F.col("merge_event_ids"))).alias("id")).groupBy("run_id").agg(F.countDistinct("id").alias("n"))
-    most = ids.agg(F.max("n")).first()[0] or 0
     asked = events.join(named.select("run_id", F.col("seed_id").alias("event_id")), ["run_id", "event_id"], "left_semi")
-    queries = asked.select(F.col("run_id").alias("scope"), F.col("event_id").alias("query_id"), "at", "vector", F.col("event_id").alias("exclude_id"))
-    found = vectors.recall(queries, events.select(F.col("run_id").alias("scope"), "event_id", "at", "vector", "ordinal"), k + most, hours)
+    found = _lists(asked, events, named, k, hours)
     offers = found.groupBy(F.col("scope").alias("run_id"), F.col("query_id").alias("seed_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id"))), lambda x: x["event_id"]).alias("offer"))
     seeds = asked.select("run_id", F.col("event_id").alias("seed_id"), "ordinal")
     rows = named.select("run_id", "seed_id", tx.clean_list(F.col("merge_event_ids")).alias("ids")).join(offers, ["run_id", "seed_id"]).join(seeds, ["run_id", "seed_id"])

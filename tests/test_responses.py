@@ -151,3 +151,23 @@ def test_queries_are_sent_a_bounded_number_of_times(spark, monkeypatch):
     for i in range(0, 200, 5):
         near = [j for j in np.argsort(-(unit @ unit[i]), kind="stable") if j != i][:3]
         assert [found[i, r] for r in (1, 2, 3)] == [f"e{j}" for j in near]
+
+
+def test_seed_lists_do_not_grow_with_the_named_events(spark, monkeypatch):
+    """Lists were as deep as the run's named events are many; too short ones go deeper."""
+    deep = []
+    inner = vectors.recall
+    monkeypatch.setattr(vectors, "recall", lambda q, e, k, hours: deep.append(k) or inner(q, e, k, hours))
+    monkeypatch.setattr(responses, "SLACK", 6)
+    _, events = _random_sides(spark, 120)
+    events = events.withColumnRenamed("scope", "run_id")
+    v = {x.event_id: np.array(x.vector) for x in events.collect()}
+    ids = [f"e{i}" for i in range(120)]
+    at = dict.fromkeys(ids, dt.datetime(2026, 7, 1))
+    for step in (1, 30):
+
+        said = {i: [ids[(n + d * step) % 120] for d in range(1, 13)] for n, i in enumerate(ids) if n % 3 == 0}
+        named = spark.createDataFrame([("s", i, x) for i, x in said.items()], "run_id string, seed_id string, merge_event_ids array<string>")
+        got = {x.merge_groups[0].target_event_id: list(x.merge_groups[0].source_event_ids) for x in responses.seed_round(events, named, 4, 72).collect()}
+        assert got == model_seed_round(ids, v, at, said, 4, 72)
+    assert deep[0] == 10

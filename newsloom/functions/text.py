@@ -103,6 +103,19 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(found, lambda t: F.length(t) >= 4), F.lower))
 
 
+def leading_words(c: Column) -> Column:
+    """The first two runs of ASCII letters; reads the text no further than their end."""
+    first = F.regexp_extract(c, r"\A[^A-Za-z]*+([A-Za-z]++)", 1)
+    second = F.regexp_extract(c, r"\A[^A-Za-z]*+[A-Za-z]++[^A-Za-z]++([A-Za-z]++)", 1)
+    return F.when(c.isNotNull(), F.filter(F.array(first, second), lambda w: w != ""))
+
+
+def compact_start(c: Column, most: int) -> Column:
+    """The first characters of the text with each run of white space as one blank; reads it no further."""
+    start = F.regexp_extract(c, rf"\A(?:\s++|\S){{0,{most}}}+", 0)
+    return F.substring(F.regexp_replace(start, r"\s+", " "), 1, most)
+
+
 def ensure_sentence(c: Column) -> Column:
     """TX14: with a stop at the end; a fixed sentence for no text."""
     t = strip(text_or_empty(c))

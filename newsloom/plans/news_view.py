@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as tx
+
 #: Platform of each source number, and event type of each id, in turn.
 PLATFORMS = ["openai", "arxiv", "techcrunch-ai", "aibase", "hacker-news", "reddit", "blog-a", "nvidia", "wired", "infoq", "aihot", "blog-b", "huggingface_papers_trending", "reuters", "solidot", "github-trending", "blog-c", "microsoft", "venturebeat", "zhidx"]
 TYPES = ["model_release", "Product Launch", "funding", "research", "benchmark", "policy", "tooling", "rumor", "hardware", "open_source", "legal", "partnership", "", "infrastructure", "company_business", "paper", "unheard_of"]
@@ -39,10 +41,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """report_date, ordinal, event_id and the event's fields, one for each even document."""
     rows = items(spark, sf_dir).where("doc_id % 2 = 0")
-    clean = F.split(F.regexp_replace("text", r"[^A-Za-z ]+", " "), " +")
-    words = F.filter(clean, lambda w: w != "")
     return rows.select(
-        "report_date", F.col("item_index").alias("ordinal"), "event_id", F.col("title").alias("event_label"), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 160).alias("event_summary"), _pick(TYPES, (F.col("doc_id") / 2).cast("int") % len(TYPES)).alias("event_type"),
-        F.slice(words, 1, 2).alias("key_entities"), (F.col("doc_id") % 6 + 1).cast("int").alias("member_count"), F.when(F.col("doc_id") % 4 == 0, F.array("platform")).otherwise(F.array().cast("array<string>")).alias("platforms"), F.col("pubtime").alias("latest_pubtime"),
+        "report_date", F.col("item_index").alias("ordinal"), "event_id", F.col("title").alias("event_label"), tx.compact_start(F.col("text"), 160).alias("event_summary"), _pick(TYPES, (F.col("doc_id") / 2).cast("int") % len(TYPES)).alias("event_type"),
+        tx.leading_words(F.col("text")).alias("key_entities"), (F.col("doc_id") % 6 + 1).cast("int").alias("member_count"), F.when(F.col("doc_id") % 4 == 0, F.array("platform")).otherwise(F.array().cast("array<string>")).alias("platforms"), F.col("pubtime").alias("latest_pubtime"),
         F.array().cast("array<string>").alias("representative_titles"), F.when(F.col("doc_id") % 8 != 2, (F.col("doc_id") % 60 + 45).cast("string")).otherwise("0.95").alias("confidence"), F.array().cast("array<int>").alias("source_news_ids"),
     )

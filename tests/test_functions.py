@@ -77,3 +77,13 @@ def test_types_and_json(spark):
     assert value(spark, tx.rescued_object(F.col("a"), "k int")["k"], a='text {"k": 3} more') == 3
     assert value(spark, tx.event_id(F.lit("2026-07-07"), F.lit(1)), a="") == "evt_20260707_0001"
     assert html.unescape("&amp;") == "&"
+
+
+def test_starts_equal_those_of_the_whole_text(spark):
+    """The view's summary and entities came from the whole text, cleaned; now from its start."""
+    texts = [None, "", "  ", "one", "1 2 one", "one two three", "ab\ncd", "ä one-two", "a" * 5000, "\n" * 400 + "x y", "x" + " \t" * 300 + "y z", "é" * 200, "😀 a😀b c", "a b c d", "x " * 200, " lead in"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    whole = F.slice(F.filter(F.split(F.regexp_replace("t", r"[^A-Za-z ]+", " "), " +"), lambda w: w != ""), 1, 2)
+    start = F.substring(F.regexp_replace("t", r"\s+", " "), 1, 160)
+    for r in rows.select("i", whole.alias("a"), tx.leading_words(F.col("t")).alias("b"), start.alias("c"), tx.compact_start(F.col("t"), 160).alias("d")).collect():
+        assert r.a == r.b and r.c == r.d, texts[r.i]
